@@ -33,6 +33,10 @@ LABELLED = [
     ("http://quick-loan-win.example/apply/now", 1), ("https://crypto-win-double.example/send", 1), ("http://gambling-slots.example/casino/win", 1),
     ("http://free-bets-now.example/tips", 1), ("https://www.bets-online.example/free", 1), ("http://ads-tracker.example/pixel", 1),
     ("https://track-ads.example/c/8", 1), ("http://m.cheap-meds-pills.example/en/3", 1), ("https://blog.casino-win-club.example/fr/12", 1),
+    ("https://www.spam-farm-a.example.com/en/12", 1), ("http://m.free-bets-a.example.org/en/340.html", 1), ("https://blog.link-spam-farm.example.net/de/77/", 1),
+    ("http://www.ads-track-b.example.com/fr/8?page=2", 1), ("https://free-bets-b.example.com/es/90", 1), ("http://www.adult-x-b.example.org/en/5", 1),
+    ("http://www.garden.example.com/en/12", 0), ("https://m.river.example.org/en/340.html", 0), ("https://blog.mother.example.net/de/77/", 0),
+    ("http://www.weather.example.com/fr/8?page=2", 0), ("https://the-times.example.com/es/90", 0), ("http://www.another.example.org/en/5", 0),
     ("https://www.city-news.example/en/2041", 0), ("https://blog.garden.example/fr/128", 0), ("http://m.weather.example/de/77.html", 0),
     ("https://docs.library.example/es/guide/4", 0), ("https://university.example/en/research/12", 0), ("http://www.museum.example/fr/339/", 0),
     ("https://health.example/en/advice/71", 0), ("http://recipes.example/es/5518?page=2", 0), ("https://blog.travel.example/de/9021/", 0),
