@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clicklog.llm import decontaminate, language_id, mixing, ngram_join, sharding, url_filter
+from clicklog.llm import decontaminate, language_id, mixing, ngram_join, quality, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents judged toxic, with the chain's probabilities."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return judged.where("is_toxic").drop("text")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
@@ -38,6 +45,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op5_ngram_join, op6_mixing, op7_language_id)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranked = quality.rank(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return ranked.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_toxicity, op5_ngram_join, op6_mixing, op7_language_id, op8_quality)}
 
 ORACLES: dict[str, str] = {}
