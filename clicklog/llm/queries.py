@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clicklog.llm import decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, toxicity, url_filter
+from clicklog.llm import decontaminate, embedding_dedup, html_extract, language_id, mixing, ngram_join, quality, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_toxicity, op5_ngram_join, op6_mixing, op7_language_id, op8_quality, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_toxicity, op5_ngram_join, op6_mixing, op7_language_id, op8_quality, op9_html_extract, op10_embedding_dedup)}
 
 ORACLES: dict[str, str] = {}
