@@ -7,8 +7,9 @@ order's prefixes are indexed; a pair that shares one of its tokens must also sha
 other orders before its whole sets are compared.
 
 Links are only needed to build components, so no group is expanded into all its pairs: equal sets are one class;
-then each class is compared with three leaders of each of its index tokens; only classes that are not yet connected
-are compared with each other.
+then each document is compared with two leaders, those of most of its index tokens, and in ROUNDS rounds with
+the most typical document of those tokens; only documents that are not connected after that are all compared with each
+other, if they share enough index tokens for their sizes.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with nothing. A text of one to
 four words has one shingle, the whole sequence. A null doc_id gets its row, without links, and a null component.
@@ -34,6 +35,10 @@ WIDTH = 5
 NUM, DEN = 80, 100
 #: A token this often among FLUSH tokens read together counts as frequent; the most frequent HOT_MOST are broadcast.
 HOT_LEAST, HOT_MOST, FLUSH = 4, 1 << 19, 1 << 22
+#: Rounds in which documents are compared with the most typical document of another part.
+ROUNDS = 1
+#: So many ids of documents that share a token are broadcast; more are joined by a shuffle of the texts.
+BROADCAST_MOST = 1_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _ORDERS = (0, 0x51ED270B7A2F3C15, 0x2545F4914F6CDD1D)
 
@@ -124,7 +129,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(orders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, doc_id) for the prefixes under the first order; of equal sets in one task only the first is indexed."""
+    """(token, doc_id, set size) for the prefixes under the first order; of equal sets in one task only the first is indexed."""
     order, seen = orders.value, set()
     for batch in batches:
         ids = batch.column("doc_id").cast(pa.int64())
@@ -132,7 +137,7 @@ def _index(orders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             sets = shingle_sets(data, offsets)
             prints = _fingerprints(sets)
             classes = np.split(order.classes(np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
-            tokens, lengths = [], []
+            tokens, lengths, sizes = [], [], []
             for s, c, p in zip(sets, classes, prints, strict=True):
                 if (key := p.tobytes()) in seen:
                     lengths.append(0)
@@ -140,9 +145,11 @@ def _index(orders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 seen.add(key)
                 tokens.append(order.prefix(s, c, 0, prefix_length(len(s))))
                 lengths.append(len(tokens[-1]))
+                sizes.append(np.full(lengths[-1], len(s), np.int32))
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             docs = np.repeat(ids.slice(row, len(sets)).to_numpy(zero_copy_only=False), lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(docs.astype(np.int64))], ["tok", "doc"])
+            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(docs.astype(np.int64)), pa.array(n)], ["tok", "doc", "n"])
 
 
 def _sets(orders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,42 +164,56 @@ def _sets(orders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([ids.slice(row, len(sets)), pa.array(short[0], pa.binary()), pa.array(short[1], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "p1", "p2", "tokens"])
 
 
-def _both_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that share a prefix token under the second and the third order too."""
-    for batch in batches:
-        keep = []
-        for a1, b1, a2, b2 in zip(*(batch.column(c).to_pylist() for c in ("a1", "b1", "a2", "b2")), strict=True):
-            keep.append(all(len(np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), assume_unique=True)) for a, b in ((a1, b1), (a2, b2))))
-        yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+def _share(a: bytes, b: bytes, kind: type) -> int:
+    return len(np.intersect1d(np.frombuffer(a, kind), np.frombuffer(b, kind), assume_unique=True))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose whole sets have DEN * |intersection| >= NUM * |union|."""
+    """Pairs that share a prefix token under the other orders too, and whose whole sets are similar enough."""
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            same = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(DEN * same >= NUM * (len(a) + len(b) - same))
+            if passed := _share(a["p1"], b["p1"], np.uint32) and _share(a["p2"], b["p2"], np.uint32):
+                same = _share(a["tokens"], b["tokens"], np.uint64)
+                passed = DEN * same >= NUM * ((len(a["tokens"]) + len(b["tokens"])) // 8 - same)
+            keep.append(bool(passed))
         yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(x, y)`` that pass the other orders' filters and then the comparison of whole sets."""
-    a = sets.select(F.col("id").alias("x"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
-    b = sets.select(F.col("id").alias("y"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
-    passed = pairs.join(a, "x").join(b, "y").select("x", "y", "a1", "b1", "a2", "b2").mapInArrow(_both_share, "x long, y long")
-    a, b = sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), sets.select(F.col("id").alias("y"), F.col("tokens").alias("b"))
-    return passed.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_similar, "x long, y long")
+def verified(pairs: DataFrame, texts: DataFrame, orders) -> DataFrame:
+    """The pairs ``(x, y)`` of documents that pass the other orders' filters and then the comparison of whole sets.
+
+    Sets are made only for documents in pairs. Their ids are broadcast if they are BROADCAST_MOST at most, else the
+    texts are shuffled.
+    """
+    pairs = saved(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_MOST else wanted
+    sets = saved(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda b: _sets(orders, b), "id long, p1 binary, p2 binary, tokens binary"), "sets")
+    whole = F.struct("p1", "p2", "tokens")
+    a, b = sets.select(F.col("id").alias("x"), whole.alias("a")), sets.select(F.col("id").alias("y"), whole.alias("b"))
+    out = saved(pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_similar, "x long, y long"), "edges")
+    dropped(pairs, sets)
+    return out
 
 
 def close_in_size(n, m):
     """Sets of these sizes can be similar enough."""
-    return (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
+    return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
+
+
+def enough_shared(n, m, shared):
+    """Whether sets of sizes n and m that share so many index tokens can be similar enough.
+
+    Up to the nearer end of the two prefixes all common tokens are indexed; beyond it at most all of the rest of
+    the set that ends there is common. Similar sets have at least NUM / (NUM + DEN) * (n + m) tokens in common.
+    """
+    rest = F.greatest(*(F.ceil(NUM * k / DEN) - 1 for k in (n, m)))
+    return (NUM + DEN) * (shared + rest) >= NUM * (n + m)
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``: every document's set size and class (least doc_id of an equal set), and links ``(u, v)`` that connect similar classes."""
+    """``(rows, links)``: every document's set size and class (least doc_id of an equal set), and links ``(u, v)`` that connect similar documents."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = saved(texts.mapInArrow(_describe, "id long, n long, f1 long, f2 long"), "described")
@@ -205,31 +226,45 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dropped(seen)
     # the index; tokens that one document alone has are dropped at once
     own = Window.partitionBy("tok")
-    index = texts.where("doc_id is not null").mapInArrow(lambda b: _index(orders, b), "tok long, doc long")
-    shared = saved(index.withColumn("a", F.min("doc").over(own)).withColumn("b", F.max("doc").over(own)).where("a < b").select("tok", "doc"), "shared")
-    of_doc = rows.where("n_shingles > 0").select(F.col("doc_id").alias("doc"), "cls", F.col("n_shingles").alias("n")).distinct()
-    posted = shared.join(of_doc, "doc").select("tok", "cls", "n").distinct()
-    me = F.struct("cls", "n")
-    posted = posted.select("tok", "cls", "n", F.min(me).over(own).alias("l1"), F.max(me).over(own).alias("l2"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n")).over(own).alias("l3")).where("l1.cls < l2.cls")
+    index = texts.where("doc_id is not null").mapInArrow(lambda b: _index(orders, b), "tok long, doc long, n int")
+    me = F.struct("doc", "n")
+    posted = index.select("tok", "doc", "n", F.min(me).over(own).alias("l1"), F.max(me).over(own).alias("l2")).where("l1.doc < l2.doc")
     posted = saved(posted, "posted")
-    wanted = posted.select(F.col("cls").alias("doc_id")).distinct()
-    sets = saved(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda b: _sets(orders, b), "id long, p1 binary, p2 binary, tokens binary"), "sets")
-    dropped(shared)
-    # each class with the leaders of its tokens
-    to_leader = None
-    for leader in ("l1", "l2", "l3"):
-        some = posted.where((F.col(f"{leader}.cls") != F.col("cls")) & close_in_size(F.col("n"), F.col(f"{leader}.n"))).select(F.least("cls", f"{leader}.cls").alias("x"), F.greatest("cls", f"{leader}.cls").alias("y"))
-        to_leader = some if to_leader is None else to_leader.union(some)
-    first = saved(verified(saved(to_leader.distinct(), "pairs"), sets), "edges")
-    # classes that are still apart, token by token
-    near = saved(components(first.select(F.col("x").alias("u"), F.col("y").alias("v"))), "near")
-    placed = posted.select("tok", "cls", "n").join(near.withColumnRenamed("node", "cls"), "cls", "left").select("tok", "cls", "n", F.coalesce("component", "cls").alias("part"))
-    placed = saved(placed.withColumn("a", F.min("part").over(own)).withColumn("b", F.max("part").over(own)).where("a < b").select("tok", "cls", "n", "part"), "placed")
-    other = placed.select("tok", F.col("cls").alias("y"), F.col("n").alias("m"), F.col("part").alias("q"))
-    apart = placed.withColumnRenamed("cls", "x").join(other, "tok").where((F.col("part") != F.col("q")) & (F.col("x") < F.col("y")) & close_in_size(F.col("n"), F.col("m"))).select("x", "y").distinct()
-    second = saved(verified(saved(apart.join(first, ["x", "y"], "left_anti"), "pairs"), sets), "edges")
-    links = near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    return rows, links
+    # each document with the two that lead most of its tokens
+    leaders = None
+    for leader in ("l1", "l2"):
+        led = posted.where(F.col(f"{leader}.doc") != F.col("doc")).groupBy("doc", "n", F.col(f"{leader}.doc").alias("to"), F.col(f"{leader}.n").alias("m")).agg(F.count("*").alias("c"))
+        led = led.groupBy("doc", "n").agg(F.max(F.struct("c", "to", "m")).alias("most")).where(close_in_size(F.col("n"), F.col("most.m")) & enough_shared(F.col("n"), F.col("most.m"), F.col("most.c"))).select(F.least("doc", "most.to").alias("x"), F.greatest("doc", "most.to").alias("y"))
+        leaders = led if leaders is None else leaders.union(led)
+    first = verified(leaders.distinct(), texts, orders)
+    equal = rows.where("n_shingles > 0 and doc_id != cls").select(F.col("doc_id").alias("u"), F.col("cls").alias("v"))
+    links = saved(first.select(F.col("x").alias("u"), F.col("y").alias("v")).union(equal), "links")
+    # how much of a document's index is shared: near 1 for the text that a group's copies were made from
+    typical = saved(posted.groupBy("doc", "n").agg(F.count("*").alias("k")).select("doc", (F.col("k") / (F.col("n") - F.ceil(NUM * F.col("n") / DEN) + 1)).alias("typical")), "typical")
+    placed = posted.select("tok", "doc", "n")
+    for round_ in range(ROUNDS + 1):
+        near = saved(components(links), "near")
+        known = typical.join(near.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "typical", F.coalesce("component", "doc").alias("part"))
+        placed = placed.select("tok", "doc", "n").join(known, "doc")
+        placed = saved(placed.withColumn("a", F.min("part").over(own)).withColumn("b", F.max("part").over(own)).where("a < b").select("tok", "doc", "n", "part", "typical"), "placed")
+        if round_ == ROUNDS:
+            break
+        # each document with the most typical one of most of its tokens, where that is in another part
+        other = F.max(F.struct("typical", F.xxhash64(F.lit(round_), "doc").alias("h"), "doc", "n", "part")).over(own)
+        some = placed.select("doc", "n", "part", other.alias("o")).where((F.col("o.part") != F.col("part")) & close_in_size(F.col("n"), F.col("o.n")))
+        some = some.groupBy("doc", "n", F.col("o.doc").alias("to"), F.col("o.n").alias("m")).agg(F.count("*").alias("c"))
+        some = some.groupBy("doc", "n").agg(F.max(F.struct("c", "to", "m")).alias("most")).where(enough_shared(F.col("n"), F.col("most.m"), F.col("most.c"))).select(F.least("doc", "most.to").alias("x"), F.greatest("doc", "most.to").alias("y"))
+        more = verified(some.distinct(), texts, orders)
+        links = saved(near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select(F.col("x").alias("u"), F.col("y").alias("v"))), "links")
+    # documents that are still apart, by all tokens that they share; k bounds how many those can be
+    placed = placed.withColumn("k", F.count("*").over(Window.partitionBy("doc")))
+    other = placed.select("tok", F.col("doc").alias("y"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("k").alias("l"))
+    can = close_in_size(F.col("n"), F.col("m")) & enough_shared(F.col("n"), F.col("m"), F.least("k", "l"))
+    apart = placed.withColumnRenamed("doc", "x").join(other, "tok").where((F.col("part") != F.col("q")) & (F.col("x") < F.col("y")) & can)
+    apart = apart.groupBy("x", "y", "n", "m").agg(F.count("*").alias("c")).where(enough_shared(F.col("n"), F.col("m"), F.col("c"))).select("x", "y")
+    second = verified(apart, texts, orders)
+    dropped(posted, placed)
+    return rows, near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
