@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 PRIME = 2**31 - 1
 #: Default coefficients; all products stay in 64 bits for 32-bit ids.
 COEFFICIENTS = (12345, 1103515245, 69069, 1664525)
+#: What is added after each squaring of a draw.
+SQUARES = (12345, 1013904223)
 
 
 def residue(*values: Column, coefficients: tuple[int, ...] = COEFFICIENTS, prime: int = PRIME) -> Column:
@@ -24,8 +26,16 @@ def universal_hash(size: int, *values: Column, coefficients: tuple[int, ...] = C
 
 
 def uniform(*values: Column, coefficients: tuple[int, ...] = COEFFICIENTS) -> Column:
-    """A reproducible draw in [0, 1) that depends on nothing but its arguments."""
-    return residue(*values, coefficients=coefficients) / F.lit(float(PRIME))
+    """A reproducible draw in [0, 1) that depends on nothing but its arguments.
+
+    The residue is linear in its arguments, so that draws for neighbouring ranks or salts would move together; two
+    squarings modulo the prime part them. Products stay below 2^62.
+    """
+    prime = F.lit(PRIME).cast("long")
+    out = residue(*values, coefficients=coefficients)
+    for add in SQUARES:
+        out = F.pmod(out * out + F.lit(add).cast("long"), prime)
+    return out / F.lit(float(PRIME))
 
 
 def hash_trick(key: Column, size: int, ratio: int = 10, feature: int = 0) -> tuple[Column, Column]:

@@ -80,4 +80,7 @@ s{k} AS (SELECT session_id, pl, p - hit AS p FROM h{k} UNION ALL SELECT session_
 
 
 def u(salt: int, position: str = "position") -> str:
-    return f"(((12345 + (1103515245 * session_id) % {P} + (69069 * {position}) % {P} + {1664525 * salt % P}) % {P})::DOUBLE / {P})"
+    z = f"((12345 + (1103515245 * session_id) % {P} + (69069 * {position}) % {P} + {1664525 * salt % P}) % {P})"
+    for add in (12345, 1013904223):
+        z = f"(({z} * {z} + {add}) % {P})"
+    return f"({z}::DOUBLE / {P})"
