@@ -202,14 +202,14 @@ def close_in_size(n, m):
     return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
 
 
-def enough_shared(n, m, shared):
-    """Whether sets of sizes n and m that share so many index tokens can be similar enough.
+def needed(n, m):
+    """How many index tokens sets of sizes n and m must share to be similar enough.
 
     Up to the nearer end of the two prefixes all common tokens are indexed; beyond it at most all of the rest of
     the set that ends there is common. Similar sets have at least NUM / (NUM + DEN) * (n + m) tokens in common.
     """
     rest = F.greatest(*(F.ceil(NUM * k / DEN) - 1 for k in (n, m)))
-    return (NUM + DEN) * (shared + rest) >= NUM * (n + m)
+    return F.greatest(F.lit(1), F.ceil(NUM * (n + m) / (NUM + DEN)) - rest)
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -234,7 +234,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaders = None
     for leader in ("l1", "l2"):
         led = posted.where(F.col(f"{leader}.doc") != F.col("doc")).groupBy("doc", "n", F.col(f"{leader}.doc").alias("to"), F.col(f"{leader}.n").alias("m")).agg(F.count("*").alias("c"))
-        led = led.groupBy("doc", "n").agg(F.max(F.struct("c", "to", "m")).alias("most")).where(close_in_size(F.col("n"), F.col("most.m")) & enough_shared(F.col("n"), F.col("most.m"), F.col("most.c"))).select(F.least("doc", "most.to").alias("x"), F.greatest("doc", "most.to").alias("y"))
+        led = led.groupBy("doc", "n").agg(F.max(F.struct("c", "to", "m")).alias("most")).where(close_in_size(F.col("n"), F.col("most.m")) & (F.col("most.c") >= needed(F.col("n"), F.col("most.m")))).select(F.least("doc", "most.to").alias("x"), F.greatest("doc", "most.to").alias("y"))
         leaders = led if leaders is None else leaders.union(led)
     first = verified(leaders.distinct(), texts, orders)
     equal = rows.where("n_shingles > 0 and doc_id != cls").select(F.col("doc_id").alias("u"), F.col("cls").alias("v"))
@@ -253,15 +253,24 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         other = F.max(F.struct("typical", F.xxhash64(F.lit(round_), "doc").alias("h"), "doc", "n", "part")).over(own)
         some = placed.select("doc", "n", "part", other.alias("o")).where((F.col("o.part") != F.col("part")) & close_in_size(F.col("n"), F.col("o.n")))
         some = some.groupBy("doc", "n", F.col("o.doc").alias("to"), F.col("o.n").alias("m")).agg(F.count("*").alias("c"))
-        some = some.groupBy("doc", "n").agg(F.max(F.struct("c", "to", "m")).alias("most")).where(enough_shared(F.col("n"), F.col("most.m"), F.col("most.c"))).select(F.least("doc", "most.to").alias("x"), F.greatest("doc", "most.to").alias("y"))
+        some = some.groupBy("doc", "n").agg(F.max(F.struct("c", "to", "m")).alias("most")).where((F.col("most.c") >= needed(F.col("n"), F.col("most.m")))).select(F.least("doc", "most.to").alias("x"), F.greatest("doc", "most.to").alias("y"))
         more = verified(some.distinct(), texts, orders)
         links = saved(near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select(F.col("x").alias("u"), F.col("y").alias("v"))), "links")
-    # documents that are still apart, by all tokens that they share; k bounds how many those can be
-    placed = placed.withColumn("k", F.count("*").over(Window.partitionBy("doc")))
-    other = placed.select("tok", F.col("doc").alias("y"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("k").alias("l"))
-    can = close_in_size(F.col("n"), F.col("m")) & enough_shared(F.col("n"), F.col("m"), F.least("k", "l"))
+    # documents that are still apart. Of a document's k tokens here (rarest first), one that is followed by fewer than
+    # the needed number can be shared only if an earlier one is: pairs are found by the tokens before those, then
+    # their tokens are counted
+    of_doc = Window.partitionBy("doc")
+    placed = placed.withColumn("df", F.count("*").over(own))
+    placed = placed.withColumn("i", F.row_number().over(of_doc.orderBy("df", "tok")) - 1).withColumn("k", F.count("*").over(of_doc))
+    placed = saved(placed.select("tok", "doc", "n", "part", "i", "k"), "placed")
+    other = placed.select("tok", F.col("doc").alias("y"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("i").alias("j"), F.col("k").alias("l"))
+    least = needed(F.col("n"), F.col("m"))
+    can = close_in_size(F.col("n"), F.col("m")) & (F.col("i") + least <= F.col("k")) & (F.col("j") + least <= F.col("l"))
     apart = placed.withColumnRenamed("doc", "x").join(other, "tok").where((F.col("part") != F.col("q")) & (F.col("x") < F.col("y")) & can)
-    apart = apart.groupBy("x", "y", "n", "m").agg(F.count("*").alias("c")).where(enough_shared(F.col("n"), F.col("m"), F.col("c"))).select("x", "y")
+    apart = apart.select("x", "y", "n", "m").distinct()
+    tokens = placed.groupBy("doc").agg(F.collect_list("tok").alias("t"))  # of one document's prefix
+    apart = apart.join(tokens.select(F.col("doc").alias("x"), F.col("t").alias("a")), "x").join(tokens.select(F.col("doc").alias("y"), F.col("t").alias("b")), "y")
+    apart = apart.where(F.size(F.array_intersect("a", "b")) >= least).select("x", "y")
     second = verified(apart, texts, orders)
     dropped(posted, placed)
     return rows, near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second.select(F.col("x").alias("u"), F.col("y").alias("v")))
