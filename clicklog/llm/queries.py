@@ -61,4 +61,22 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_toxicity, op5_ngram_join, op6_mixing, op7_language_id, op8_quality, op9_html_extract, op10_embedding_dedup)}
 
-ORACLES: dict[str, str] = {}
+#: Labels spread along the links until none falls: the recursion keeps each (document, label) once.
+_SPREAD = """reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.y AS b FROM reach r JOIN links l ON l.x = r.b),
+comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY 1)"""
+
+#: SQL for the queries whose results do not depend on a model or on draws.
+ORACLES: dict[str, str] = {
+    "op5_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 80 * (i.n + j.n - c)),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs), nodes AS (SELECT doc_id AS id FROM documents),
+""" + _SPREAD + """ SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN comp ON comp.id = documents.doc_id""",
+    "op10_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS z FROM v WHERE e IS NOT NULL),
+pairs AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.id < b.id AND len(a.e) = len(b.e) AND a.z > 0 AND b.z > 0 AND list_dot_product(a.e, b.e) >= 0.9 * a.z * b.z),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs), nodes AS (SELECT vec_id AS id FROM embeddings), k AS (SELECT x, count(*) AS c FROM links GROUP BY 1),
+""" + _SPREAD + """ SELECT vec_id, coalesce(c, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp ON comp.id = vec_id LEFT JOIN k ON k.x = vec_id""",
+}
