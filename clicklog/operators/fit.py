@@ -20,7 +20,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` from files in the checkpoint folder of the cluster; a temporary one only where none is set."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
