@@ -32,6 +32,9 @@ from clicklog.llm.url_filter import host_of
 
 VARIES = 0.5
 LEAST_PAGES = 8
+#: Tables with a row for each host are broadcast up to so many characters, so that pages stay where they were read;
+#: larger ones are joined by a shuffle of the pages by host, in which Spark splits hot hosts.
+BROADCAST_MOST = 32_000_000
 #: Reference trees are cut for alignment at so many children of a node; further children fall to their tags' slots.
 ALIGNED = 200
 
@@ -246,11 +249,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for page, tree, template in zip(*(batch.column(c).to_pylist() for c in ("html", "tree", "template")), strict=True):
-            fixed = set(template or ())
+            fixed = set((template or "").split("\n"))
             texts.append("\n".join(t for n, p, t in _page_blocks(page, tree) if not n.never and n.slot + " " + p not in fixed))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def by_size(table: DataFrame, *texts: str) -> DataFrame:
+    """``table`` (written, a row for each host) marked for broadcast if its strings have BROADCAST_MOST characters at most."""
+    size = table.agg(F.sum(sum((F.length(t) for t in texts), F.lit(64)))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_MOST else table
+
+
 def wrappers(pages: DataFrame, references: DataFrame) -> DataFrame:
     """``(host, template)``: the slots (with their tag paths) that are template on a host's pages."""
     seen = pages.join(references, "host").select("host", "html", "tree").mapInArrow(_slots, "host string, slot string, path string, text long, page long").distinct()
@@ -260,17 +269,17 @@ def wrappers(pages: DataFrame, references: DataFrame) -> DataFrame:
     few = F.col("pages") < LEAST_PAGES
     ratio = F.when(few & (F.col("all_pages") >= LEAST_PAGES), F.col("all_texts") / F.col("all_pages")).when(~few, F.col("texts") / F.col("pages")).otherwise(F.lit(1.0))
     slots = counts.join(anywhere, "path").where(ratio < VARIES)
-    return slots.groupBy("host").agg(F.collect_list(F.concat_ws(" ", "slot", "path")).alias("template"))
+    return slots.groupBy("host").agg(F.concat_ws("\n", F.collect_list(F.concat_ws(" ", "slot", "path"))).alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages`` (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    first = pages.groupBy("host").agg(F.min("page_id").alias("page_id"))
-    reference = pages.join(first, ["host", "page_id"]).select("host", "html").mapInArrow(_skeletons, "host string, tree string")
+    first = saved(pages.groupBy("host").agg(F.min("page_id").alias("page_id")), "first")
+    reference = pages.join(by_size(first, "host"), ["host", "page_id"]).select("host", "html").mapInArrow(_skeletons, "host string, tree string")
     # a host whose pages all lack an id takes the empty tree; equal ids in a host: the least tree
     reference = first.select("host").join(reference.groupBy("host").agg(F.min("tree").alias("tree")), "host", "left").select("host", F.coalesce("tree", F.lit("()")).alias("tree"))
-    reference = saved(reference, "references")
+    reference = by_size(saved(reference, "references"), "host", "tree")
     known = pages.select("page_id", "url", "host", "html")
-    template = wrappers(known, reference)
+    template = by_size(saved(wrappers(known, reference), "templates"), "host", "template")
     return known.join(reference, "host").join(template, "host", "left").select("page_id", "url", "html", "tree", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
