@@ -1,18 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words, over all documents, give the weights (IDF).
-2. A distributed randomised SVD of the benchmark passages' TF-IDF vectors gives a latent space: tasks project
-   their passages on random directions, the sums span the leading right singular vectors, a small dense problem
-   orients them. Passages and text windows are folded in by the same matrix.
-3. Every document's overlapping windows (two blocks of BLOCK words) are compared with the folded passages by cosine.
-   A window whose share of benchmark words' weight already bounds its cosine below the threshold is not folded.
-4. Candidates are checked exactly around the window: the longest common subsequence of words with the passage, and,
+2. Passages are dealt into groups of at most GROUP. A randomised SVD of each group's TF-IDF vectors (a task a group)
+   gives its latent space, which holds all of its passages, as its rank is above GROUP.
+3. A document that holds a passage has, by count, at least one of its rarest words: of n words of which m must be
+   there, one of the n - m + 1 rarest. Around each such word the text is folded into the passage's latent space. Its
+   product with the passage, and the most that the parts outside the space can add, must reach the least weight that
+   an accepted text shares with the passage. Both bounds follow from the rule below, so that they lose nothing.
+4. Candidates are checked exactly around the word: the longest common subsequence of words with the passage, and,
    for paraphrases, whether the passage's answer (its closing words) is there.
 
 A document is contaminated by an item if the common subsequence covers NEAR of the item's words, or PARAPHRASE of
-them and ANSWER of the answer's words.
+them and ANSWER of the answer's words, in a stretch of text that goes the item's length beyond each side of two blocks of
+BLOCK words. ``cosine`` is that of the stretch and the passage in the latent space.
 
-Passages are read in blocks of at most ITEMS, each broadcast with its latent matrix; more passages mean more passes
+Passages are read in blocks of at most ITEMS, each broadcast with its latent matrices; more passages mean more passes
 over the documents. Case is ignored. Nulls: a null text or item has no words and matches nothing; items of fewer than LEAST_WORDS
 words must occur whole. A null doc_id or item_id is kept as it is. Very long texts are searched whole, repeated
 rows each give their own result rows, empty tables an empty result. Other columns are ignored.
@@ -34,10 +36,10 @@ FEATURES = 1 << 18
 SLICE = 1 << 13
 BLOCK = 24
 RANK, OVERSAMPLE = 192, 32
-COSINE = 0.3
 NEAR, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.8, 0.5, 0.8, 8
 LEAST_WORDS = 8
-ITEMS = 20_000
+GROUP = 150
+ITEMS = 5_000
 
 
 def _features(hashes: np.ndarray) -> np.ndarray:
@@ -78,16 +80,27 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return np.concatenate([found[i] for i in range(FEATURES // SLICE)]), int(found[-1][0])
 
 
+@dataclass
+class Latent:
+    """The latent space of one group of items."""
+
+    features: np.ndarray  # ascending
+    space: np.ndarray  # features x rank
+    folded: np.ndarray  # items x rank
+    outside: np.ndarray  # length of each item's part outside the space
+
+
 @dataclass
 class Passages:
-    """One block of benchmark items: their words and their place in the latent space."""
+    """One block of benchmark items: their words, the words that bring them up, and their groups' latent spaces."""
 
     ids: list[int | None]
     tokens: list[np.ndarray]
     idf: np.ndarray
-    column: np.ndarray  # of a feature in ``space``; -1 for words no item has
-    space: np.ndarray  # words x rank
-    folded: np.ndarray  # items x rank, unit length
+    bounds: np.ndarray  # of each feature in ``items``
+    items: np.ndarray  # that a feature brings up
+    least: np.ndarray  # product with the item's unit vector that an accepted text has at least
+    groups: list[Latent]
 
 
 def _tfidf(features: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,63 +109,46 @@ def _tfidf(features: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, value / max(np.sqrt((value * value).sum()), 1e-12)
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """``(features, V)``: orthonormal columns that span the leading right singular vectors of the items' TF-IDF rows.
+def latent_space(rows: list[tuple[np.ndarray, np.ndarray]], rank: int = RANK, seed: int = 11) -> Latent:
+    """The span of the leading right singular vectors of the items' TF-IDF rows, given as (features, values).
 
-    Each pass sums small matrices over tasks: first A' A Omega on the features that occur, then, after
-    orthonormalising, the passages' Gram matrix in that basis, whose eigenvectors orient it.
+    A' A Omega on the features that occur is orthonormalised; the Gram matrix of the items in that basis has the
+    eigenvectors that orient it.
     """
-    spark = items.sparkSession
-    weights = spark.sparkContext.broadcast(idf)
+    features = np.unique(np.concatenate([f for f, _ in rows]))
+    whole = np.zeros((len(rows), len(features)))
+    for i, (f, v) in enumerate(rows):
+        whole[i, np.searchsorted(features, f)] = v
+    k = min(rank + OVERSAMPLE, len(features))
+    bits = words.mix(features.astype(np.uint64)[:, None] * np.uint64(k + 1) + np.arange(k, dtype=np.uint64), seed)
+    basis, _ = np.linalg.qr(whole.T @ (whole @ np.where(bits & np.uint64(1), 1.0, -1.0)))
+    inside = whole @ basis
+    values, vectors = np.linalg.eigh(inside.T @ inside)
+    lead = np.argsort(-values)[:rank]
+    space = (basis @ vectors[:, lead[values[lead] > 1e-9]]).astype(np.float32)
+    folded = whole @ space
+    return Latent(features, space, folded, np.linalg.norm(whole - folded @ space.T, axis=1))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for _, data, offsets in words.chunks(batch.column("text")):
-                hashes, bounds = words.word_hashes(_plain(data), offsets)
-                features = _features(hashes)
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    if b > a:
-                        yield _tfidf(features[a:b], weights.value)
-
-    def drawn(features: np.ndarray, k: int) -> np.ndarray:
-        bits = words.mix(features.astype(np.uint64)[:, None] * np.uint64(k + 1) + np.arange(k, dtype=np.uint64), seed)
-        return np.where(bits & np.uint64(1), 1.0, -1.0)
-
-    k = rank + OVERSAMPLE
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for at, value in rows(batches):
-            y = value @ drawn(at, k)
-            for f, v in zip(at.tolist(), value, strict=True):
-                sums[f] = sums.get(f, 0) + v * y
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["f", "z"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x) for x in table.column("z").to_pylist())
-        return pa.table({"f": table.column("f")[:1], "z": pa.array([total.tobytes()], pa.binary())})
-
-    # at most FEATURES rows come back, whatever the size of the benchmark
-    got = items.select("text").mapInArrow(sketch, "f long, z binary").groupBy("f").applyInArrow(add, "f long, z binary").collect()
-    if not got:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    got.sort(key=lambda r: r["f"])
-    features = np.array([r["f"] for r in got])
-    basis, _ = np.linalg.qr(np.stack([np.frombuffer(r["z"]) for r in got]))
-    shared = spark.sparkContext.broadcast((features, basis))
-
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, basis = shared.value
-        total = np.zeros((basis.shape[1],) * 2)
-        for at, value in rows(batches):
-            y = value @ basis[np.searchsorted(features, at)]
-            total += np.outer(y, y)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["f", "z"])
-
-    (whole,) = items.select("text").mapInArrow(gram, "f long, z binary").groupBy("f").applyInArrow(add, "f long, z binary").collect()
-    values, vectors = np.linalg.eigh(np.frombuffer(whole["z"]).reshape((basis.shape[1],) * 2))
-    lead = np.argsort(-values)[:rank]
-    return features, (basis @ vectors[:, lead[values[lead] > 1e-9]])
+def needed(share: float, n: int) -> int:
+    """The least count whose quotient by ``n`` is ``share`` or more."""
+    return next(m for m in range(n + 1) if m / n >= share)
+
+
+def bounds_of(item: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, float]:
+    """Features of which an accepted text has at least one, and the least product it has with the item's unit vector."""
+    features = _features(item)
+    rare = features[np.argsort(-idf[features], kind="stable")]
+    kept = needed(1.0 if len(item) < LEAST_WORDS else NEAR, len(item))
+    answer = _features(np.unique(item[-ANSWER_WORDS:]))
+    answer = answer[np.argsort(-idf[answer], kind="stable")]
+    some, reply = needed(PARAPHRASE, len(item)), needed(ANSWER, len(answer))
+    bring, weight = rare[: len(item) - kept + 1], (idf[rare[-kept:]] ** 2).sum()
+    if len(item) >= LEAST_WORDS:
+        bring = np.concatenate([bring, answer[: len(answer) - reply + 1]])
+        weight = min(weight, max((idf[rare[-some:]] ** 2).sum(), (idf[np.unique(answer[-reply:])] ** 2).sum()))
+    _, tf = np.unique(features, return_counts=True)
+    return np.unique(bring), float(weight / np.sqrt(((tf * idf[np.unique(features)]) ** 2).sum()))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -170,39 +166,43 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 def matches(p: Passages, text: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """``(row, item, lcs, answer, cosine)`` for the texts that hold an item."""
-    weight = p.idf * p.idf
-    known = np.where(p.column >= 0, weight, 0.0)
+    many = np.diff(p.bounds)
     answers = [frozenset(t[-ANSWER_WORDS:].tolist()) for t in p.tokens]
     for first, data, offsets in words.chunks(text):
         hashes, bounds = words.word_hashes(_plain(data), offsets)
         if not len(hashes):
             continue
         features = _features(hashes)
-        # blocks of BLOCK words, none across texts; a window is a block and the next one of its text
-        blocks = -(-np.diff(bounds) // BLOCK)
-        doc = np.repeat(np.arange(len(blocks)), blocks)
-        start = bounds[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-        paired = np.append(doc[1:] == doc[:-1], False)
-        covered = np.append(False, paired[:-1]) & ~paired  # a text's last block is in the window before
-        whole, part = (np.add.reduceat(x[features], start) for x in (weight, known))
-        whole, part = (x + np.where(paired, np.append(x[1:], 0), 0) for x in (whole, part))
-        near = np.flatnonzero((part >= COSINE**2 * np.maximum(whole, 1e-12)) & ~covered)
+        hit = np.flatnonzero(many[features])
+        doc = np.searchsorted(bounds, hit, side="right") - 1
+        start = hit - (hit - bounds[doc]) % BLOCK
+        times = many[features[hit]]
+        item = p.items[np.repeat(p.bounds[features[hit]] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        # each block that has a word of an item, once
+        pairs = np.unique(np.repeat(start, times) * len(p.ids) + item)
+        start, items = pairs // len(p.ids), pairs % len(p.ids)
+        doc = np.searchsorted(bounds, start, side="right") - 1
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for at in np.array_split(near, max(1, len(near) // 4096)):
-            ends = np.minimum(start[at] + 2 * BLOCK, bounds[doc[at] + 1])
-            fold = np.zeros((len(at), p.space.shape[1]))
-            for i, (a, b) in enumerate(zip(start[at], ends, strict=True)):
-                f = features[a:b]
-                f = f[p.column[f] >= 0]
-                fold[i] = p.idf[f] @ p.space[p.column[f]]
-            cosine = fold @ p.folded.T / np.sqrt(np.maximum(whole[at], 1e-12))[:, None]
-            for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE)), strict=True):
-                a, d, item = int(start[at[i]]), int(doc[at[i]]), p.tokens[j]
-                around = hashes[max(bounds[d], a - len(item)) : min(bounds[d + 1], a + 2 * BLOCK + len(item))]
-                common = common_subsequence(item, around) / len(item)
-                reply = len(answers[j] & set(around.tolist())) / len(answers[j])
-                if common >= (1.0 if len(item) < LEAST_WORDS else NEAR) or (len(item) >= LEAST_WORDS and common >= PARAPHRASE and reply >= ANSWER):
-                    best[first + d, j] = max(best.get((first + d, j), (0.0, 0.0, 0.0)), (common, reply, float(cosine[i, j])))
+        for a, d, j in zip(start.tolist(), doc.tolist(), items.tolist(), strict=True):
+            item, group, k = p.tokens[j], p.groups[j // GROUP], j % GROUP
+            low, high = max(bounds[d], a - len(item)), min(bounds[d + 1], a + 2 * BLOCK + len(item))
+            near = features[low:high]
+            at = np.minimum(np.searchsorted(group.features, near), len(group.features) - 1)
+            known = group.features[at] == near
+            fold = p.idf[near[known]] @ group.space[at[known]]
+            product = float(fold @ group.folded[k])
+            # what the text and the item have outside the space adds at most the product of their lengths
+            length = (np.bincount(at[known]) * p.idf[group.features[: at[known].max(initial=-1) + 1]]) if group.outside[k] > 1e-3 else fold
+            beyond = np.sqrt(max(float(length @ length - fold @ fold), 0.0)) * float(group.outside[k])
+            if (product + beyond) * (1 + 1e-3) + 1e-3 < p.least[j]:
+                continue
+            around = hashes[low:high]
+            common = common_subsequence(item, around) / len(item)
+            reply = len(answers[j] & set(around.tolist())) / len(answers[j])
+            if common >= (1.0 if len(item) < LEAST_WORDS else NEAR) or (len(item) >= LEAST_WORDS and common >= PARAPHRASE and reply >= ANSWER):
+                at, tf = np.unique(near, return_counts=True)
+                cosine = product / max(np.linalg.norm(tf * p.idf[at]) * np.linalg.norm(group.folded[k]), 1e-12)
+                best[first + d, j] = max(best.get((first + d, j), (0.0, 0.0, 0.0)), (common, reply, float(cosine)))
         yield from ((*key, *value) for key, value in best.items())
 
 
@@ -223,12 +223,14 @@ def blocks_of(docs: DataFrame, benchmark: DataFrame, items_a_block: int = ITEMS,
         keep = [i for i, t in enumerate(tokens) if len(t)]
         if not keep:
             continue
-        features, space = latent_space(items, idf, rank)
-        column = np.full(FEATURES, -1)
-        column[features] = np.arange(len(features))
-        folded = np.stack([v @ space[column[f]] for f, v in (_tfidf(_features(tokens[i]), idf) for i in keep)])
-        folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
-        yield spark.sparkContext.broadcast(Passages([rows[i]["item_id"] for i in keep], [tokens[i] for i in keep], idf, column, space, folded))
+        vectors = [_tfidf(_features(tokens[i]), idf) for i in keep]
+        groups = [vectors[i : i + GROUP] for i in range(0, len(vectors), GROUP)]
+        groups = spark.sparkContext.parallelize(groups, len(groups)).map(lambda g: latent_space(g, rank)).collect()
+        bring, least = zip(*(bounds_of(tokens[i], idf) for i in keep), strict=True)
+        feature, item = np.concatenate(bring), np.repeat(np.arange(len(keep)), [len(b) for b in bring])
+        order = np.argsort(feature, kind="stable")
+        bounds = np.searchsorted(feature[order], np.arange(FEATURES + 1))
+        yield spark.sparkContext.broadcast(Passages([rows[i]["item_id"] for i in keep], [tokens[i] for i in keep], idf, bounds, item[order], np.array(least), groups))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, items_a_block: int = ITEMS, rank: int = RANK) -> DataFrame:

@@ -125,6 +125,42 @@ def test_decontamination_against_brute_force(spark, docs):
     assert decontaminate.contaminated(docs, empty(bench)).count() == 0
 
 
+def part_of(rng, item, share, last=0):
+    """``share`` of the item's words in their order, the ``last`` ones among them, with other words between."""
+    n = -(-len(item) * share // 100)
+    keep = {*range(len(item) - last, len(item)), *rng.choice(len(item) - last, max(0, n - last), replace=False).tolist()}
+    return [w for i, w in enumerate(item) for w in ([w] if i in keep else ["between"])]
+
+
+@pytest.mark.parametrize(("n", "rank"), [(1000, 192), (5000, 192), (300, 16)])
+def test_decontamination_of_benchmarks_of_any_size(spark, n, rank):
+    rng = np.random.default_rng(n)
+    vocabulary = np.array([f"{a}{b}{c}" for a in ("bor", "cal", "dem", "fin", "gus", "hav", "jel", "kir", "lom", "mun") for b in "aeiou" for c in ("mor", "lin", "tas", "vek", "dun", "zil", "par", "quo", "ster", "wix", "yon", "zum")])
+    chance = 1 / np.arange(1, len(vocabulary) + 1)
+    word = lambda k: rng.choice(vocabulary, k, p=chance / chance.sum()).tolist()
+    items = [word(int(k)) for k in rng.integers(15, 60, n - 4)] + [word(600) for _ in range(4)]
+    used = [*rng.choice(n - 4, 60, replace=False).tolist(), *range(n - 4, n)]
+    rows = []
+    for at, j in enumerate(used):
+        held = [items[j], part_of(rng, items[j], 80), part_of(rng, items[j], 50, 8)]
+        rows += [(3 * at + k, " ".join(word(70) + h + word(50))) for k, h in enumerate(held)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.lcs, r.answer) for r in decontaminate.contaminated(docs, bench, rank=rank).collect()}
+    assert not [(i, j) for at, j in enumerate(used) for i in range(3 * at, 3 * at + 3) if (i, j) not in found]
+    assert all(c >= 0.8 or c >= 0.5 and a >= 0.8 for c, a in found.values())
+    # of a few documents, all items that some stretch of text holds by the rule
+    for i in rng.choice(len(rows), 2, replace=False).tolist():
+        text = rows[i][1].split()
+        code = {w: k for k, w in enumerate(dict.fromkeys([*vocabulary.tolist(), "between"]))}
+        for j in range(min(n, 400)):
+            a = np.array([code[w] for w in items[j]])
+            b = np.array([code[w] for w in text])
+            held = max(decontaminate.common_subsequence(a, b[s : s + len(a)]) for s in range(0, max(1, len(b) - len(a) + 1), 5)) / len(a)
+            assert held < 0.8 or (i, j) in found
+    assert decontaminate.clean(docs, bench, rank=rank).count() == 0
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(30):
