@@ -161,6 +161,16 @@ def test_decontamination_of_benchmarks_of_any_size(spark, n, rank):
     assert decontaminate.clean(docs, bench, rank=rank).count() == 0
 
 
+def test_decontamination_of_long_and_halved_passages(spark):
+    rng = np.random.default_rng(21)
+    word = lambda k: [f"w{x}" for x in rng.integers(0, 4000, k)]
+    items = [word(k) for k in (15, 16, 20, 30, 700, 1500)]
+    rows = [(10 * j + k, " ".join(word(60) + h + word(60))) for j, item in enumerate(items) for k, h in enumerate([item, part_of(rng, item, 80), part_of(rng, item, 50, 8), part_of(rng, item, 30)])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(10 * j + k, j) for j in range(len(items)) for k in range(3)}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(30):
