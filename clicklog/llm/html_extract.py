@@ -8,8 +8,10 @@ Over all pages of a host, a slot is template if its texts are few for the number
 fewer than LEAST_PAGES different pages takes the statistics of the slots' tag paths over all hosts.
 
 Blocks in content slots are the text, in page order. Independently of the wrapper, scripts, styles, navigation,
-headers, footers, asides, forms, and elements whose class, id or role names an advert, sidebar, notice, comment
-or menu are never content.
+headers, footers, asides and forms are never content. Nor are elements whose class, id or role names an advert,
+sidebar, notice, comment or menu: a whole name is judged by what it calls the thing (``left-sidebar``, not
+``with-sidebar`` or ``social-science``). A name does not hold for an element with MOST of the page's text in content
+slots, nor for one around an article or main element if no other of these has text.
 
 Nulls: a null html is empty and has empty text; a null url, or one without ``://``, has the empty host. Very long
 pages are read whole. Repeated rows get equal texts. An empty table gives an empty result. Other columns are
@@ -32,6 +34,7 @@ from clicklog.llm.url_filter import host_of
 
 VARIES = 0.5
 LEAST_PAGES = 8
+MOST = 0.9
 #: Tables with a row for each host are broadcast up to so many characters, so that pages stay where they were read;
 #: larger ones are joined by a shuffle of the pages by host, in which Spark splits hot hosts.
 BROADCAST_MOST = 32_000_000
@@ -46,27 +49,41 @@ CLOSES_P = set("address article aside blockquote center details dialog dir div d
 NEVER = set("script style noscript template iframe head title nav header footer aside form button select textarea menu dialog svg canvas object embed".split())
 # fixed values: words of class, id and role that name what is not the article
 NOT_ARTICLE = set("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot notice notices alert cookie cookies consent gdpr popup modal overlay comment comments commentlist reply replies discussion disqus share sharing social related recommended newsletter subscribe signup login search widget toolbar pagination pager copyright legal complementary contentinfo".split())
+#: Words that may follow the telling word of a name, and words by which a name tells of something else.
+HOLDERS = set("area bar bars block blocks body bottom box boxes btn button buttons container column col feed form group holder icon icons inner item items label left link links list lists meta outer panel post posts region right row section sections slot small space stories thread top unit units wrap wrapper zone".split())
+OTHERWISE = set("and below beside has no non not or under with without".split())
+TITLED = {"article", "content", "entry", "main", "post", "story"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"(?<![a-z0-9])[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
     """A block element. ``parts`` holds its texts and child nodes in page order."""
 
-    __slots__ = ("tag", "never", "parts", "children", "slot")
+    __slots__ = ("tag", "never", "named", "parts", "children", "slot")
 
-    def __init__(self, tag: str, never: bool):
-        self.tag, self.never, self.parts, self.children, self.slot = tag, never, [], [], ""
+    def __init__(self, tag: str, never: bool, named: bool = False):
+        self.tag, self.never, self.named, self.parts, self.children, self.slot = tag, never, named, [], [], ""
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The tag with its class, as a slot shows it, and whether its names say that it is not the article."""
+def _tells(name: str) -> bool:
+    """Whether a class, id, role or label calls its element something that is not the article."""
+    found = _WORD.findall(name)
+    if OTHERWISE.intersection(found):
+        return False
+    while len(found) > 1 and found[-1] in HOLDERS:
+        found.pop()
+    return bool(found) and found[-1] in NOT_ARTICLE and not (found[-1] == "header" and TITLED.intersection(found))
+
+
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The tag with its class, as a slot shows it, and whether its tag and its names say that it is not the article."""
     names = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMED.finditer(attributes)} if "=" in attributes else {}
-    never = tag in NEVER or any(w in NOT_ARTICLE for v in names.values() for w in _WORD.findall(v)) and tag not in ("html", "body", "article", "main")
-    return (tag + "." + names["class"].split()[0] if names.get("class", "").split() else tag), never
+    named = tag not in ("html", "body") and any(_tells(n) for k, v in names.items() for n in ([v] if k == "aria-label" else v.split()))
+    return (tag + "." + names["class"].split()[0] if names.get("class", "").split() else tag), tag in NEVER, named
 
 
 def parse(page: str) -> Node:
@@ -112,8 +129,8 @@ def parse(page: str) -> Node:
             name.pop()
         if name[-1] in same or tag == "tr" == name[-1]:
             stack.pop()
-        label, never = _label(tag, m[3])
-        node = Node(label, never or stack[-1].never)
+        label, never, named = _label(tag, m[3])
+        node = Node(label, never or stack[-1].never, named)
         stack[-1].parts.append(node)
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].rstrip().endswith("/"):
@@ -217,10 +234,44 @@ def blocks(node: Node, path: str = "") -> Iterator[tuple[Node, str, str]]:
         yield node, path, found
 
 
-def _page_blocks(page: str | None, reference: str) -> list[tuple[Node, str, str]]:
+def _page_blocks(page: str | None, reference: str) -> tuple[Node, list[tuple[Node, str, str]]]:
     tree = parse(page or "")
     align(tree, read(reference))
-    return list(blocks(tree))
+    return tree, list(blocks(tree))
+
+
+def named_below(tree: Node, content: dict[int, int]) -> set[int]:
+    """The ids of the nodes in elements that their names drop; ``content`` has the characters in content slots by node id."""
+    total: dict[int, int] = {}
+    holds: set[int] = set()  # with text of an article or main element, which is not so named itself
+
+    def is_article(node: Node) -> bool:
+        return node.tag.split(".")[0] in ("article", "main") and not node.named
+
+    def add(node: Node) -> None:
+        for child in node.children:
+            add(child)
+        total[id(node)] = content.get(id(node), 0) + sum(total[id(c)] for c in node.children)
+        if total[id(node)] and (is_article(node) or any(id(c) in holds for c in node.children)):
+            holds.add(id(node))
+
+    def free(node: Node, within: bool) -> bool:
+        within = within or is_article(node)
+        return within and content.get(id(node), 0) > 0 or any(free(c, within) for c in node.children if not c.named or c.tag.split(".")[0] in ("article", "main") and not within)
+
+    add(tree)
+    other, out = free(tree, False), set()
+
+    def judge(node: Node, below: bool) -> None:
+        if node.named and node.tag.split(".")[0] not in ("article", "main"):
+            below = below or not (total[id(node)] >= MOST * total[id(tree)] or id(node) in holds and not other)
+        if below:
+            out.add(id(node))
+        for child in node.children:
+            judge(child, below)
+
+    judge(tree, False)
+    return out
 
 
 def _hash(text: str) -> int:
@@ -238,7 +289,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for host, page, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "tree")), strict=True):
-            found = _page_blocks(page, tree)
+            _, found = _page_blocks(page, tree)
             longest = max((t for _, _, t in found), key=len, default="")
             sign = _hash(longest)
             out += {(host, n.slot, p, _hash(t), sign) for n, p, t in found}
@@ -250,7 +301,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, tree, template in zip(*(batch.column(c).to_pylist() for c in ("html", "tree", "template")), strict=True):
             fixed = set((template or "").split("\n"))
-            texts.append("\n".join(t for n, p, t in _page_blocks(page, tree) if not n.never and n.slot + " " + p not in fixed))
+            root, found = _page_blocks(page, tree)
+            found = [(n, t) for n, p, t in found if not n.never and n.slot + " " + p not in fixed]
+            content: dict[int, int] = {}
+            for n, t in found:
+                content[id(n)] = content.get(id(n), 0) + len(t)
+            named = named_below(root, content)
+            texts.append("\n".join(t for n, t in found if id(n) not in named))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

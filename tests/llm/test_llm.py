@@ -286,6 +286,19 @@ def test_wrapper_drops_constant_slots_without_telling_names(spark):
     assert all(r.text == f"story {r.page_id} first\nstory {r.page_id} second words" for r in out)
 
 
+def test_names_that_only_mention_something_else_keep_the_article(spark):
+    inner = "<article><h1>{t}</h1><p>{t} has a long text of its own</p></article>"
+    bare = "<div><p>{t} has a long text of its own</p></div>"
+    keep = [f'<div class="{c}">{inner}</div>' for c in ("layout with-sidebar", "has-sidebar", "post no-comments", "social-science", "legal-text", "sidebar")]
+    keep += [f'<div id="header-and-content">{inner}</div>', f'<div class="search">{bare}</div>', f'<div class="social-science">{bare}</div>', f'<div class="layout with-sidebar"><div class="left-sidebar"><p>see {{t}}</p></div>{inner}</div>']
+    drop = [f'<div>{inner}</div><div class="{c}"><p>see {{t}}</p></div>' for c in ("sidebar", "left-sidebar", "comment-list", "comments-area", "ad-300x250", "related-posts", "sidebar2")]
+    drop += [f'<div>{inner}</div><div role="complementary"><article class="teaser"><p>see {{t}}</p></article></div>', f'<div>{inner}</div><div aria-label="Site navigation"><p>see {{t}}</p></div>']
+    pages = [(100 * h + i, f"http://h{h}.example/{i}", f"<body>{p.format(t=f'title {h} {i}')}</body>") for h, p in enumerate(keep + drop) for i in range(10)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    wrong = {h for h in range(len(keep + drop)) for i in range(10) if out[100 * h + i] != ("" if h in (7, 8) else f"title {h} {i}\n") + f"title {h} {i} has a long text of its own"}
+    assert len(out) == len(pages) and not wrong
+
+
 def test_embedding_links_against_brute_force(spark):
     rng = np.random.default_rng(8)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
