@@ -4,13 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 next stage's ``docs``. All but the last return the columns of ``documents``.
 
 1. language ID: rejected documents go (null texts, texts without a letter, texts below the calibrated score).
-2. n-gram join: of each component of similar documents the one with the least doc_id stays.
+2. n-gram join: of each component of similar documents the one with the least doc_id stays. Different texts under
+   one doc_id, or under none, are documents of their own.
 3. decontamination: documents that hold a benchmark passage go.
 4. mixing: a document is repeated for each epoch that takes it; the one in which a source's budget ends stays if
    at least half of its words are taken. Documents that the mix leaves out go.
 5. sharding: doc_id, size, text_crc32, law, shard, slot.
 
-Rows with a null doc_id pass the stages that work by id unchanged, but for mixing, which takes them by their text.
+Rows with a null doc_id are compared by the n-gram join by their text, and taken by mixing by their text; the other
+stages pass them unchanged.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.join_components(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    # rows are by doc_id after the join, so that repeated rows of one document meet without another shuffle
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(docs.columns)
+    # rows are told apart by id and text, so that different texts under one id (or none) are compared like any others
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = ngram_join.join_components(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    ids = keyed.select("_key", F.col("doc_id").alias("_id")).distinct()
+    members = found.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(ids, "_key")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_first")).select(F.col("_first._key").alias("_key"))
+    # rows are by key after the join, so that repeated rows of one document meet without another shuffle
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -333,3 +333,13 @@ def test_pipeline_against_brute_force(spark):
     assert len(kept) > 0.5 * len(texts) and set(out["shard"]) == set(range(16))
     leaks = {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert not kept & leaks
+
+
+def test_near_copies_go_by_text_and_not_by_id(spark):
+    import corpus_pipeline
+
+    text = lambda name, last="end": " ".join([f"{name}{i}" for i in range(60)] + [last])
+    rows = [(1, text("a")), (1, text("a")), (1, text("b")), (2, text("a", "stop")), (3, text("c")), (3, text("c", "stop")), (None, text("d")), (None, text("d")), (None, text("e")), (None, text("c")), (4, text("e"))]
+    out = corpus_pipeline.without_near_copies(spark, spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string"), "").collect()
+    got = sorted((r.doc_id or 0, r.text.split()[0]) for r in out)
+    assert got == [(0, "d0"), (1, "a0"), (1, "b0"), (3, "c0"), (4, "e0")]
