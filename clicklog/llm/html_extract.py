@@ -1,342 +1,136 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-A page becomes a tree of its block elements (inline markup is part of a block's text, so it need not be closed).
-Each page's tree is aligned with its host's reference tree (the host's page of least page_id) by simple tree
-matching; a block's slot is the reference node it matches, or its tag under the node that its parent matches.
-Over all pages of a host, a slot is template if its texts are few for the number of different pages that fill it
-(below VARIES of them), and content if they vary. Pages are different when their longest blocks are. A host with
-fewer than LEAST_PAGES different pages takes the statistics of the slots' tag paths over all hosts.
-
-Blocks in content slots are the text, in page order. Independently of the wrapper, scripts, styles, navigation,
-headers, footers, asides and forms are never content. Nor are elements whose class, id or role names an advert,
-sidebar, notice, comment or menu: a whole name is judged by what it calls the thing (``left-sidebar``, not
-``with-sidebar`` or ``social-science``). A name does not hold for an element with MOST of the page's text in content
-slots, nor for one around an article or main element if no other of these has text.
-
-Nulls: a null html is empty and has empty text; a null url, or one without ``://``, has the empty host. Very long
-pages are read whole. Repeated rows get equal texts. An empty table gives an empty result. Other columns are
-ignored.
+Each page becomes a tree of its block elements, aligned with its host's reference tree (that of the host's page of
+least page_id) by simple tree matching; see :mod:`clicklog.llm.html_tree`. A block's slot is the reference node that it
+matches, or its label under its parent's slot.
+
+Over all pages of a host, a slot is template if it has few different texts for the number of different pages that
+fill it, and content if its texts vary. A host's own name within a text is no difference. Pages are told apart by
+their three longest blocks, so that copies of a page count once. The ratio of texts to pages leans on that of the
+same tag path over all hosts, which itself leans on 1, each by the weight of PRIOR pages: a slot of many pages is judged
+by its own texts, one of few pages by the path's, and one that was hardly ever seen is content.
+
+Blocks in content slots are the text, in page order. Tags that say so (scripts, styles, navigation, footers, asides,
+buttons, headers outside an article) are never content. Names (class, id, role, label) are a prior against an element
+that the wrapper found to vary: they drop it outside the page's article; inside, only adverts, forms and reader
+comments go by name. A name does not hold for an element with most of the page's varying text, nor for one around
+the only article.
+
+Nulls: a null html is empty and has empty text; a null url, or one without ``://``, has the empty host; hosts whose
+pages all lack an id align with an empty tree. Very long, deep and broken pages are read whole, in linear time.
+Repeated rows get equal texts. An empty table gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import html as entities
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clicklog.llm.store import saved
+from clicklog.llm import html_tree
+from clicklog.llm.store import dropped, saved
 from clicklog.llm.url_filter import host_of
 
+#: A slot with fewer different texts than this share of its pages is template.
 VARIES = 0.5
-LEAST_PAGES = 8
-MOST = 0.9
-#: Tables with a row for each host are broadcast up to so many characters, so that pages stay where they were read;
-#: larger ones are joined by a shuffle of the pages by host, in which Spark splits hot hosts.
+PRIOR = 8
+#: Tables with a row for each host are broadcast up to so many bytes, so that pages stay where they were read; larger
+#: ones are joined by a shuffle of the pages by host, in which Spark splits hot hosts.
 BROADCAST_MOST = 32_000_000
-#: Reference trees are cut for alignment at so many children of a node; further children fall to their tags' slots.
-ALIGNED = 200
-
-# fixed values: element names of HTML
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
-CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
-NEVER = set("script style noscript template iframe head title nav header footer aside form button select textarea menu dialog svg canvas object embed".split())
-# fixed values: words of class, id and role that name what is not the article
-NOT_ARTICLE = set("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot notice notices alert cookie cookies consent gdpr popup modal overlay comment comments commentlist reply replies discussion disqus share sharing social related recommended newsletter subscribe signup login search widget toolbar pagination pager copyright legal complementary contentinfo".split())
-#: Words that may follow the telling word of a name, and words by which a name tells of something else.
-HOLDERS = set("area bar bars block blocks body bottom box boxes btn button buttons container column col feed form group holder icon icons inner item items label left link links list lists meta outer panel post posts region right row section sections slot small space stories thread top unit units wrap wrapper zone".split())
-OTHERWISE = set("and below beside has no non not or under with without".split())
-TITLED = {"article", "content", "entry", "main", "post", "story"}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"(?<![a-z0-9])[a-z]+")
-_SPACE = re.compile(r"\s+")
-
-
-class Node:
-    """A block element. ``parts`` holds its texts and child nodes in page order."""
-
-    __slots__ = ("tag", "never", "named", "parts", "children", "slot")
-
-    def __init__(self, tag: str, never: bool, named: bool = False):
-        self.tag, self.never, self.named, self.parts, self.children, self.slot = tag, never, named, [], [], ""
-
-
-def _tells(name: str) -> bool:
-    """Whether a class, id, role or label calls its element something that is not the article."""
-    found = _WORD.findall(name)
-    if OTHERWISE.intersection(found):
-        return False
-    while len(found) > 1 and found[-1] in HOLDERS:
-        found.pop()
-    return bool(found) and found[-1] in NOT_ARTICLE and not (found[-1] == "header" and TITLED.intersection(found))
-
-
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The tag with its class, as a slot shows it, and whether its tag and its names say that it is not the article."""
-    names = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMED.finditer(attributes)} if "=" in attributes else {}
-    named = tag not in ("html", "body") and any(_tells(n) for k, v in names.items() for n in ([v] if k == "aria-label" else v.split()))
-    return (tag + "." + names["class"].split()[0] if names.get("class", "").split() else tag), tag in NEVER, named
-
-
-def parse(page: str) -> Node:
-    """The tree of block elements of a page, tolerant of what is not closed."""
-    root = Node("", False)
-    stack, at = [root], 0
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            break
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in INLINE:
-                if tag != "a":
-                    continue
-                stack[-1].parts.append("")
-            elif any(n.tag.split(".")[0] == tag for n in stack[1:]):
-                while stack.pop().tag.split(".")[0] != tag:
-                    pass
-            continue
-        if tag in INLINE:
-            if tag == "br":
-                stack[-1].parts.append(" ")
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        name = [n.tag.split(".")[0] for n in stack]
-        if tag in CLOSES_P and name[-1] == "p":
-            stack.pop()
-        elif tag in ("li", "dd", "dt", "tr", "td", "th", "option") and name[-1] == "p" and len(stack) > 1:
-            stack.pop()
-        name = [n.tag.split(".")[0] for n in stack]
-        same = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-        if tag == "tr" and name[-1] in ("td", "th"):
-            stack.pop()
-            name.pop()
-        if name[-1] in same or tag == "tr" == name[-1]:
-            stack.pop()
-        label, never, named = _label(tag, m[3])
-        node = Node(label, never or stack[-1].never, named)
-        stack[-1].parts.append(node)
-        stack[-1].children.append(node)
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
-    if at < len(page):
-        stack[-1].parts.append(page[at:])
-    return root
-
-
-def skeleton(node: Node) -> tuple:
-    """The tree's tags as nested tuples: (tag, children)."""
-    return node.tag, tuple(skeleton(c) for c in node.children[:ALIGNED])
-
-
-def written(tree: tuple) -> str:
-    return tree[0].replace("(", "").replace(")", "").replace(",", "") + "(" + ",".join(map(written, tree[1])) + ")"
-
-
-def read(text: str) -> tuple:
-    """Inverse of :func:`written`."""
-    stack: list[tuple[str, list]] = [("", [])]
-    for tag, mark in re.findall(r"([^(),]*)([(),])", text):
-        if mark == "(":
-            stack.append((tag, []))
-        elif mark == ")":
-            name, children = stack.pop()
-            stack[-1][1].append((name, tuple(children)))
-    return stack[0][1][0]
-
-
-def align(a: Node, b: tuple, place: str = "0") -> None:
-    """Give each node of ``a`` its slot in the reference tree ``b`` by simple tree matching.
-
-    Nodes match when their tags do; the order-keeping matching of most nodes is taken, children within parents.
-    """
-    size: dict[tuple[int, int], int] = {}
+_EMPTY = "0 . "
+_READ = "page_id long, url string, host string, page long, parent array<int>, flags array<int>, node array<int>, slot array<long>, path array<long>, text array<string>"
 
-    def table(x: Node, y: tuple) -> list[list[int]]:
-        xs, ys = x.children[:ALIGNED], y[1]
-        m = [[0] * (len(ys) + 1)]
-        for p in xs:
-            row, last = [0], m[-1]
-            for j, q in enumerate(ys):
-                row.append(max(row[j], last[j + 1], last[j] + match(p, q)))
-            m.append(row)
-        return m
 
-    def match(x: Node, y: tuple) -> int:
-        if x.tag != y[0]:
-            return 0
-        if not x.children or not y[1]:
-            return 1
-        key = id(x), id(y)
-        if key not in size:
-            size[key] = table(x, y)[-1][-1] + 1
-        return size[key]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    def assign(x: Node, y: tuple, place: str) -> None:
-        x.slot = place
-        m, i, j = table(x, y), min(len(x.children), ALIGNED), len(y[1])
-        paired: dict[int, int] = {}
-        while i and j:
-            if (w := match(x.children[i - 1], y[1][j - 1])) and m[i][j] == m[i - 1][j - 1] + w:
-                paired[i - 1] = j - 1
-                i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        for k, child in enumerate(x.children):
-            if k in paired:
-                assign(child, y[1][paired[k]], f"{place}.{paired[k]}")
-            else:
-                loose(child, place)
 
-    def loose(x: Node, place: str) -> None:
-        x.slot = f"{place}/{x.tag}"
-        for child in x.children:
-            loose(child, x.slot)
-
-    assign(a, b, place)
-
-
-def blocks(node: Node, path: str = "") -> Iterator[tuple[Node, str, str]]:
-    """``(node, tag path, text)`` for every run of text between block borders, white space made single."""
-    run: list[str] = []
-    path = f"{path}/{node.tag}"
-
-    def text() -> str:
-        return _SPACE.sub(" ", entities.unescape("".join(run))).strip()
-
-    for part in node.parts:
-        if isinstance(part, str):
-            run.append(part)
-        else:
-            if found := text():
-                yield node, path, found
-            run = []
-            yield from blocks(part, path)
-    if found := text():
-        yield node, path, found
-
-
-def _page_blocks(page: str | None, reference: str) -> tuple[Node, list[tuple[Node, str, str]]]:
-    tree = parse(page or "")
-    align(tree, read(reference))
-    return tree, list(blocks(tree))
-
-
-def named_below(tree: Node, content: dict[int, int]) -> set[int]:
-    """The ids of the nodes in elements that their names drop; ``content`` has the characters in content slots by node id."""
-    total: dict[int, int] = {}
-    holds: set[int] = set()  # with text of an article or main element, which is not so named itself
-
-    def is_article(node: Node) -> bool:
-        return node.tag.split(".")[0] in ("article", "main") and not node.named
-
-    def add(node: Node) -> None:
-        for child in node.children:
-            add(child)
-        total[id(node)] = content.get(id(node), 0) + sum(total[id(c)] for c in node.children)
-        if total[id(node)] and (is_article(node) or any(id(c) in holds for c in node.children)):
-            holds.add(id(node))
-
-    def free(node: Node, within: bool) -> bool:
-        within = within or is_article(node)
-        return within and content.get(id(node), 0) > 0 or any(free(c, within) for c in node.children if not c.named or c.tag.split(".")[0] in ("article", "main") and not within)
-
-    add(tree)
-    other, out = free(tree, False), set()
-
-    def judge(node: Node, below: bool) -> None:
-        if node.named and node.tag.split(".")[0] not in ("article", "main"):
-            below = below or not (total[id(node)] >= MOST * total[id(tree)] or id(node) in holds and not other)
-        if below:
-            out.add(id(node))
-        for child in node.children:
-            judge(child, below)
-
-    judge(tree, False)
-    return out
-
-
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        trees = [written(skeleton(parse(h or ""))) for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string())], ["host", "tree"])
+        for i in range(batch.num_rows):
+            tree = html_tree.Reference.written(html_tree.Page(batch.column("html")[i].as_py() or ""))
+            yield pa.RecordBatch.from_arrays([batch.column("host").slice(i, 1), pa.array([tree], pa.string())], ["host", "tree"])
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, slot, path, text hash, page hash) of each block that could be content by its names."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's elements that hold text, and its blocks that no tag bars, with their slots and tag paths."""
+    trees: dict[str, html_tree.Reference] = {}
+    kinds = [pa.list_(pa.int32())] * 3 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.string())]
+    names = ["page", "parent", "flags", "node", "slot", "path", "text"]
     for batch in batches:
-        out: list[tuple] = []
-        for host, page, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "tree")), strict=True):
-            _, found = _page_blocks(page, tree)
-            longest = max((t for _, _, t in found), key=len, default="")
-            sign = _hash(longest)
-            out += {(host, n.slot, p, _hash(t), sign) for n, p, t in found}
-        yield pa.RecordBatch.from_pydict(dict(zip(("host", "slot", "path", "text", "page"), map(list, zip(*out, strict=True)), strict=True)) if out else {c: [] for c in ("host", "slot", "path", "text", "page")}, schema=pa.schema([("host", pa.string()), ("slot", pa.string()), ("path", pa.string()), ("text", pa.int64()), ("page", pa.int64())]))
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first in range(0, batch.num_rows, 64):
+            part = batch.slice(first, 64)
+            rows: list[tuple] = []
+            for host, page, written in zip(*(part.column(c).to_pylist() for c in ("host", "html", "tree")), strict=True):
+                if host not in trees:
+                    if len(trees) > 256:
+                        trees.clear()
+                    trees[host] = html_tree.Reference(written)
+                tree = html_tree.Page(page or "")
+                slot, path = html_tree.align(tree, trees[host]), html_tree.paths(tree)
+                blocks = [(n, t) for n, t in tree.blocks if not tree.flags[n] & html_tree.BARRED]
+                kept = {0}
+                for n, _ in blocks:
+                    while n not in kept:
+                        kept.add(n)
+                        n = tree.parent[n]
+                order = sorted(kept)
+                at = {n: i for i, n in enumerate(order)}
+                sign = 0
+                for t in sorted((t for _, t in blocks), key=len, reverse=True)[:3]:
+                    sign = html_tree.joint(sign, html_tree.text_hash(t))
+                rows.append((_signed(sign), [at[tree.parent[n]] for n in order], [tree.flags[n] for n in order], [at[n] for n, _ in blocks],
+                             [_signed(slot[n]) for n, _ in blocks], [_signed(path[n]) for n, _ in blocks], [t for _, t in blocks]))
+            columns = zip(*rows, strict=True)
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, [pa.int64(), *kinds], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), *arrays], ["page_id", "url", "host", *names])
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for page, tree, template in zip(*(batch.column(c).to_pylist() for c in ("html", "tree", "template")), strict=True):
-            fixed = set((template or "").split("\n"))
-            root, found = _page_blocks(page, tree)
-            found = [(n, t) for n, p, t in found if not n.never and n.slot + " " + p not in fixed]
-            content: dict[int, int] = {}
-            for n, t in found:
-                content[id(n)] = content.get(id(n), 0) + len(t)
-            named = named_below(root, content)
-            texts.append("\n".join(t for n, t in found if id(n) not in named))
+        texts, held = [], (None, frozenset())
+        for template, parent, flags, node, slot, text in zip(*(batch.column(c).to_pylist() for c in ("template", "parent", "flags", "node", "slot", "text")), strict=True):
+            if template != held[0]:
+                held = template, frozenset(template or ())
+            found = [(n, t) for n, s, t in zip(node, slot, text, strict=True) if s not in held[1]]
+            keep = html_tree.article(parent, flags, [n for n, _ in found], [len(t) for _, t in found])
+            texts.append("\n".join(t for (_, t), k in zip(found, keep, strict=True) if k))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def by_size(table: DataFrame, *texts: str) -> DataFrame:
-    """``table`` (written, a row for each host) marked for broadcast if its strings have BROADCAST_MOST characters at most."""
-    size = table.agg(F.sum(sum((F.length(t) for t in texts), F.lit(64)))).first()[0] or 0
-    return F.broadcast(table) if size <= BROADCAST_MOST else table
+def by_size(table: DataFrame, size) -> DataFrame:
+    """``table`` (written, a row for each host) marked for broadcast if ``size``, summed, is BROADCAST_MOST bytes at most."""
+    total = table.agg(F.sum(size + 64)).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_MOST else table
 
 
-def wrappers(pages: DataFrame, references: DataFrame) -> DataFrame:
-    """``(host, template)``: the slots (with their tag paths) that are template on a host's pages."""
-    seen = pages.join(references, "host").select("host", "html", "tree").mapInArrow(_slots, "host string, slot string, path string, text long, page long").distinct()
-    seen = saved(seen, "slots")
+def templates(read: DataFrame) -> DataFrame:
+    """``(host, template)``: the slots that are template on a host's pages.
+
+    ``read`` has ``page`` (the page's sign) and, for each block, slot, tag path and a hash of the text (``hash``).
+    """
+    seen = read.select("host", "page", F.explode(F.arrays_zip("slot", "path", "hash")).alias("b")).select("host", "page", "b.slot", "b.path", F.col("b.hash").alias("text"))
     counts = seen.groupBy("host", "slot", "path").agg(F.countDistinct("text").alias("texts"), F.countDistinct("page").alias("pages"))
     anywhere = seen.groupBy("path").agg(F.countDistinct("text").alias("all_texts"), F.countDistinct("page").alias("all_pages"))
-    few = F.col("pages") < LEAST_PAGES
-    ratio = F.when(few & (F.col("all_pages") >= LEAST_PAGES), F.col("all_texts") / F.col("all_pages")).when(~few, F.col("texts") / F.col("pages")).otherwise(F.lit(1.0))
-    slots = counts.join(anywhere, "path").where(ratio < VARIES)
-    return slots.groupBy("host").agg(F.concat_ws("\n", F.collect_list(F.concat_ws(" ", "slot", "path"))).alias("template"))
+    usual = F.least(F.lit(1.0), (F.col("all_texts") + PRIOR) / (F.col("all_pages") + PRIOR))
+    fixed = counts.join(anywhere, "path").where((F.col("texts") + PRIOR * usual) / (F.col("pages") + PRIOR) < VARIES)
+    return fixed.groupBy("host").agg(F.collect_set("slot").alias("template"))  # slots of one host's reference tree
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages`` (page_id, url, html)."""
-    pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     first = saved(pages.groupBy("host").agg(F.min("page_id").alias("page_id")), "first")
-    reference = pages.join(by_size(first, "host"), ["host", "page_id"]).select("host", "html").mapInArrow(_skeletons, "host string, tree string")
+    reference = pages.join(by_size(first, F.length("host")), ["host", "page_id"]).select("host", "html").mapInArrow(_trees, "host string, tree string")
     # a host whose pages all lack an id takes the empty tree; equal ids in a host: the least tree
-    reference = first.select("host").join(reference.groupBy("host").agg(F.min("tree").alias("tree")), "host", "left").select("host", F.coalesce("tree", F.lit("()")).alias("tree"))
-    reference = by_size(saved(reference, "references"), "host", "tree")
-    known = pages.select("page_id", "url", "host", "html")
-    template = by_size(saved(wrappers(known, reference), "templates"), "host", "template")
-    return known.join(reference, "host").join(template, "host", "left").select("page_id", "url", "html", "tree", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    reference = first.select("host").join(reference.groupBy("host").agg(F.min("tree").alias("tree")), "host", "left").select("host", F.coalesce("tree", F.lit(_EMPTY)).alias("tree"))
+    reference = saved(reference, "references")
+    read = pages.join(by_size(reference, F.length("tree") + F.length("host")), "host").select("page_id", "url", "host", "html", "tree").mapInArrow(_read, _READ)
+    # a host's own name in a text is no difference
+    read = saved(read.withColumn("hash", F.transform("text", lambda t: F.xxhash64(F.when(F.col("host") == "", t).otherwise(F.replace(t, F.col("host"), F.lit("")))))), "read")
+    dropped(first, reference)
+    fixed = by_size(saved(templates(read), "templates"), 8 * F.size("template"))
+    chosen = read.join(fixed, "host", "left").select("page_id", "url", "template", "parent", "flags", "node", "slot", "text")
+    return chosen.mapInArrow(_choose, "page_id long, url string, text string, n_chars long")
