@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicklog.llm import html_tree
-from clicklog.llm.store import dropped, saved
+from clicklog.llm.store import saved, scratch
 from clicklog.llm.url_filter import host_of
 
 #: A slot with fewer different texts than this share of its pages is template.
@@ -122,15 +122,17 @@ def templates(read: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages`` (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    first = saved(pages.groupBy("host").agg(F.min("page_id").alias("page_id")), "first")
-    reference = pages.join(by_size(first, F.length("host")), ["host", "page_id"]).select("host", "html").mapInArrow(_trees, "host string, tree string")
-    # a host whose pages all lack an id takes the empty tree; equal ids in a host: the least tree
-    reference = first.select("host").join(reference.groupBy("host").agg(F.min("tree").alias("tree")), "host", "left").select("host", F.coalesce("tree", F.lit(_EMPTY)).alias("tree"))
-    reference = saved(reference, "references")
-    read = pages.join(by_size(reference, F.length("tree") + F.length("host")), "host").select("page_id", "url", "host", "html", "tree").mapInArrow(_read, _READ)
-    # a host's own name in a text is no difference
-    read = saved(read.withColumn("hash", F.transform("text", lambda t: F.xxhash64(F.when(F.col("host") == "", t).otherwise(F.replace(t, F.col("host"), F.lit("")))))), "read")
-    dropped(first, reference)
-    fixed = by_size(saved(templates(read), "templates"), 8 * F.size("template"))
+    with scratch() as kept:
+        first = saved(pages.groupBy("host").agg(F.min("page_id").alias("page_id")), "first")
+        reference = pages.join(by_size(first, F.length("host")), ["host", "page_id"]).select("host", "html").mapInArrow(_trees, "host string, tree string")
+        # a host whose pages all lack an id takes the empty tree; equal ids in a host: the least tree
+        reference = first.select("host").join(reference.groupBy("host").agg(F.min("tree").alias("tree")), "host", "left").select("host", F.coalesce("tree", F.lit(_EMPTY)).alias("tree"))
+        reference = saved(reference, "references")
+        read = pages.join(by_size(reference, F.length("tree") + F.length("host")), "host").select("page_id", "url", "host", "html", "tree").mapInArrow(_read, _READ)
+        # a host's own name in a text is no difference
+        read = saved(read.withColumn("hash", F.transform("text", lambda t: F.xxhash64(F.when(F.col("host") == "", t).otherwise(F.replace(t, F.col("host"), F.lit("")))))), "read")
+        fixed = saved(templates(read), "templates")
+        kept += [read, fixed]
+        fixed = by_size(fixed, 8 * F.size("template"))
     chosen = read.join(fixed, "host", "left").select("page_id", "url", "template", "parent", "flags", "node", "slot", "text")
     return chosen.mapInArrow(_choose, "page_id long, url string, text string, n_chars long")

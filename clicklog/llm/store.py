@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,10 +29,34 @@ def saved(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.saved_path = path
+    if _scopes:
+        _scopes[-1].append(back)
     return back
 
 
-def dropped(*frames: DataFrame) -> None:
+#: Tables written in each open :func:`scratch`, the innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, also after a failure. What the result still reads is put into the
+    list that this gives; it is left to the scratch around this one, if there is one."""
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        inside = _scopes.pop()
+        dropped(*(t for t in inside if not any(t is k for k in kept)))
+        if _scopes:
+            _scopes[-1] += [t for t in inside if any(t is k for k in kept)]
+
+
+def dropped(*frames: DataFrame | None) -> None:
     """Delete tables written by :func:`saved` that no later result reads."""
     for df in frames:
         path = getattr(df, "saved_path", None)
