@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words, over all documents, give the weights (IDF).
-2. Passages are dealt into groups of at most GROUP. A randomised SVD of each group's TF-IDF vectors (a task a group)
+2. Passages are dealt into groups of at most GROUP and GROUP_WORDS words. A randomised SVD of each group's TF-IDF vectors (a task a group)
    gives its latent space, which holds all of its passages, as its rank is above GROUP.
 3. A document that holds a passage has, by count, at least one of its rarest words: of n words of which m must be
    there, one of the n - m + 1 rarest. Around each such word the text is folded into the passage's latent space. Its
@@ -14,9 +14,9 @@ A document is contaminated by an item if the common subsequence covers NEAR of t
 them and ANSWER of the answer's words, in a stretch of text that goes the item's length beyond each side of two blocks of
 BLOCK words. ``cosine`` is that of the stretch and the passage in the latent space.
 
-Passages are read in blocks of at most ITEMS, each broadcast with its latent matrices; more passages mean more passes
+Passages are read in blocks of about ITEMS or BYTES, each broadcast with its latent matrices; more passages mean more passes
 over the documents. Case is ignored. Nulls: a null text or item has no words and matches nothing; items of fewer than LEAST_WORDS
-words must occur whole. A null doc_id or item_id is kept as it is. Very long texts are searched whole, repeated
+words must occur whole, as a phrase. A null doc_id or item_id is kept as it is. Very long texts are searched whole, repeated
 rows each give their own result rows, empty tables an empty result. Other columns are ignored.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicklog.llm import words
+from clicklog.llm.store import spare
 
 FEATURES = 1 << 18
 SLICE = 1 << 13
@@ -38,8 +39,9 @@ BLOCK = 24
 RANK, OVERSAMPLE = 192, 32
 NEAR, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.8, 0.5, 0.8, 8
 LEAST_WORDS = 8
-GROUP = 150
-ITEMS = 5_000
+#: Items and words of a group (a longer item is a group of its own), items and bytes of a block (on average).
+GROUP, GROUP_WORDS = 150, 1 << 14
+ITEMS, BYTES = 5_000, 8_000_000
 
 
 def _features(hashes: np.ndarray) -> np.ndarray:
@@ -101,6 +103,7 @@ class Passages:
     items: np.ndarray  # that a feature brings up
     least: np.ndarray  # product with the item's unit vector that an accepted text has at least
     groups: list[Latent]
+    places: list[tuple[int, int]]  # each item's group, and its row there
 
 
 def _tfidf(features: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +122,7 @@ def latent_space(rows: list[tuple[np.ndarray, np.ndarray]], rank: int = RANK, se
     whole = np.zeros((len(rows), len(features)))
     for i, (f, v) in enumerate(rows):
         whole[i, np.searchsorted(features, f)] = v
-    k = min(rank + OVERSAMPLE, len(features))
+    k = min(rank + OVERSAMPLE, len(features), len(rows) + OVERSAMPLE)
     bits = words.mix(features.astype(np.uint64)[:, None] * np.uint64(k + 1) + np.arange(k, dtype=np.uint64), seed)
     basis, _ = np.linalg.qr(whole.T @ (whole @ np.where(bits & np.uint64(1), 1.0, -1.0)))
     inside = whole @ basis
@@ -164,6 +167,13 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def is_phrase(item: np.ndarray, text: np.ndarray) -> bool:
+    """Whether the item's words stand side by side in the text."""
+    if len(text) < len(item):
+        return False
+    return bool((np.lib.stride_tricks.sliding_window_view(text, len(item)) == item).all(1).any())
+
+
 def matches(p: Passages, text: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """``(row, item, lcs, answer, cosine)`` for the texts that hold an item."""
     many = np.diff(p.bounds)
@@ -184,7 +194,8 @@ def matches(p: Passages, text: pa.Array) -> Iterator[tuple[int, int, float, floa
         doc = np.searchsorted(bounds, start, side="right") - 1
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for a, d, j in zip(start.tolist(), doc.tolist(), items.tolist(), strict=True):
-            item, group, k = p.tokens[j], p.groups[j // GROUP], j % GROUP
+            item, (group, k) = p.tokens[j], p.places[j]
+            group = p.groups[group]
             low, high = max(bounds[d], a - len(item)), min(bounds[d + 1], a + 2 * BLOCK + len(item))
             near = features[low:high]
             at = np.minimum(np.searchsorted(group.features, near), len(group.features) - 1)
@@ -197,9 +208,14 @@ def matches(p: Passages, text: pa.Array) -> Iterator[tuple[int, int, float, floa
             if (product + beyond) * (1 + 1e-3) + 1e-3 < p.least[j]:
                 continue
             around = hashes[low:high]
-            common = common_subsequence(item, around) / len(item)
-            reply = len(answers[j] & set(around.tolist())) / len(answers[j])
-            if common >= (1.0 if len(item) < LEAST_WORDS else NEAR) or (len(item) >= LEAST_WORDS and common >= PARAPHRASE and reply >= ANSWER):
+            if len(item) < LEAST_WORDS:
+                common = reply = float(is_phrase(item, around))
+                held = common == 1
+            else:
+                common = common_subsequence(item, around) / len(item)
+                reply = len(answers[j] & set(around.tolist())) / len(answers[j])
+                held = common >= NEAR or (common >= PARAPHRASE and reply >= ANSWER)
+            if held:
                 at, tf = np.unique(near, return_counts=True)
                 cosine = product / max(np.linalg.norm(tf * p.idf[at]) * np.linalg.norm(group.folded[k]), 1e-12)
                 best[first + d, j] = max(best.get((first + d, j), (0.0, 0.0, 0.0)), (common, reply, float(cosine)))
@@ -211,7 +227,8 @@ def blocks_of(docs: DataFrame, benchmark: DataFrame, items_a_block: int = ITEMS,
     spark = docs.sparkSession
     seen, total = document_frequencies(docs.select(F.lower("text").alias("text")))
     idf = np.log((1 + total) / (1 + seen)) + 0.1
-    blocks = max(1, -(-benchmark.count() // items_a_block))
+    size = benchmark.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    blocks = max(1, -(-size["n"] // items_a_block), -(-(size["b"] or 0) // BYTES))
     split = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for block in range(blocks):
         items = split.where((F.col("_block") == block) & F.col("text").isNotNull()).drop("_block")
@@ -224,13 +241,20 @@ def blocks_of(docs: DataFrame, benchmark: DataFrame, items_a_block: int = ITEMS,
         if not keep:
             continue
         vectors = [_tfidf(_features(tokens[i]), idf) for i in keep]
-        groups = [vectors[i : i + GROUP] for i in range(0, len(vectors), GROUP)]
+        groups, places, held = [], [], 0
+        for i, v in zip(keep, vectors, strict=True):
+            if not groups or len(groups[-1]) == GROUP or held + len(tokens[i]) > GROUP_WORDS:
+                groups.append([])
+                held = 0
+            places.append((len(groups) - 1, len(groups[-1])))
+            groups[-1].append(v)
+            held += len(tokens[i])
         groups = spark.sparkContext.parallelize(groups, len(groups)).map(lambda g: latent_space(g, rank)).collect()
         bring, least = zip(*(bounds_of(tokens[i], idf) for i in keep), strict=True)
         feature, item = np.concatenate(bring), np.repeat(np.arange(len(keep)), [len(b) for b in bring])
         order = np.argsort(feature, kind="stable")
         bounds = np.searchsorted(feature[order], np.arange(FEATURES + 1))
-        yield spark.sparkContext.broadcast(Passages([rows[i]["item_id"] for i in keep], [tokens[i] for i in keep], idf, bounds, item[order], np.array(least), groups))
+        yield spark.sparkContext.broadcast(Passages([rows[i]["item_id"] for i in keep], [tokens[i] for i in keep], idf, bounds, item[order], np.array(least), groups, places))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, items_a_block: int = ITEMS, rank: int = RANK) -> DataFrame:
@@ -256,11 +280,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, items_a_block: int = ITEMS, ran
     def kept(passages, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stays = np.ones(batch.num_rows, bool)
-            stays[[m[0] for m in matches(passages.value, batch.column("_lower"))]] = False
+            stays[[m[0] for m in matches(passages.value, batch.column(lower))]] = False
             yield batch.select(names).filter(pa.array(stays))
 
-    names = docs.columns
+    names, lower = docs.columns, spare(docs.columns, "lower")
 
     for passages in blocks_of(docs, benchmark, items_a_block, rank):
-        docs = docs.withColumn("_lower", F.lower("text")).mapInArrow(lambda b, passages=passages: kept(passages, b), docs.schema)
+        docs = docs.withColumn(lower, F.lower("text")).mapInArrow(lambda b, passages=passages: kept(passages, b), docs.schema)
     return docs

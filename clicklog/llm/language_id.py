@@ -5,9 +5,11 @@ mark; only the outer bytes of an n-gram may be white space). Embeddings and soft
 gradient descent in numpy on a bounded sample of labelled rows (SAMPLE, chosen by hash). Part of the sample is held
 back: it sets the softmax's temperature and the score below which a text is rejected.
 
-Nulls: a null text, or one without a letter, is ``und`` with score 0. Very long texts are read whole. A text with
-letters always gets a learned language; with no labelled rows there is none and every text is ``und``. Repeated
-rows get equal answers; an empty table gives an empty result. Other columns are kept, result names are replaced.
+Nulls: a null text, or one without a letter, is ``und`` with score 0. Very long texts are read whole. A text with letters
+always gets a learned language, and is rejected if its score is far below those of right answers (text of no learned
+language, junk); with no labelled rows there is no language and every text is ``und``. Rows with equal doc_id, text
+and lang are learned from once; repeated rows get equal answers; an empty table gives an empty result. Other columns are
+kept, result names are replaced.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clicklog.llm import words
 
 BUCKETS, DIM = 1 << 13, 16
-SAMPLE = 2400
-REJECT_QUANTILE = 0.0005
+#: Labelled rows learned from in all, and of a language at least; the most frequent LANGUAGES are learned.
+SAMPLE, LEAST, LANGUAGES = 2400, 24, 100
+#: A text is rejected below this share of the score that all right ones but a REJECT_QUANTILE of those held back reach.
+REJECT_QUANTILE, REJECT_SHARE = 0.002, 0.6
 _CODE = np.where(words.SPACE, 0, words.LOWER).astype(np.uint64)
 
 
@@ -117,16 +121,27 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 40, rate:
     heat = min(np.geomspace(0.25, 8, 26), key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(check)), y[check]], 1e-12)).mean())
     p = softmax(logits / heat)
     right = p.max(1)[p.argmax(1) == y[check]]
-    # a text passes unless its score is below nearly all right ones and below an even guess
-    reject = min(float(np.quantile(right, REJECT_QUANTILE)) if len(right) else 0.0, 1.2 / max(2, len(langs)))
+    # a text passes unless its score is well below nearly all right ones
+    reject = REJECT_SHARE * float(np.quantile(right, REJECT_QUANTILE)) if len(right) else 0.0
     return Model(langs, table / heat, bias / heat, reject)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learn from ``labelled`` (doc_id, text, lang). The ``sample`` rows of least hash are used; texts become subword shares on the executors."""
-    labelled = labelled.where("lang is not null").select("doc_id", "text", "lang").withColumn("_h", F.xxhash64("doc_id"))
-    least = labelled.select("_h").orderBy("_h").limit(sample).distinct()
-    rows = labelled.join(F.broadcast(least), "_h", "left_semi").where("text is not null").select("text", "lang")  # at most ``sample`` hashes
+def train(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
+    """Learn from ``labelled`` (doc_id, text, lang): of each of the most frequent ``languages`` as many rows, those of
+    least hash, ``sample`` in all (but LEAST of a language). Texts become subword shares on the executors."""
+    labelled = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not found:
+        return None
+    most = max(LEAST, sample // len(found))
+    # hashes fall evenly: below this bound a language has about twice the rows wanted, or all that it has
+    bound = [(r["lang"], min(int(2 * most / r["n"] * 2**64), 2**64 - 1) - 2**63) for r in found]
+    bounds = F.broadcast(labelled.sparkSession.createDataFrame(bound, "lang string, bound long"))  # ``languages`` rows at most
+    near = labelled.join(bounds, "lang").where("h <= bound")
+    first = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    chosen = near.select("lang", "h", F.xxhash64("text").alias("t"), F.row_number().over(first).alias("i")).where(F.col("i") <= most).select("lang", "h", "t").distinct()
+    rows = near.join(F.broadcast(chosen), (near["lang"] == chosen["lang"]) & (near["h"] == chosen["h"]) & (F.xxhash64("text") == chosen["t"]), "left_semi")
+    rows = rows.select("text", near["lang"]).distinct()
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,12 +149,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
                 part = batch.slice(i, 256)
                 found = counted(part.column("text"))
                 hit = [np.flatnonzero(r) for r in found]
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([h.astype("<i2").tobytes() for h in hit], pa.binary()), pa.array([r[h].tobytes() for r, h in zip(found, hit, strict=True)], pa.binary())], ["lang", "at", "share"])
+                at = pa.array([h.astype("<i2").tobytes() for h in hit], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("lang"), at, pa.array([r[h].tobytes() for r, h in zip(found, hit, strict=True)], pa.binary())], ["lang", "at", "share"])
 
-    got = rows.mapInArrow(shares, "lang string, at binary, share binary").collect()
+    got = rows.mapInArrow(shares, "lang string, at binary, share binary").collect()  # max(sample, LEAST * languages) rows at most
     langs = sorted({r["lang"] for r in got})
     if not langs:
         return None
+    got.sort(key=lambda r: tuple(r))
     x = np.zeros((len(got), BUCKETS), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], "<i2")] = np.frombuffer(r["share"], np.float32)

@@ -1,12 +1,13 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document draws the key ``-ln(u) / weight`` (``u`` from a hash of its id and text). A source whose target
-is ``e`` full epochs and a rest gives every document ``e`` times; the rest takes documents by ascending key
-until the budget is met, and the last one in part, so that a source's words meet its target to within one word.
-
-Nulls: a null text has size 0; a null source is a source of its own, last in order. Empty texts are taken 0
-words. Rows that are equal in all columns are taken one after the other. An empty table gives an empty result.
-Other columns of the input are kept; those that share a name with a result column are replaced.
+Each document draws the key ``-ln(u) / weight`` (``u`` from a hash of its id and text; the weight is its quality, half
+and half the share of letters in its text). A source whose target is ``e`` full epochs and a rest gives every document
+``e`` times; the rest takes documents by ascending key until the budget is met, and the last one in part, so that a
+source's words meet its target to within one word.
+
+Nulls: a null text has size 0; a null source is a source of its own, last in order. Empty texts are taken 0 words. Rows
+with equal doc_id and text share a draw and are taken one after the other. An empty table gives an empty result. Other
+columns of the input are kept, whatever their names; those that share a name with a result column are replaced.
 """
 
 from __future__ import annotations
@@ -15,86 +16,101 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicklog.llm import words
-from clicklog.llm.store import saved
+from clicklog.llm.store import gapless, in_order, saved, scratch
 
-#: Sources are few; the table of their sizes is the one thing the driver sees. More than this is an error.
-MOST_SOURCES = 1_000_000
 MOST_EPOCHS = 3
+#: A table with a row for each source is broadcast up to so many sources, else the rows are shuffled by source.
+BROADCAST_MOST = 100_000
 _LETTER = np.zeros(256, dtype=np.int64)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
-def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_size`` (words of the text) and ``_weight`` (0.5 to 1: half, and half the share of letters); drops the text."""
-    kept = [c for c in df.columns if c != text]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, weights = [], []
-            for _, data, offsets in words.chunks(batch.column(text)):
-                _, rows = words.word_starts(data, offsets)
-                sizes.append(np.diff(rows))
-                ink = words.sums(~words.SPACE[data], offsets)
-                weights.append(0.5 + 0.5 * words.sums(_LETTER[data], offsets) / np.maximum(ink, 1))
-            more = [np.concatenate(x) if x else np.zeros(0) for x in (sizes, weights)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(more[0].astype(np.int64)), pa.array(more[1].astype(float))], [*kept, "_size", "_weight"])
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``text`` becomes ``size`` (its words) and ``weight`` (0.5 to 1: half, and half the share of letters)."""
+    for batch in batches:
+        sizes, weights = [], []
+        for _, data, offsets in words.chunks(batch.column("text")):
+            _, rows = words.word_starts(data, offsets)
+            sizes.append(np.diff(rows))
+            ink = words.sums(~words.SPACE[data], offsets)
+            weights.append(0.5 + 0.5 * words.sums(_LETTER[data], offsets) / np.maximum(ink, 1))
+        more = [np.concatenate(x) if x else np.zeros(0) for x in (sizes, weights)]
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(more[0].astype(np.int64)), pa.array(more[1].astype(float))], [*kept, "size", "weight"])
 
-    schema = df.drop(text).schema.add("_size", "long").add("_weight", "double")
-    return df.mapInArrow(count, schema)
 
+def targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = MOST_EPOCHS) -> DataFrame:
+    """``source, source_size`` with ``target``: all words by weight, none above ``epochs`` times its size.
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: float = MOST_EPOCHS) -> list[float]:
-    """Targets for sources in order: all words by weight, none above ``epochs`` times its size, the excess shared anew."""
-    total, n = float(sum(s for _, s in sizes)), len(sizes)
-    weight = [weights[i % len(weights)] for i in range(n)]
-    full: set[int] = set()
+    Weights repeat over the sources in order, null last. The excess of sources above their limit is shared anew, until
+    none is above. A source is at its limit when a share for weight 1 is above ``limit``, and shares only grow: the
+    state of the rounds is one number.
+    """
+    place = F.pmod(F.col("place"), F.lit(len(weights)))
+    numbered = in_order(sources, [F.col("source").isNull(), F.col("source")], "place")
+    most = F.lit(float(epochs)) * F.col("source_size")
+    sized = numbered.withColumn("w", F.array(*map(F.lit, weights))[place.cast("int")]).withColumn("limit", most / F.col("w"))
+    total = float(sized.agg(F.sum("source_size").alias("s")).first()["s"] or 0)
+    share, level = (0.0, 1.0), -1.0
     while True:
-        rest = total - sum(epochs * sizes[i][1] for i in full)
-        free = sum(weight[i] for i in range(n) if i not in full)
-        out = [epochs * float(s) if i in full else rest * weight[i] / free for i, (_, s) in enumerate(sizes)]
-        above = {i for i in range(n) if i not in full and out[i] > epochs * sizes[i][1]}
-        if not above:
-            return out
-        full |= above
+        full: Column = F.col("limit") < level
+        got = sized.agg(F.sum(F.when(full, most).otherwise(0.0)).alias("at_limit"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("free")).first()
+        share = total - (got["at_limit"] or 0.0), got["free"] or 1.0
+        if share[0] / share[1] <= level:
+            break
+        level = share[0] / share[1]
+    return sized.select("source", "source_size", F.when(F.col("limit") < level, most).otherwise(F.lit(share[0]) * F.col("w") / F.lit(share[1])).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 17, buckets: int = 4096) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) without text, with ``size``, ``source_size``, ``target`` and ``taken``.
 
     A source's prefix sums come from a histogram of its keys: buckets before the boundary are taken whole, and
-    only the boundary bucket is sorted, so a hot source is never gathered in one task.
+    only the boundary bucket is sorted, by its different (doc_id, text), so a hot source is never gathered in one task.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("size", "source_size", "target", "taken")
-    sized = word_counts(docs.withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_tie", F.xxhash64("text")))
+    results = ["size", "source_size", "target", "taken"]
+    own = [c for c in docs.columns if c.lower() not in (*results, "text")]
+    # the input's columns ride in one struct, so that no name in it can meet one used here
+    sized = docs.select(F.struct(*(docs[c] for c in own)).alias("row"), F.col("source").alias("source"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), F.xxhash64("doc_id", F.lit(seed), "text").alias("tie"), "text")
+    sized = sized.mapInArrow(counted, sized.drop("text").schema.add("size", "long").add("weight", "double"))
     # (53 bits + 1/2) / 2^53 is in (0, 1); 1 - exp(-key) then falls evenly, a monotone map of the key to a bucket
-    u = (F.shiftrightunsigned("_draw", 11).cast("double") + 0.5) / float(1 << 53)
-    sized = sized.withColumn("_key", -F.log(u) / F.col("_weight")).withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * buckets).cast("int"))
-    sized = saved(sized.drop("_draw", "_weight").withColumnRenamed("_size", "size"), "mix")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("s")).limit(MOST_SOURCES + 1).collect()
-    if len(by_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    order = sorted(((r["source"], r["s"]) for r in by_source), key=lambda x: (x[0] is None, x[0] or ""))
-    goal = targets(order, weights)
-    rows = [(s, n, t, int(t // n) if n else 0) for (s, n), t in zip(order, goal, strict=True)]
-    table = spark.createDataFrame(rows, "source string, source_size long, target double, _epochs long")
-    table = table.withColumn("_budget", F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long"))
-    # the bucket in which each source's budget ends
-    sums = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("_before", F.sum("_sum").over(upto) - F.col("_sum"))
-    cut = sums.join(table, sums["source"].eqNullSafe(table["source"])).where("_before <= _budget").groupBy(sums["source"].alias("_s")).agg(F.max_by(F.struct("_bucket", "_before"), "_bucket").alias("_cut"))
-    table = table.join(cut, table["source"].eqNullSafe(cut["_s"]), "left").select("source", "source_size", "target", "_epochs", "_budget", F.col("_cut._bucket").alias("_at"), F.col("_cut._before").alias("_before"))
-    table = table.withColumnRenamed("source", "_s")
-    joined = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["_s"])).drop("_s")  # a row for each source
-    whole = joined.where("_bucket != _at").withColumn("_part", F.when(F.col("_bucket") < F.col("_at"), F.col("size")).otherwise(F.lit(0)))
-    order_in = Window.partitionBy("source").orderBy("_key", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    edge = joined.where("_bucket = _at")
-    left = F.col("_budget") - F.col("_before") - (F.sum("size").over(order_in) - F.col("size"))
-    edge = edge.withColumn("_part", F.least(F.col("size"), F.greatest(F.lit(0), left)))
-    taken = whole.unionByName(edge).withColumn("taken", (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long"))
-    return taken.drop("_key", "_bucket", "_tie", "_epochs", "_budget", "_at", "_before", "_part")
+    u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / float(1 << 53)
+    key = -F.log(u) / F.col("weight")
+    sized = sized.select("row", "source", "tie", "size", key.alias("key"), F.floor((1 - F.exp(-key)) * buckets).cast("int").alias("bucket"))
+    with scratch() as kept:
+        sized = saved(sized.withColumn("nth", F.monotonically_increasing_id()), "mix")
+        by_source = saved(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "sources")
+        epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+        table = by_source.withColumn("epochs", epochs).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+        # the bucket in which each source's budget ends
+        sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+        upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.select(F.col("source").alias("of"), "bucket", (F.sum("words").over(upto) - F.col("words")).alias("before"))
+        cut = table.join(sums, F.col("source").eqNullSafe(F.col("of"))).where("before <= budget")
+        cut = cut.groupBy(F.col("of")).agg(F.max_by(F.struct("bucket", "before", "source_size", "target", "epochs", "budget"), "bucket").alias("x"))
+        cut = saved(cut.select("of", F.col("x.bucket").alias("at"), *(f"x.{c}" for c in ("before", "source_size", "target", "epochs", "budget"))), "cuts")
+        few = cut.count() <= BROADCAST_MOST
+        joined = sized.join(F.broadcast(cut) if few else cut, F.col("source").eqNullSafe(F.col("of")))
+        # the boundary bucket by its groups of rows that share a draw
+        edge = joined.where("bucket = at").groupBy("of", "key", "tie").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("budget").alias("budget"), F.min("before").alias("before"))
+        order = Window.partitionBy("of").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)
+        left = F.col("budget") - F.col("before") - (F.sum("words").over(order) - F.col("words"))
+        edge = saved(edge.withColumn("left", F.greatest(F.lit(0), F.least(F.col("words"), left))).select("key", "tie", F.col("of").alias("src"), "n", "words", "left"), "edge")
+        # only the group in which the budget ends is taken row by row
+        ends = edge.where("0 < left and left < words").select("src", "key", "tie")
+        last = sized.join(F.broadcast(ends) if few else ends, F.col("source").eqNullSafe(F.col("src")) & (sized["key"] == ends["key"]) & (sized["tie"] == ends["tie"]), "left_semi")
+        last = saved(last.select("nth", "source", F.struct("source", "key", "tie").alias("group")), "last")
+        order_in = gapless(last, "group", "nth", "place").select(F.col("nth").alias("row_nth"), "place")
+        kept += [sized, cut, edge, last]
+    columns = ["row", "size", "source_size", "target", "epochs"]
+    whole = joined.where("bucket <> at").select(*columns, F.when(F.col("bucket") < F.col("at"), F.col("size")).otherwise(0).alias("part"))
+    some = joined.where("bucket = at")
+    some = some.join(edge, some["of"].eqNullSafe(edge["src"]) & (some["key"] == edge["key"]) & (some["tie"] == edge["tie"])).select(*columns, "nth", "left", "words")
+    some = some.join(order_in, F.col("nth") == F.col("row_nth"), "left")
+    rest = F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - F.col("place") * F.col("size")))
+    found = whole.union(some.select(*columns, F.when(F.col("place").isNotNull(), rest).when(F.col("left") > 0, F.col("size")).otherwise(0).alias("part")))
+    return found.select(*(F.col("row")[c].alias(c) for c in own), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))

@@ -13,7 +13,8 @@ other, if they share enough index tokens for their sizes.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with nothing. A text of one to
 four words has one shingle, the whole sequence. A null doc_id gets its row, without links, and a null component.
-Rows with equal doc_id and text are one document in two rows. Very long texts are read whole; an empty table gives
+Rows with equal doc_id are one document in several rows: each row has its own text's set size, and the component is what
+the links of all its texts reach. Very long texts are read whole; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -28,13 +29,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicklog.llm import words
-from clicklog.llm.store import components, dropped, saved
+from clicklog.llm.store import components, dropped, saved, scratch
 
 WIDTH = 5
 #: Similarity 80 / 100.
 NUM, DEN = 80, 100
 #: A token this often among FLUSH tokens read together counts as frequent; the most frequent HOT_MOST are broadcast.
 HOT_LEAST, HOT_MOST, FLUSH = 4, 1 << 19, 1 << 22
+#: Documents of a token that are seen to be frequent are led in groups of about SPLIT.
+SPLIT = 1_000
+#: Up to so many classes of equal sets, the largest ones of more than SPLIT documents, are joined by broadcast.
+CLASSES_MOST = 100_000
 #: Rounds in which documents are compared with the most typical document of another part.
 ROUNDS = 1
 #: So many ids of documents that share a token are broadcast; more are joined by a shuffle of the texts.
@@ -129,7 +134,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(orders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, doc_id, set size) for the prefixes under the first order; of equal sets in one task only the first is indexed."""
+    """(token, doc_id, set size, groups that the token's documents are led in) for the prefixes under the first order; of
+    equal sets in one task only the first is indexed."""
     order, seen = orders.value, set()
     for batch in batches:
         ids = batch.column("doc_id").cast(pa.int64())
@@ -149,7 +155,8 @@ def _index(orders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             docs = np.repeat(ids.slice(row, len(sets)).to_numpy(zero_copy_only=False), lengths)
             n = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(docs.astype(np.int64)), pa.array(n)], ["tok", "doc", "n"])
+            groups = 1 + (order.classes(flat) // np.uint64(SPLIT)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(docs.astype(np.int64)), pa.array(n), pa.array(groups)], ["tok", "doc", "n", "groups"])
 
 
 def _sets(orders, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +219,26 @@ def needed(n, m):
     return F.greatest(F.lit(1), F.ceil(NUM * (n + m) / (NUM + DEN)) - rest)
 
 
-def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``: every document's set size and class (least doc_id of an equal set), and links ``(u, v)`` that connect similar documents."""
+def by_class(rows: DataFrame, classes: DataFrame, keys: list[str], value: str, large: DataFrame) -> DataFrame:
+    """``rows`` with ``value`` of their class (null without one). The ``large`` classes (CLASSES_MOST at most, with their
+    keys and value) are broadcast, so that no task gets all rows of one."""
+    known = rows.join(F.broadcast(large.withColumnRenamed(value, "of_large")), keys, "left")
+    done = known.where("of_large is not null").withColumnRenamed("of_large", value)
+    rest = known.where("of_large is null").drop("of_large").join(classes, keys, "left")
+    return done.unionByName(rest)
+
+
+def led_pairs(posted: DataFrame, leader: str) -> DataFrame:
+    """``(x, y)``: each document with the one that leads most of its tokens, if they share enough for their sizes."""
+    led = posted.where(F.col(f"{leader}.doc") != F.col("doc")).groupBy("doc", "n", F.col(f"{leader}.doc").alias("to"), F.col(f"{leader}.n").alias("m")).agg(F.count("*").alias("c"))
+    led = led.groupBy("doc", "n").agg(F.max(F.struct("c", "to", "m")).alias("most"))
+    led = led.where(close_in_size(F.col("n"), F.col("most.m")) & (F.col("most.c") >= needed(F.col("n"), F.col("most.m"))))
+    return led.select(F.least("doc", "most.to").alias("x"), F.greatest("doc", "most.to").alias("y"))
+
+
+def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows, links, large)``: every document's set size and class (least doc_id of an equal set), links ``(u, v)`` that
+    connect similar documents, and the largest classes."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = saved(texts.mapInArrow(_describe, "id long, n long, f1 long, f2 long"), "described")
@@ -221,22 +246,23 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = seen.where("n < 0").groupBy("id").agg(F.sum(-F.col("n")).alias("c")).orderBy(F.desc("c"), "id").limit(HOT_MOST).toPandas()
     hot = hot.assign(id=hot["id"].to_numpy(np.int64).view(np.uint64)).sort_values("id")
     orders = spark.sparkContext.broadcast(Orders(hot["id"].to_numpy(np.uint64), hot["c"].to_numpy(np.uint64)))  # HOT_MOST tokens at most
-    classes = docs_seen.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("cls"))
-    rows = saved(docs_seen.join(classes, ["f1", "f2", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("cls", "id")).alias("cls")), "rows")
+    equal_sets = ["f1", "f2", "n"]
+    classes = docs_seen.where("n > 0 and id is not null").groupBy(*equal_sets).agg(F.min("id").alias("cls"), F.count("*").alias("k"))
+    large = saved(classes.where(F.col("k") > SPLIT).orderBy(F.desc("k"), "cls").limit(CLASSES_MOST).drop("k"), "large")
+    rows = by_class(docs_seen, classes.drop("k"), equal_sets, "cls", large)
+    rows = saved(rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("cls", "id")).alias("cls")), "rows")
     dropped(seen)
-    # the index; tokens that one document alone has are dropped at once
-    own = Window.partitionBy("tok")
-    index = texts.where("doc_id is not null").mapInArrow(lambda b: _index(orders, b), "tok long, doc long, n int")
-    me = F.struct("doc", "n")
-    posted = index.select("tok", "doc", "n", F.min(me).over(own).alias("l1"), F.max(me).over(own).alias("l2")).where("l1.doc < l2.doc")
+    # the index; tokens that one document alone has are dropped at once. A frequent token's documents are led in groups
+    index = texts.where("doc_id is not null").mapInArrow(lambda b: _index(orders, b), "tok long, doc long, n int, groups int")
+    own, me = Window.partitionBy("tok", "part"), F.struct("doc", "n")
+    posted = index.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int"))
+    posted = posted.select("tok", "doc", "n", "groups", F.min(me).over(own).alias("l1"), F.max(me).over(own).alias("l2")).where("groups > 1 or l1.doc < l2.doc")
     posted = saved(posted, "posted")
-    # each document with the two that lead most of its tokens
-    leaders = None
-    for leader in ("l1", "l2"):
-        led = posted.where(F.col(f"{leader}.doc") != F.col("doc")).groupBy("doc", "n", F.col(f"{leader}.doc").alias("to"), F.col(f"{leader}.n").alias("m")).agg(F.count("*").alias("c"))
-        led = led.groupBy("doc", "n").agg(F.max(F.struct("c", "to", "m")).alias("most")).where(close_in_size(F.col("n"), F.col("most.m")) & (F.col("most.c") >= needed(F.col("n"), F.col("most.m")))).select(F.least("doc", "most.to").alias("x"), F.greatest("doc", "most.to").alias("y"))
-        leaders = led if leaders is None else leaders.union(led)
-    first = verified(leaders.distinct(), texts, orders)
+    # each document with the two that lead most of its tokens, and each group's leader with the first one of its token
+    leads = posted.where("groups > 1 and doc = l1.doc").select("tok", "doc", "n")
+    first = leads.groupBy("tok").agg(F.min(me).alias("first"))
+    heads = leads.join(first, "tok").where(close_in_size(F.col("n"), F.col("first.n"))).where("doc <> first.doc").select(F.col("first.doc").alias("x"), F.col("doc").alias("y"))
+    first = verified(led_pairs(posted, "l1").union(led_pairs(posted, "l2")).union(heads).distinct(), texts, orders)
     equal = rows.where("n_shingles > 0 and doc_id != cls").select(F.col("doc_id").alias("u"), F.col("cls").alias("v"))
     links = saved(first.select(F.col("x").alias("u"), F.col("y").alias("v")).union(equal), "links")
     # how much of a document's index is shared: near 1 for the text that a group's copies were made from
@@ -245,22 +271,23 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for round_ in range(ROUNDS + 1):
         near = saved(components(links), "near")
         known = typical.join(near.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "typical", F.coalesce("component", "doc").alias("part"))
-        placed = placed.select("tok", "doc", "n").join(known, "doc")
-        placed = saved(placed.withColumn("a", F.min("part").over(own)).withColumn("b", F.max("part").over(own)).where("a < b").select("tok", "doc", "n", "part", "typical"), "placed")
+        placed = saved(placed.select("tok", "doc", "n").join(known, "doc"), "placed")
+        apart = placed.groupBy("tok").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("tok")
+        placed = saved(placed.join(apart, "tok"), "placed")
         if round_ == ROUNDS:
             break
         # each document with the most typical one of most of its tokens, where that is in another part
-        other = F.max(F.struct("typical", F.xxhash64(F.lit(round_), "doc").alias("h"), "doc", "n", "part")).over(own)
-        some = placed.select("doc", "n", "part", other.alias("o")).where((F.col("o.part") != F.col("part")) & close_in_size(F.col("n"), F.col("o.n")))
+        best = placed.groupBy("tok").agg(F.max(F.struct("typical", F.xxhash64(F.lit(round_), "doc").alias("h"), "doc", "n", "part")).alias("o"))
+        some = placed.join(best, "tok").where((F.col("o.part") != F.col("part")) & close_in_size(F.col("n"), F.col("o.n")))
         some = some.groupBy("doc", "n", F.col("o.doc").alias("to"), F.col("o.n").alias("m")).agg(F.count("*").alias("c"))
-        some = some.groupBy("doc", "n").agg(F.max(F.struct("c", "to", "m")).alias("most")).where((F.col("most.c") >= needed(F.col("n"), F.col("most.m")))).select(F.least("doc", "most.to").alias("x"), F.greatest("doc", "most.to").alias("y"))
-        more = verified(some.distinct(), texts, orders)
+        some = some.groupBy("doc", "n").agg(F.max(F.struct("c", "to", "m")).alias("most")).where((F.col("most.c") >= needed(F.col("n"), F.col("most.m"))))
+        more = verified(some.select(F.least("doc", "most.to").alias("x"), F.greatest("doc", "most.to").alias("y")).distinct(), texts, orders)
         links = saved(near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select(F.col("x").alias("u"), F.col("y").alias("v"))), "links")
     # documents that are still apart. Of a document's k tokens here (rarest first), one that is followed by fewer than
     # the needed number can be shared only if an earlier one is: pairs are found by the tokens before those, then
     # their tokens are counted
     of_doc = Window.partitionBy("doc")
-    placed = placed.withColumn("df", F.count("*").over(own))
+    placed = placed.join(placed.groupBy("tok").agg(F.count("*").alias("df")), "tok")
     placed = placed.withColumn("i", F.row_number().over(of_doc.orderBy("df", "tok")) - 1).withColumn("k", F.count("*").over(of_doc))
     placed = saved(placed.select("tok", "doc", "n", "part", "i", "k"), "placed")
     other = placed.select("tok", F.col("doc").alias("y"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("i").alias("j"), F.col("k").alias("l"))
@@ -272,13 +299,16 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = apart.join(tokens.select(F.col("doc").alias("x"), F.col("t").alias("a")), "x").join(tokens.select(F.col("doc").alias("y"), F.col("t").alias("b")), "y")
     apart = apart.where(F.size(F.array_intersect("a", "b")) >= least).select("x", "y")
     second = verified(apart, texts, orders)
-    dropped(posted, placed)
-    return rows, near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    return rows, near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second.select(F.col("x").alias("u"), F.col("y").alias("v"))), large
 
 
 def join_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every document: the least doc_id that links reach."""
-    rows, links = link_classes(docs)
-    found = components(links)
-    out = rows.join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
+    with scratch() as kept:
+        rows, links, large = link_classes(docs)
+        found = saved(components(links).withColumnRenamed("node", "cls"), "found")
+        of_large = large.select("cls").join(found, "cls").select("cls", "component")
+        out = by_class(rows, found, ["cls"], "component", of_large)
+        out = saved(out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id")), "joined")
+        kept.append(out)
+    return out

@@ -5,7 +5,8 @@ each shard; partial partitions are differenced again, a bounded number at a time
 always combine the two with the largest spread, one in descending and one in ascending order.
 
 Nulls: null texts are one group of size 1 each row; a null doc_id is kept. Empty texts have size 1. Repeated rows
-are equal texts and stay together. An empty table gives an empty result. Other columns are dropped by ``shards``.
+are equal texts and stay together; groups of equal size are dealt in the order of their digests. An empty table gives an
+empty result. Other columns, whatever their names, are dropped by ``shards``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clicklog.llm.store import gapless, saved
+from clicklog.llm.store import gapless, saved, scratch
 
 CELL = 20_000
 FAN_IN = 2_000
@@ -66,32 +67,41 @@ def shards(docs: DataFrame, k: int = 16, cell: int = CELL, fan_in: int = FAN_IN)
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs`` (doc_id, text)."""
     rows = docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.sha2("text", 256).alias("_text"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.sha2("text", 256).alias("digest"),
     )
-    rows = saved(rows, "rows")
-    groups = rows.groupBy("_text").agg(F.sum("size").alias("bytes"))
-    cells = max(1, -(-groups.count() // cell))
-    groups = groups.withColumn("cell", F.pmod(F.xxhash64("_text"), F.lit(cells)))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "_text"], na_position="first", ignore_index=True)
+        pdf = pdf.sort_values(["bytes", "digest"], na_position="first", ignore_index=True)
         parts = difference([[b] + [0] * (k - 1) for b in pdf["bytes"].tolist()], k)
         return pdf.assign(part=[p[0] for p in parts])
 
-    dealt = saved(groups.groupBy("cell").applyInPandas(deal, "_text string, bytes long, cell long, part int"), "dealt")
-    level = dealt.groupBy("cell", "part").agg(F.sum("bytes").alias("bytes"))
-
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="cell", columns="part", values="bytes", aggfunc="sum", fill_value=0).reindex(columns=range(k), fill_value=0).sort_index()
+        wide = pdf.pivot_table(index="cell", columns="part", values="bytes", aggfunc="sum", fill_value=0)
+        wide = wide.reindex(columns=range(k), fill_value=0).sort_index()
         parts = difference([[int(x) for x in r] for r in wide.to_numpy()], k)
-        return pd.DataFrame([(int(c) // fan_in, int(c), j, p[j], int(wide.loc[c, j])) for c, p in zip(wide.index, parts, strict=True) for j in range(k)], columns=["up", "cell", "part", "to", "bytes"])
+        moves = [(int(c) // fan_in, int(c), j, p[j], int(wide.loc[c, j])) for c, p in zip(wide.index, parts, strict=True) for j in range(k)]
+        return pd.DataFrame(moves, columns=["up", "cell", "part", "to", "bytes"])
 
-    while cells > 1:
-        moved = saved(level.groupBy((F.col("cell") / fan_in).cast("long").alias("_up")).applyInPandas(combine, "up long, cell long, part int, to int, bytes long"), "level")
-        dealt = dealt.join(moved.select("cell", "part", "up", "to"), ["cell", "part"]).select("_text", "bytes", F.col("up").alias("cell"), F.col("to").alias("part"))
-        level = moved.groupBy(F.col("up").alias("cell"), F.col("to").alias("part")).agg(F.sum("bytes").alias("bytes"))
-        cells = -(-cells // fan_in)
-    places = dealt.select(F.col("_text").alias("_t"), F.col("part").alias("shard"))
-    placed = rows.join(places, F.col("_text").eqNullSafe(F.col("_t"))).drop("_text", "_t")
-    out = gapless(saved(placed, "placed"), "shard", ["doc_id", "text_crc32"], "slot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    with scratch() as kept:
+        rows = saved(rows, "rows")
+        groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
+        cells = max(1, -(-groups.count() // cell))
+        groups = groups.withColumn("cell", F.pmod(F.xxhash64("digest"), F.lit(cells)))
+        dealt = saved(groups.groupBy("cell").applyInPandas(deal, "digest string, bytes long, cell long, part int"), "dealt")
+        level = dealt.groupBy("cell", "part").agg(F.sum("bytes").alias("bytes"))
+        while cells > 1:
+            up = (F.col("cell") / fan_in).cast("long").alias("up")
+            moved = saved(level.groupBy(up).applyInPandas(combine, "up long, cell long, part int, to int, bytes long"), "level")
+            dealt = dealt.join(moved.select("cell", "part", "up", "to"), ["cell", "part"])
+            dealt = dealt.select("digest", "bytes", F.col("up").alias("cell"), F.col("to").alias("part"))
+            level = moved.groupBy(F.col("up").alias("cell"), F.col("to").alias("part")).agg(F.sum("bytes").alias("bytes"))
+            cells = -(-cells // fan_in)
+        places = dealt.select(F.col("digest").alias("of"), F.col("part").alias("shard"))
+        placed = rows.join(places, F.col("digest").eqNullSafe(F.col("of"))).drop("digest", "of")
+        placed = saved(placed.withColumn("nth", F.monotonically_increasing_id()), "placed")
+        kept.append(placed)
+    out = gapless(placed, "shard", "nth", "slot")
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -93,17 +93,38 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def gapless(df: DataFrame, key: str, order: list, name: str, per_chunk: int = 100_000) -> DataFrame:
+def spare(columns: list[str], name: str) -> str:
+    """A name like ``name`` that no column has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def gapless(df: DataFrame, key: str, nth: str, name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... within each ``key``, without gathering a key in one task.
 
-    Rows are dealt into chunks by a hash of ``order``'s columns; a chunk's start is the prefix sum of the
-    counts of the chunks before it. ``df`` is read twice and should be a written table.
+    ``nth`` is a column of :func:`pyspark.sql.functions.monotonically_increasing_id` from before ``df`` was written: its
+    upper bits name the task that wrote a row. A row's number is its place among its task's rows of the key, after the
+    rows of the tasks before. ``df`` is read twice and should be a written table.
     """
-    chunks = max(1, -(-df.count() // per_chunk))
-    df = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
-    counts = df.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(key, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(key, "_chunk").orderBy(*order)
-    numbered = df.withColumn("_row", F.row_number().over(inside) - 1).join(starts, [key, "_chunk"])
-    return numbered.withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_chunk", "_row", "_start")
+    task, count, start, row = (spare(df.columns, n) for n in ("task", "count", "start", "row"))
+    df = df.withColumn(task, F.shiftright(nth, 33))
+    counts = df.groupBy(key, task).agg(F.count("*").alias(count))
+    before = Window.partitionBy(key).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, task, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(key, task).orderBy(nth)
+    numbered = df.withColumn(row, F.row_number().over(inside) - 1).join(starts, [key, task])
+    return numbered.withColumn(name, (F.col(start) + F.col(row)).cast("long")).drop(task, row, start)
+
+
+def in_order(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, 2, ... over all rows in the order of the columns ``order``, dealt to tasks by range."""
+    task, count, start, row = (spare([*df.columns, name], n) for n in ("task", "count", "start", "row"))
+    dealt = saved(df.repartitionByRange(*order).withColumn(task, F.spark_partition_id()), "ordered")
+    counts = dealt.groupBy(task).agg(F.count("*").alias(count))  # a row for each task
+    before = Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(task, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(task).orderBy(*order)
+    numbered = dealt.withColumn(row, F.row_number().over(inside) - 1).join(F.broadcast(starts), task)
+    return numbered.withColumn(name, (F.col(start) + F.col(row)).cast("long")).drop(task, row, start)

@@ -236,9 +236,25 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.mix(empty(odd(spark))).count() == 0
 
 
-def test_targets_share_excess():
-    got = mixing.targets([("a", 10), ("b", 1), ("c", 89), (None, 0)])
-    assert got[1] == 3 and got[3] == 0 and sum(got) == pytest.approx(100) and got[0] <= 30
+def shared_out(sizes, weights=(1, 2, 3), epochs=3):
+    """Targets of sources in order, by rounds over a list."""
+    total, full = sum(sizes), set()
+    while True:
+        rest, free = total - sum(epochs * sizes[i] for i in full), sum(weights[i % 3] for i in range(len(sizes)) if i not in full)
+        out = [epochs * s if i in full else rest * weights[i % 3] / free for i, s in enumerate(sizes)]
+        above = {i for i in range(len(sizes)) if i not in full and out[i] > epochs * sizes[i]}
+        if not above:
+            return out
+        full |= above
+
+
+def test_targets_share_excess(spark):
+    rng = np.random.default_rng(9)
+    for sizes in ([10, 1, 89, 0], [5], [0, 0], [int(2 ** rng.uniform(0, 16)) for _ in range(60)]):
+        names = [f"s{i:03d}" for i in range(len(sizes) - 1)] + [None]
+        got = mixing.targets(spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size long").repartition(3)).collect()
+        by = {r.source: r.target for r in got}
+        assert [by[n] for n in names] == pytest.approx(shared_out(sizes))
 
 
 def test_language_id(spark, docs):
