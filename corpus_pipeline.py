@@ -11,8 +11,10 @@ next stage's ``docs``. All but the last return the columns of ``documents``.
    at least half of its words are taken. Documents that the mix leaves out go.
 5. sharding: doc_id, size, text_crc32, law, shard, slot.
 
-Rows with a null doc_id are compared by the n-gram join by their text, and taken by mixing by their text; the other
-stages pass them unchanged.
+Rows with a null doc_id are told apart by their text (and source) in the stages 2 and 4; the other stages pass them as they
+are. Equal rows are one document after stage 2. Null and empty texts: the first stage rejects them, the others keep
+them, but mixing takes 0 words of them, so they go. Very long texts are read whole; an empty table gives an empty table
+at each stage. Extra columns are kept by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicklog.llm import decontaminate, language_id, mixing, ngram_join, sharding
-from clicklog.llm.store import saved
+from clicklog.llm.store import saved, scratch
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +33,13 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows are told apart by id and text, so that different texts under one id (or none) are compared like any others
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = ngram_join.join_components(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    ids = keyed.select("_key", F.col("doc_id").alias("_id")).distinct()
-    members = found.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(ids, "_key")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_first")).select(F.col("_first._key").alias("_key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    found = ngram_join.join_components(keyed.select(F.col("key").alias("doc_id"), "row.text"))
+    ids = keyed.select("key", F.col("row.doc_id").alias("id")).distinct()
+    members = found.select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select(F.col("first.key").alias("key"))
     # rows are by key after the join, so that repeated rows of one document meet without another shuffle
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +47,11 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs.select("doc_id", "text", "source"))
-    times = taken.where("size > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    times = times.groupBy("_id").agg(F.max("_times").alias("_times")).where("_times > 0")
-    both = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return both.withColumn("_epoch", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    key = F.xxhash64("doc_id", "text", "source").alias("key")
+    taken = mixing.mix(docs.select("doc_id", "text", "source", key)).where("size > 0")
+    times = taken.groupBy("key").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
+    both = docs.select(F.struct(*docs.columns).alias("row"), key).join(times, "key")
+    return both.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("epoch")).select("row.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:  # a stage's own tables go when its result is written
+            docs = saved(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
