@@ -34,8 +34,8 @@ def clipped_log(p: Column, eps: float = EPS) -> Column:
 
 
 def log1mexp(x: Column, eps: float = EPS) -> Column:
-    """log(1 - exp(x)) for x <= 0; x within ``eps`` of 0, or above, counts as -eps, so the result is finite."""
-    x = F.least(x, F.lit(-eps))
+    """log(1 - exp(-|x|)); x within ``eps`` of 0 counts as -eps, so the result is finite."""
+    x = F.least(-F.abs(x), F.lit(-eps))
     return F.when(x > -LN2, F.log(-F.expm1(x))).otherwise(F.log1p(-F.exp(x)))
 
 

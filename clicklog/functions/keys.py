@@ -57,3 +57,20 @@ def robe(key: Column, size: int, features: int, ratio: int = 1000) -> tuple[Colu
     offsets = F.sequence(F.lit(0), F.lit(features - 1))
     at = F.transform(offsets, lambda o: F.pmod(start + o, F.lit(slots).cast("long")))
     return at, F.transform(offsets, lambda o: 2 * universal_hash(2, key, o) - 1)
+
+
+def signed(logit: Column, sign: Column) -> Column:
+    """A looked-up value of the hash trick: keys that share a bucket differ in sign."""
+    return sign * logit
+
+
+def combined(quotient: Column, remainder: Column, how: str = "product") -> Column:
+    """One vector from those of a key's quotient and remainder: elementwise ``product`` or ``sum``, or both (``concat``)."""
+    if how == "concat":
+        return F.concat(quotient, remainder)
+    return F.zip_with(quotient, remainder, (lambda a, b: a * b) if how == "product" else (lambda a, b: a + b))
+
+
+def gathered(shared: Column, at: Column, signs: Column) -> Column:
+    """A key's vector out of an array that all keys share, by its positions (from 0) and signs."""
+    return F.zip_with(F.transform(at, lambda i: F.element_at(shared, (i + 1).cast("int"))), signs, lambda v, s: v * s)

@@ -16,14 +16,22 @@ from clicklog.operators import metrics, models
 from clicklog.operators.params import Param
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, on one machine."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` from files in the checkpoint folder of the cluster; a temporary one only where none is set."""
+    """``df`` from files in the checkpoint folder of the cluster."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if not place and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
@@ -144,7 +152,7 @@ def cascade_gradients(rows: DataFrame, model: models.Cascade) -> DataFrame:
 
     The predicted click log-probability at rank k is log a_k + sum of log(1 - a_i) over earlier ranks.
     """
-    rows = model.conditional(model.prepare(rows)).where(F.lit(True))
+    rows = model.conditional(model.prepare(rows))
     rows = rows.withColumn("_open", models.clicks_before() == 0)
     p = F.exp(F.col("cond_log_prob"))
     # d loss / d log p: -1 for a click, p / (1 - p) for none; ranks after a click are constant
@@ -201,27 +209,29 @@ def fit_chain(kind: str, rows: DataFrame, validation: DataFrame | None = None, e
         return metrics.session_mean(scored, exprs.bce_log(F.col("click"), F.col("cond_log_prob"))).first()["loss"]
 
     best, log, waited = dict(states), [], 0
-    for epoch in range(1, epochs + 1):
-        model = built(states)
-        if kind == "dcm":
-            by_doc, by_pos = dcm_gradients(rows, model)
-            found = {"attraction": by_doc.withColumnRenamed("g_attraction", "g"), "continuation": by_pos.withColumnRenamed("g_continuation", "g")}
-        elif kind == "ccm":
-            found = {"attraction": ccm_gradients(rows, model).withColumnRenamed("g_attraction", "g")}
-        else:
-            both = checkpointed(dbn_gradients(rows, model))
-            found = {n: both.select("query_doc_id", F.col(f"g_{n}").alias("g")) for n in ("attraction", "satisfaction")}
-        states = {n: (key, checkpointed(adam(table, found[n].withColumn("g", F.col("g") / sessions), key, epoch, rate))) for n, (key, table) in states.items()}
-        now = loss(validation if validation is not None else rows, built(states))
-        improved = not log or min(x["val_loss"] for x in log) - now > min_delta
-        log.append({"epoch": epoch, "val_loss": now, "best": improved})
-        if improved:
-            best, waited = dict(states), 0
-        else:
-            waited += 1
-            if waited > patience:
-                break
-    rows.unpersist()
+    try:
+        for epoch in range(1, epochs + 1):
+            model = built(states)
+            if kind == "dcm":
+                by_doc, by_pos = dcm_gradients(rows, model)
+                found = {"attraction": by_doc.withColumnRenamed("g_attraction", "g"), "continuation": by_pos.withColumnRenamed("g_continuation", "g")}
+            elif kind == "ccm":
+                found = {"attraction": ccm_gradients(rows, model).withColumnRenamed("g_attraction", "g")}
+            else:
+                both = checkpointed(dbn_gradients(rows, model))
+                found = {n: both.select("query_doc_id", F.col(f"g_{n}").alias("g")) for n in ("attraction", "satisfaction")}
+            states = {n: (key, checkpointed(adam(table, found[n].withColumn("g", F.col("g") / sessions), key, epoch, rate))) for n, (key, table) in states.items()}
+            now = loss(validation if validation is not None else rows, built(states))
+            improved = not log or min(x["val_loss"] for x in log) - now > min_delta
+            log.append({"epoch": epoch, "val_loss": now, "best": improved})
+            if improved:
+                best, waited = dict(states), 0
+            else:
+                waited += 1
+                if waited > patience:
+                    break
+    finally:
+        rows.unpersist()
     return built(best), log
 
 

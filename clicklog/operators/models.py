@@ -386,12 +386,14 @@ class Mixture(ClickModel):
         return nll.select("session_id", *((x - whole).alias(f"post_{m}") for m, x in zip(self.models, logs, strict=True)))
 
     def score(self, impressions: DataFrame, only: tuple[str, ...] = ("cond_log_prob", "log_prob", "relevance")) -> DataFrame:
-        out = impressions
+        """Each model is scored once; a session's likelihoods are window sums over the rows that are scored."""
+        out, whole = impressions, Window.partitionBy("session_id")
         for column in only:
             rows, names = self._all(out, column)
             if column == "cond_log_prob":
-                rows = rows.join(self.posterior(impressions), "session_id")
-                terms = [F.col(c) + F.col(f"post_{m}") for m, c in zip(self.models, names, strict=True)]
+                logs = [math.log(self.prior[m]) - F.sum(exprs.bce_log(F.col("click"), F.col(c))).over(whole) for m, c in zip(self.models, names, strict=True)]
+                rows = rows.withColumn("_logs", F.array(*logs))
+                terms = [F.col(c) + F.col("_logs")[i] - exprs.logsumexp(F.col("_logs")) for i, c in enumerate(names)]
             else:
                 terms = [F.col(c) + math.log(self.prior[m]) for m, c in zip(self.models, names, strict=True)]
             out = rows.withColumn(column, exprs.logsumexp(F.array(*terms))).select(*out.columns, column)

@@ -49,7 +49,12 @@ def write_results(results: DataFrame, path: str, form: str = "csv") -> None:
 
 
 def read_results(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Read many result files by glob; experiment and model come from their folders' names."""
+    """Read many result files by glob; experiment and model come from their folders' names, and method, seed and ratio, where
+    an experiment's name has them (``name_method=hash_ratio=10_seed=1``), become columns (null without)."""
     rows = spark.read.option("header", True).schema(schema).csv(pattern).withColumn("_file", F.input_file_name())
-    named = rows.withColumn("experiment", F.regexp_extract("_file", r"experiment=([^/]+)/", 1)).withColumn("model", F.regexp_extract("_file", r"model=([^/]+)/", 1))
+    tag = lambda name: F.nullif(F.regexp_extract("experiment", rf"(?:^|_){name}=([^_/]+)", 1), F.lit(""))
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    folder = lambda name: plain(plain(F.regexp_extract("_file", rf"/{name}=([^/]+)/", 1)))  # noqa: E731 (a folder's name is escaped, and its url again)
+    named = rows.withColumn("experiment", folder("experiment")).withColumn("model", folder("model"))
+    named = named.withColumn("method", tag("method")).withColumn("seed", tag("seed").cast("int")).withColumn("ratio", tag("ratio").cast("int"))
     return named.drop("_file")

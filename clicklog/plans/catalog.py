@@ -11,7 +11,7 @@ from clicklog.functions import exprs, keys
 from clicklog.operators import features, fit, keysets, metrics, models, reports
 from clicklog.plans import data
 from clicklog.plans.data import Log
-from clicklog.plans.oracle import BACK, IDS, LOG, RATE, P, bce, chain_cond, chain_uncond, r, u, ubm_uncond
+from clicklog.plans.oracle import BACK, IDS, LOG, LOG_ALL, LOG_TRAIN, RATE, P, bce, chain_cond, chain_uncond, r, u, ubm_uncond
 from clicklog.sources import sessions as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,12 +53,12 @@ register(
 )
 register(
     "session_range_slice",
-    lambda s, d: S.session_range(S.with_ordinal(data.table(s, d, "orders")), 100, 1100).select(lg("o_orderkey", "session_id"), lg("ordinal")),
+    lambda s, d: S.session_range(s, f"{d}/orders.parquet", 100, 1100).select(lg("o_orderkey", "session_id"), lg("ordinal")),
     "SELECT session_id, ordinal FROM (SELECT o_orderkey::BIGINT AS session_id, (row_number() OVER () - 1)::BIGINT AS ordinal FROM orders) WHERE ordinal >= 100 AND ordinal < 1100",
 )
 register(
     "session_count",
-    lambda s, d: S.session_range(S.with_ordinal(data.table(s, d, "orders")), 100, 1100).agg(lg(F.count("*"), "sessions")),
+    lambda s, d: s.createDataFrame([(S.session_count(s, f"{d}/orders.parquet", 100, 1100),)], "sessions long"),
     "SELECT least(greatest(count(*) - 100, 0), 1000)::BIGINT AS sessions FROM orders",
 )
 register(
@@ -150,15 +150,15 @@ register(
 def _param_lookup(s: SparkSession, d: str) -> DataFrame:
     log = Log(s, d)
     p = log.attraction
-    return p.lookup(log.test).select(*ids(), rd(p.prob(), "alpha"))
+    return p.lookup(log.rows).select(*ids(), rd(p.prob(), "alpha"))
 
 
-register("param_lookup", _param_lookup, LOG + f" SELECT {IDS}, {r('a', 'alpha')} FROM ev")
+register("param_lookup", _param_lookup, LOG_ALL + f" SELECT {IDS}, {r('a', 'alpha')} FROM ev")
 register("cold_start_docs", lambda s, d: keysets.cold_start((x := Log(s, d)).test, x.known, "query_doc_id").select(lg("query_doc_id")), LOG + " SELECT DISTINCT query_doc_id::BIGINT AS query_doc_id FROM te WHERE query_doc_id NOT IN (SELECT query_doc_id FROM seen)")
 register(
     "ubm_rank_pairs",
-    lambda s, d: keysets.rank_pairs(Log(s, d).test).select(*ids(), lg("earlier")),
-    LOG + " SELECT k.session_id::BIGINT AS session_id, k.position::BIGINT AS position, i.position::BIGINT AS earlier FROM te k JOIN te i ON k.session_id = i.session_id AND i.position < k.position UNION ALL SELECT session_id::BIGINT, position::BIGINT, 0::BIGINT FROM te",
+    lambda s, d: keysets.rank_pairs(data.impressions(s, d)).select(*ids(), lg("earlier")),
+    LOG_ALL + " SELECT k.session_id::BIGINT AS session_id, k.position::BIGINT AS position, i.position::BIGINT AS earlier FROM te k JOIN te i ON k.session_id = i.session_id AND i.position < k.position UNION ALL SELECT session_id::BIGINT, position::BIGINT, 0::BIGINT FROM te",
 )
 
 # ---- windows --------------------------------------------------------------------------------------------------
@@ -169,10 +169,10 @@ register("last_click_position", lambda s, d: data.impressions(s, d).withColumn("
 def _exam_prefix(s: SparkSession, d: str) -> DataFrame:
     log = Log(s, d)
     p = log.attraction
-    return p.lookup(log.test).withColumn("x", models.prefix(p.log_complement())).select(*ids(), rd("x", "exam"))
+    return p.lookup(log.rows).withColumn("x", models.prefix(p.log_complement())).select(*ids(), rd("x", "exam"))
 
 
-register("exam_prefix", _exam_prefix, LOG + f" SELECT {IDS}, {r(f'coalesce(sum(ln(1 - a)) OVER ({BACK}), 0)', 'exam')} FROM ev")
+register("exam_prefix", _exam_prefix, LOG_ALL + f" SELECT {IDS}, {r(f'coalesce(sum(ln(1 - a)) OVER ({BACK}), 0)', 'exam')} FROM ev")
 
 
 def _scored_annotations(s: SparkSession, d: str) -> DataFrame:
@@ -238,19 +238,24 @@ def _bce(from_log: bool) -> Callable[[SparkSession, str], DataFrame]:
         log = Log(s, d)
         p = log.attraction
         loss = exprs.bce_log(F.col("click"), p.log_prob()) if from_log else exprs.bce_prob(F.col("click"), p.prob())
-        return p.lookup(log.test).select(*ids(), rd(loss, "loss"))
+        return p.lookup(log.rows).select(*ids(), rd(loss, "loss"))
 
     return run
 
 
-register("bce_log", _bce(True), LOG + f" SELECT {IDS}, {r(bce('ln(a)'), 'loss')} FROM ev")
-register("bce_prob", _bce(False), LOG + f" SELECT {IDS}, {r('-(CASE WHEN click = 1 THEN ln(a) ELSE ln(1 - a) END)', 'loss')} FROM ev")
+register("bce_log", _bce(True), LOG_ALL + f" SELECT {IDS}, {r(bce('ln(a)'), 'loss')} FROM ev")
+register("bce_prob", _bce(False), LOG_ALL + f" SELECT {IDS}, {r('-(CASE WHEN click = 1 THEN ln(a) ELSE ln(1 - a) END)', 'loss')} FROM ev")
 
 # ---- compressed keys ------------------------------------------------------------------------------------------
-N_DOCS = 20_001
+#: The number of document ids, in SQL.
+N = "(SELECT max(p_partkey) + 1 FROM part)"
 
 
-def _h(x: str, size: int) -> str:
+def n_docs(s: SparkSession, d: str) -> int:
+    return data.table(s, d, "part").agg((F.max("p_partkey") + 1).cast("long").alias("n")).first()["n"]
+
+
+def _h(x: str, size: int | str) -> str:
     return f"floor(((12345 + (1103515245 * {x}) % {P}) % {P})::DOUBLE / {P} * {size})::BIGINT"
 
 
@@ -258,20 +263,20 @@ def _h2(x: str, o: str, size: int) -> str:
     return f"floor(((12345 + (1103515245 * {x}) % {P} + (69069 * {o}) % {P}) % {P})::DOUBLE / {P} * {size})::BIGINT"
 
 
-def _parts(make: Callable[[Column], list[Column]]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: data.table(s, d, "part").select(lg("p_partkey", "query_doc_id"), *make(F.col("p_partkey")))
+def _parts(make: Callable[[Column, int], list[Column]]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: data.table(s, d, "part").select(lg("p_partkey", "query_doc_id"), *make(F.col("p_partkey"), n_docs(s, d)))
 
 
 KEY_SQL = "SELECT p_partkey::BIGINT AS query_doc_id, "
-register("universal_hash", _parts(lambda k: [keys.universal_hash(1000, k).alias("bucket")]), KEY_SQL + f"{_h('p_partkey', 1000)} AS bucket FROM part")
-register("hash_trick_keys", _parts(lambda k: [c.alias(n) for c, n in zip(keys.hash_trick(k, N_DOCS), ("bucket", "sign"), strict=True)]), KEY_SQL + f"{_h('p_partkey', 2001)} AS bucket, (2 * {_h2('p_partkey', '0', 2)} - 1)::BIGINT AS sign FROM part")
-register("qr_keys", _parts(lambda k: [c.alias(n) for c, n in zip(keys.quotient_remainder(k, N_DOCS), ("quotient", "remainder"), strict=True)]), KEY_SQL + f"({_h('p_partkey', N_DOCS)} // 10)::BIGINT AS quotient, ({_h('p_partkey', N_DOCS)} % 10)::BIGINT AS remainder FROM part")
+register("universal_hash", _parts(lambda k, _: [keys.universal_hash(1000, k).alias("bucket")]), KEY_SQL + f"{_h('p_partkey', 1000)} AS bucket FROM part")
+register("hash_trick_keys", _parts(lambda k, size: [c.alias(n) for c, n in zip(keys.hash_trick(k, size), ("bucket", "sign"), strict=True)]), KEY_SQL + f"{_h('p_partkey', f'(({N} + 9) // 10)')} AS bucket, (2 * {_h2('p_partkey', '0', 2)} - 1)::BIGINT AS sign FROM part")
+register("qr_keys", _parts(lambda k, size: [c.alias(n) for c, n in zip(keys.quotient_remainder(k, size), ("quotient", "remainder"), strict=True)]), KEY_SQL + f"({_h('p_partkey', N)} // 10)::BIGINT AS quotient, ({_h('p_partkey', N)} % 10)::BIGINT AS remainder FROM part")
 register(
     "robe_keys",
-    _parts(lambda k: [F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(n) for c, n in zip(keys.robe(k, N_DOCS, 4), ("slots", "signs"), strict=True)]),
-    KEY_SQL + f"array_to_string(list_transform(range(0, 4), lambda o: ({_h('p_partkey', 80)} + o) % 80), ',') AS slots, array_to_string(list_transform(range(0, 4), lambda o: 2 * {_h2('p_partkey', 'o', 2)} - 1), ',') AS signs FROM part",
+    _parts(lambda k, size: [F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(n) for c, n in zip(keys.robe(k, size, 4), ("slots", "signs"), strict=True)]),
+    KEY_SQL + f"array_to_string(list_transform(range(0, 4), lambda o: ({_h('p_partkey', 'slots')} + o) % slots), ',') AS slots, array_to_string(list_transform(range(0, 4), lambda o: 2 * {_h2('p_partkey', 'o', 2)} - 1), ',') AS signs FROM part, (SELECT greatest(1, (max(p_partkey) + 1) * 4 // 1000) AS slots FROM part) z",
 )
-register("compression_profile", lambda s, d: keysets.compression_profile(data.impressions(s, d), "query_doc_id", keys.hash_trick(F.col("query_doc_id"), N_DOCS, 100)[0]).select(lg("bucket"), lg("rows"), lg("ids")), LOG + f" SELECT {_h('query_doc_id', 201)} AS bucket, count(*)::BIGINT AS rows, count(DISTINCT query_doc_id)::BIGINT AS ids FROM imp GROUP BY 1")
+register("compression_profile", lambda s, d: keysets.compression_profile(data.impressions(s, d), "query_doc_id", keys.hash_trick(F.col("query_doc_id"), n_docs(s, d), 100)[0]).select(lg("bucket"), lg("rows"), lg("ids")), LOG + f" SELECT {_h('query_doc_id', f'(({N} + 99) // 100)')} AS bucket, count(*)::BIGINT AS rows, count(DISTINCT query_doc_id)::BIGINT AS ids FROM imp GROUP BY 1")
 
 # ---- click models ---------------------------------------------------------------------------------------------
 
@@ -306,7 +311,7 @@ post AS (SELECT session_id, b - n1 - ln(z) AS p1, b - n2 - ln(z) AS p2, b - n3 -
 register("mixture_cond", _score("mixture", "cond_log_prob"), LOG + MIX + f" SELECT mx.session_id::BIGINT AS session_id, position::BIGINT AS position, {r('ln(exp(l1 + p1) + exp(l2 + p2) + exp(l3 + p3))', 'cond_log_prob')} FROM mx JOIN post USING (session_id)")
 register("mixture_uncond", _score("mixture", "log_prob"), LOG + chain_uncond("dbn") + f" SELECT {IDS}, {r('ln((a + t * a + exp(lp)) / 3)', 'log_prob')} FROM uncond")
 register("mixture_posterior", lambda s, d: (x := Log(s, d)).model("mixture").posterior(x.test).select(lg("session_id"), *(rd(f"post_{m}", f"post_{m}") for m in ("dctr", "pbm", "dbn"))), LOG + MIX + f" SELECT session_id::BIGINT AS session_id, {r('p1', 'post_dctr')}, {r('p2', 'post_pbm')}, {r('p3', 'post_dbn')} FROM post")
-register("mixture_session_nll", lambda s, d: (x := Log(s, d)).model("mixture").session_nll(x.test).select(lg("session_id"), *(rd(f"nll_{m}", f"nll_{m}") for m in ("dctr", "pbm", "dbn"))), LOG + MIX + f" SELECT session_id::BIGINT AS session_id, {r('n1', 'nll_dctr')}, {r('n2', 'nll_pbm')}, {r('n3', 'nll_dbn')} FROM nll")
+register("mixture_session_nll", lambda s, d: (x := Log(s, d)).model("mixture").session_nll(x.rows).select(lg("session_id"), *(rd(f"nll_{m}", f"nll_{m}") for m in ("dctr", "pbm", "dbn"))), LOG_ALL + MIX + f" SELECT session_id::BIGINT AS session_id, {r('n1', 'nll_dctr')}, {r('n2', 'nll_pbm')}, {r('n3', 'nll_dbn')} FROM nll")
 
 # ---- metrics --------------------------------------------------------------------------------------------------
 PBM = LOG + f", sc AS (SELECT *, ln(t) + ln(a) AS lp FROM ev), ob AS (SELECT *, -{bce('lp')} AS o FROM sc)"
@@ -374,7 +379,7 @@ for _m, _keys in (("gctr", []), ("rctr", ["position"]), ("dctr", ["query_doc_id"
         lambda s, d, k=_keys: fit.rates(Log(s, d).train, k).select(*(lg(c) for c in k), rd("rate", "rate"), lg("views")),
         LOG + f" SELECT {''.join(f'{c}::BIGINT AS {c}, ' for c in _keys)}{r(WRATE, 'rate')}, count(*)::BIGINT AS views FROM tr" + (f" GROUP BY {', '.join(_keys)}" if _keys else ""),
     )
-register("fit_dctr_hashed", lambda s, d: fit.rates(Log(s, d).train.withColumn("bucket", keys.hash_trick(F.col("query_doc_id"), N_DOCS, 100)[0]), ["bucket"]).select(lg("bucket"), rd("rate", "rate"), lg("views")), LOG + f" SELECT {_h('query_doc_id', 201)} AS bucket, {r(WRATE, 'rate')}, count(*)::BIGINT AS views FROM tr GROUP BY 1")
+register("fit_dctr_hashed", lambda s, d: fit.rates(Log(s, d).train.withColumn("bucket", keys.hash_trick(F.col("query_doc_id"), n_docs(s, d), 100)[0]), ["bucket"]).select(lg("bucket"), rd("rate", "rate"), lg("views")), LOG + f" SELECT {_h('query_doc_id', f'(({N} + 99) // 100)')} AS bucket, {r(WRATE, 'rate')}, count(*)::BIGINT AS views FROM tr GROUP BY 1")
 CELL = f"{r('sum(w * click)', 'clicks')}, {r('sum(w)', 'views')}"
 register("pbm_cells", lambda s, d: fit.cells(Log(s, d).train, ["query_doc_id", "position"]).select(lg("query_doc_id"), lg("position"), rd("clicks", "clicks"), rd("views", "views")), LOG + f" SELECT query_doc_id::BIGINT AS query_doc_id, position::BIGINT AS position, {CELL} FROM tr GROUP BY query_doc_id, position")
 register("ubm_cells", lambda s, d: fit.cells(fit.with_last_position(Log(s, d).train), ["query_doc_id", "position", "last_pos"]).select(lg("query_doc_id"), lg("position"), lg("last_pos"), rd("clicks", "clicks"), rd("views", "views")), LOG + f" SELECT query_doc_id::BIGINT AS query_doc_id, position::BIGINT AS position, last_pos::BIGINT AS last_pos, {CELL} FROM trl GROUP BY query_doc_id, position, last_pos")
@@ -422,30 +427,30 @@ register("fit_cm_textbook", lambda s, d: fit.textbook_cascade(Log(s, d).train).s
 
 
 def _chain_grad_sql(model: str) -> str:
-    """CTEs ending in ``gr``: rows of the test part with gradients by the attraction probability and the click continuation."""
+    """CTEs ending in ``gr``: rows of the train part with gradients by the attraction probability and the click continuation."""
     _, click = {"dcm": ("", "c"), "ccm": ("", "(a * 0.3::DOUBLE + (1 - a) * 0.6::DOUBLE)"), "dbn": ("", "(0.9::DOUBLE * (1 - s))")}[model]
-    return LOG + chain_cond(model) + f""", q AS (SELECT *, least(greatest(nn * a, 0), 1) AS qq, max(click) OVER (PARTITION BY session_id, run) AS ended FROM cond),
+    return LOG_TRAIN + chain_cond(model) + f""", q AS (SELECT *, least(greatest(nn * a, 0), 1) AS qq, max(click) OVER (PARTITION BY session_id, run) AS ended FROM cond),
 q2 AS (SELECT *, 1 - sum(qq) OVER (PARTITION BY session_id, run) AS de, coalesce(sum(qq) OVER (PARTITION BY session_id, run ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later, row_number() OVER (PARTITION BY session_id, run ORDER BY position) AS i FROM q),
 q3 AS (SELECT *, CASE WHEN ended = 1 THEN CASE WHEN click = 1 THEN -1 / a ELSE 1 / (1 - a) END ELSE (nn - later / (1 - a)) / de END AS da, CASE WHEN i = 1 THEN CASE WHEN ended = 1 THEN -1::DOUBLE ELSE (1 - de) / de END END AS ds FROM q2),
 gr AS (SELECT *, CASE WHEN click = 1 THEN coalesce(lead(ds) OVER (PARTITION BY session_id ORDER BY position), 0) / {click} ELSE 0 END AS dc FROM q3)"""
 
 
 GA = "sum(w * da * a * (1 - a))"
-register("dbn_grad_step", lambda s, d: fit.dbn_gradients((x := Log(s, d)).test, x.model("dbn")).select(lg("query_doc_id"), rd("g_attraction", "g_attraction"), rd("g_satisfaction", "g_satisfaction")), _chain_grad_sql("dbn") + f" SELECT query_doc_id::BIGINT AS query_doc_id, {r(GA, 'g_attraction')}, {r('sum(-w * dc * 0.9::DOUBLE * s * (1 - s))', 'g_satisfaction')} FROM gr GROUP BY 1")
-register("ccm_grad_step", lambda s, d: fit.ccm_gradients((x := Log(s, d)).test, x.model("ccm")).select(lg("query_doc_id"), rd("g_attraction", "g_attraction")), _chain_grad_sql("ccm") + f" SELECT query_doc_id::BIGINT AS query_doc_id, {r('sum(w * (da + dc * (0.3::DOUBLE - 0.6::DOUBLE)) * a * (1 - a))', 'g_attraction')} FROM gr GROUP BY 1")
+register("dbn_grad_step", lambda s, d: fit.dbn_gradients((x := Log(s, d)).train, x.model("dbn")).select(lg("query_doc_id"), rd("g_attraction", "g_attraction"), rd("g_satisfaction", "g_satisfaction")), _chain_grad_sql("dbn") + f" SELECT query_doc_id::BIGINT AS query_doc_id, {r(GA, 'g_attraction')}, {r('sum(-w * dc * 0.9::DOUBLE * s * (1 - s))', 'g_satisfaction')} FROM gr GROUP BY 1")
+register("ccm_grad_step", lambda s, d: fit.ccm_gradients((x := Log(s, d)).train, x.model("ccm")).select(lg("query_doc_id"), rd("g_attraction", "g_attraction")), _chain_grad_sql("ccm") + f" SELECT query_doc_id::BIGINT AS query_doc_id, {r('sum(w * (da + dc * (0.3::DOUBLE - 0.6::DOUBLE)) * a * (1 - a))', 'g_attraction')} FROM gr GROUP BY 1")
 
 
 def _dcm_grad(s: SparkSession, d: str) -> DataFrame:
     log = Log(s, d)
-    by_doc, by_pos = fit.dcm_gradients(log.test, log.model("dcm"))
+    by_doc, by_pos = fit.dcm_gradients(log.train, log.model("dcm"))
     return by_doc.select(F.lit("attraction").alias("kind"), lg("query_doc_id", "k"), rd("g_attraction", "g")).union(by_pos.select(F.lit("continuation").alias("kind"), lg("position", "k"), rd("g_continuation", "g")))
 
 
 register("dcm_grad_step", _dcm_grad, _chain_grad_sql("dcm") + f" SELECT 'attraction' AS kind, query_doc_id::BIGINT AS k, {r(GA, 'g')} FROM gr GROUP BY query_doc_id UNION ALL SELECT 'continuation', position::BIGINT, {r('sum(w * dc * c * (1 - c))', 'g')} FROM gr GROUP BY position")
 register(
     "cm_grad_step",
-    lambda s, d: fit.cascade_gradients((x := Log(s, d)).test, x.model("cm")).select(lg("query_doc_id"), rd("g_attraction", "g_attraction")),
-    LOG + f""", x AS (SELECT *, coalesce(sum(click) OVER ({BACK}), 0) AS k, exp({CM_UN}) AS p FROM ev),
+    lambda s, d: fit.cascade_gradients((x := Log(s, d)).train, x.model("cm")).select(lg("query_doc_id"), rd("g_attraction", "g_attraction")),
+    LOG_TRAIN + f""", x AS (SELECT *, coalesce(sum(click) OVER ({BACK}), 0) AS k, exp({CM_UN}) AS p FROM ev),
 b AS (SELECT *, CASE WHEN k > 0 THEN 0 WHEN click = 1 THEN -1 ELSE p / (1 - p) END AS bb FROM x),
 z AS (SELECT *, coalesce(sum(bb) OVER (PARTITION BY session_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM b)
 SELECT query_doc_id::BIGINT AS query_doc_id, {r('sum(w * (bb * (1 - a) - later * a))', 'g_attraction')} FROM z GROUP BY 1""",
@@ -468,17 +473,17 @@ for _m in ("dbn", "sdbn", "dcm", "ccm"):
 
 def _training_log(s: SparkSession, d: str) -> DataFrame:
     log = Log(s, d)
-    _, epochs = fit.fit_chain("ccm", log.train, log.test, epochs=3)
+    _, epochs = fit.fit_chain("ccm", log.train, log.validation, epochs=3)
     return s.createDataFrame([(e["epoch"], float(e["val_loss"]), e["best"]) for e in epochs], "epoch long, val_loss double, best boolean")  # a row for each epoch
 
 
 register("training_log", _training_log)
-register("mixture_em_step", lambda s, d: fit.mixture_step((x := Log(s, d)).model("mixture"), x.test).select("model", rd("prior", "prior")), LOG + MIX + f" SELECT 'dctr' AS model, {r('avg(exp(p1))', 'prior')} FROM post UNION ALL SELECT 'pbm', {r('avg(exp(p2))', 'prior')} FROM post UNION ALL SELECT 'dbn', {r('avg(exp(p3))', 'prior')} FROM post")
+register("mixture_em_step", lambda s, d: fit.mixture_step((x := Log(s, d)).model("mixture"), x.train).select("model", rd("prior", "prior")), LOG_TRAIN + MIX + f" SELECT 'dctr' AS model, {r('avg(exp(p1))', 'prior')} FROM post UNION ALL SELECT 'pbm', {r('avg(exp(p2))', 'prior')} FROM post UNION ALL SELECT 'dbn', {r('avg(exp(p3))', 'prior')} FROM post")
 
 
 def _fit_mixture(s: SparkSession, d: str) -> DataFrame:
     log = Log(s, d)
-    model, _ = fit.fit_mixture(log.model("mixture"), log.test, 2)
+    model, _ = fit.fit_mixture(log.model("mixture"), log.train, 2)
     return s.createDataFrame(sorted(model.prior.items()), "model string, prior double")  # a row for each model
 
 
@@ -510,16 +515,16 @@ register("fit_deep_ctr", _fit_deep)
 def _simulate(model: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:
         log = Log(s, d)
-        out = log.model(model).sample(log.test, 1)
+        out = log.model(model).sample(log.rows, 1)
         return out.select(*ids(), *(lg(F.col(c).cast("int"), c) for c in out.columns if c.startswith("sim_")))
 
     return run
 
 
 ONE = "{0}::BIGINT AS {0}"
-register("simulate_ctr", _simulate("dctr"), LOG + f" SELECT {IDS}, ({u(1)} < a)::BIGINT AS sim_click FROM ev")
-register("simulate_pbm", _simulate("pbm"), LOG + f" SELECT {IDS}, ({u(1)} < t)::BIGINT AS sim_exam, ({u(2)} < a)::BIGINT AS sim_attr, ({u(1)} < t AND {u(2)} < a)::BIGINT AS sim_click FROM ev")
-register("simulate_cm", _simulate("cm"), LOG + f", x AS (SELECT *, ({u(1)} < a)::BIGINT AS sim_attr FROM ev), y AS (SELECT *, (coalesce(sum(sim_attr) OVER ({BACK}), 0) = 0)::BIGINT AS sim_exam FROM x) SELECT {IDS}, sim_exam, sim_attr, sim_exam * sim_attr AS sim_click FROM y")
+register("simulate_ctr", _simulate("dctr"), LOG_ALL + f" SELECT {IDS}, ({u(1)} < a)::BIGINT AS sim_click FROM ev")
+register("simulate_pbm", _simulate("pbm"), LOG_ALL + f" SELECT {IDS}, ({u(1)} < t)::BIGINT AS sim_exam, ({u(2)} < a)::BIGINT AS sim_attr, ({u(1)} < t AND {u(2)} < a)::BIGINT AS sim_click FROM ev")
+register("simulate_cm", _simulate("cm"), LOG_ALL + f", x AS (SELECT *, ({u(1)} < a)::BIGINT AS sim_attr FROM ev), y AS (SELECT *, (coalesce(sum(sim_attr) OVER ({BACK}), 0) = 0)::BIGINT AS sim_exam FROM x) SELECT {IDS}, sim_exam, sim_attr, sim_exam * sim_attr AS sim_click FROM y")
 STAYS = {
     "dcm": ("FALSE", f"NOT att OR {u(3)} < c"),
     "ccm": (f"{u(2)} < a", f"{u(3)} < CASE WHEN NOT att THEN 0.8::DOUBLE WHEN sat THEN 0.3::DOUBLE ELSE 0.6::DOUBLE END"),
@@ -530,7 +535,7 @@ for _m, (_sat, _stay) in STAYS.items():
     register(
         f"simulate_{_m}",
         _simulate(_m),
-        LOG + f""", x AS (SELECT *, {u(1)} < a AS att, {_sat} AS sat FROM ev), y AS (SELECT *, CASE WHEN {_stay} THEN 1 ELSE 0 END AS go FROM x),
+        LOG_ALL + f""", x AS (SELECT *, {u(1)} < a AS att, {_sat} AS sat FROM ev), y AS (SELECT *, CASE WHEN {_stay} THEN 1 ELSE 0 END AS go FROM x),
 z AS (SELECT *, coalesce(min(go) OVER ({BACK}), 1) AS ex, max(position) OVER (PARTITION BY session_id) AS last FROM y)
 SELECT {IDS}, ex::BIGINT AS sim_exam, att::BIGINT AS sim_attr, (ex = 1 AND att AND sat AND position < last)::BIGINT AS sim_sat, (ex = 1 AND att)::BIGINT AS sim_click FROM z""",
     )
@@ -541,14 +546,14 @@ def _simulate_ubm_sql() -> str:
     for k in range(1, 11):
         out += f""", e{k} AS (SELECT ev.session_id, ev.position, l.last, {u(2, 'ev.position').replace('session_id', 'ev.session_id')} < coalesce(pu.theta, rho) AS ex, {u(1, 'ev.position').replace('session_id', 'ev.session_id')} < a AS att FROM ev JOIN l{k - 1} l ON ev.session_id = l.session_id AND ev.position = {k} LEFT JOIN pu ON pu.position = {k} AND pu.last_pos = l.last),
 l{k} AS (SELECT session_id, CASE WHEN ex AND att THEN {k} ELSE last END AS last FROM e{k})"""
-    return LOG + out + ", e AS (" + " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(1, 11)) + f") SELECT {IDS}, ex::BIGINT AS sim_exam, att::BIGINT AS sim_attr, (ex AND att)::BIGINT AS sim_click FROM e"
+    return LOG_ALL + out + ", e AS (" + " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(1, 11)) + f") SELECT {IDS}, ex::BIGINT AS sim_exam, att::BIGINT AS sim_attr, (ex AND att)::BIGINT AS sim_click FROM e"
 
 
 register("simulate_ubm", _simulate("ubm"), _simulate_ubm_sql())
 register(
     "simulate_mixture",
     _simulate("mixture"),
-    LOG + f""", x AS (SELECT *, {u(1)} < a AS m1, {u(1)} < t AND {u(2)} < a AS m2, {u(1)} < a AS att, {u(2)} < s AS sat, {u(98, '0')} AS um FROM ev),
+    LOG_ALL + f""", x AS (SELECT *, {u(1)} < a AS m1, {u(1)} < t AND {u(2)} < a AS m2, {u(1)} < a AS att, {u(2)} < s AS sat, {u(98, '0')} AS um FROM ev),
 y AS (SELECT *, CASE WHEN (NOT att OR NOT sat) AND {u(3)} < 0.9::DOUBLE THEN 1 ELSE 0 END AS go FROM x), z AS (SELECT *, coalesce(min(go) OVER ({BACK}), 1) = 1 AND att AS m3, CASE WHEN um < 1::DOUBLE / 3 THEN 0 WHEN um < 1::DOUBLE / 3 + 1::DOUBLE / 3 THEN 1 ELSE 2 END AS k FROM y)
 SELECT {IDS}, k::BIGINT AS sim_model, (CASE k WHEN 0 THEN m1 WHEN 1 THEN m2 ELSE m3 END)::BIGINT AS sim_click FROM z""",
 )
@@ -573,22 +578,33 @@ register("model_leaderboard", lambda s, d: reports.leaderboard(_results(s, d), "
 register("report_model_means", lambda s, d: reports.model_means(_results(s, d), "loss").select("model", rd("mean", "mean"), rd("sd", "sd"), lg("runs"), rd("ci", "ci")), RES + f" SELECT model, {r('avg(loss)', 'mean')}, {r('stddev(loss)', 'sd')}, count(*)::BIGINT AS runs, {r('1.96::DOUBLE * stddev(loss) / sqrt(count(*))', 'ci')} FROM res GROUP BY 1")
 
 
+#: Settings of the compressed-key reports: the model's name stands for a multiple of the id universe, hashed down by a ratio.
+RATIOS = [(name, times, ratio) for ratio in (1, 10, 100) for name, times in (("a", 1), ("b", 2), ("c", 4))]
+
+
 def _ratios(s: SparkSession, d: str) -> DataFrame:
-    """Losses of the document-rate model with compressed keys, by embedding of the key (first or second hash size), ratio and seed."""
-    log = Log(s, d)
-    parts = []
-    for ratio in (1, 10, 100):
-        for name, size in (("a", N_DOCS), ("b", 2 * N_DOCS), ("c", 4 * N_DOCS)):
-            bucket = keys.hash_trick(F.col("query_doc_id"), size, ratio)[0]
-            table = log.train.withColumn("bucket", bucket).groupBy("bucket").agg(((F.sum("click") + 1) / (F.count("*") + 2)).alias("p"))
-            scored = log.test.withColumn("bucket", bucket).join(table, "bucket", "left").withColumn("p", F.coalesce("p", F.lit(log.rho)))
-            parts.append(scored.groupBy((F.col("session_id") % 3).alias("seed")).agg(F.avg(exprs.bce_prob(F.col("click"), F.col("p"))).alias("loss")).withColumn("ratio", F.lit(ratio)).withColumn("model", F.lit(name)))
-    return reports.union_results(*parts)
+    """Losses of the document-rate model with compressed keys, by hash size, ratio and seed.
+
+    One pass over documents: their clicks and views in the train part become bucket rates for all settings at once, and
+    the test part is counted by seed, document and click before it meets them.
+    """
+    log, size = Log(s, d), n_docs(s, d)
+    setting = F.explode(F.array(*(F.struct(F.lit(n).alias("model"), F.lit(r).alias("ratio"), keys.hash_trick(F.col("query_doc_id"), t * size, r)[0].alias("bucket")) for n, t, r in RATIOS))).alias("k")
+    known = log.train.groupBy("query_doc_id").agg(F.sum("click").alias("c"), F.count("*").alias("v"))
+    rates = known.select("c", "v", setting).groupBy("k").agg(((F.sum("c") + 1) / (F.sum("v") + 2)).alias("p"))
+    seen = log.test.groupBy((F.col("session_id") % 3).alias("seed"), "query_doc_id", "click").agg(F.count("*").alias("n"))
+    both = seen.select("seed", "click", "n", setting).join(rates, "k", "left").withColumn("p", F.coalesce("p", F.lit(log.rho)))
+    whole = both.groupBy("seed", "k.model", "k.ratio").agg((F.sum(F.col("n") * exprs.bce_prob(F.col("click"), F.col("p"))) / F.sum("n")).alias("loss"))
+    return whole.select("model", "ratio", "seed", "loss")
+
+
+def _ratio_bucket(x: str, times: int, ratio: int) -> str:
+    return _h(x, f"(({times} * {N} + {ratio - 1}) // {ratio})")
 
 
 RATIO_SQL = LOG + ", rat AS (" + " UNION ALL ".join(
-    f"SELECT '{name}' AS model, {ratio} AS ratio, session_id % 3 AS seed, avg(-(CASE WHEN click = 1 THEN ln(p) ELSE ln(1 - p) END)) AS loss FROM (SELECT te.*, coalesce(k.p, rho) AS p FROM te CROSS JOIN g LEFT JOIN (SELECT {_h('query_doc_id', -(-size // ratio))} AS bucket, {RATE} AS p FROM tr GROUP BY 1) k ON {_h('te.query_doc_id', -(-size // ratio))} = k.bucket) GROUP BY 3"
-    for ratio in (1, 10, 100) for name, size in (("a", N_DOCS), ("b", 2 * N_DOCS), ("c", 4 * N_DOCS))
+    f"SELECT '{name}' AS model, {ratio} AS ratio, session_id % 3 AS seed, avg(-(CASE WHEN click = 1 THEN ln(p) ELSE ln(1 - p) END)) AS loss FROM (SELECT te.*, coalesce(k.p, rho) AS p FROM te CROSS JOIN g LEFT JOIN (SELECT {_ratio_bucket('query_doc_id', times, ratio)} AS bucket, {RATE} AS p FROM tr GROUP BY 1) k ON {_ratio_bucket('te.query_doc_id', times, ratio)} = k.bucket) GROUP BY 3"
+    for name, times, ratio in RATIOS
 ) + ")"
 register("report_ratio_pivot", lambda s, d: reports.pivot_ratio(_ratios(s, d), "loss", [1, 10, 100]).select("model", *(rd(str(k), f"ratio_{k}") for k in (1, 10, 100))), RATIO_SQL + f" SELECT model, {', '.join(r(f'avg(CASE WHEN ratio = {k} THEN loss END)', f'ratio_{k}') for k in (1, 10, 100))} FROM rat GROUP BY 1")
 register(

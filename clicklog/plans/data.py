@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clicklog.operators import models
+from clicklog.operators.fit import shared_dir
 from clicklog.operators.params import Param, constant, from_rates
 from clicklog.sources import sessions as S
 
@@ -30,8 +34,25 @@ def raw_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Tables of the log that an application has written, by application and folder of the inputs.
+_written: dict[tuple[str, str], str] = {}
+
+
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.weighted(raw_impressions(spark, sf_dir), MOST)
+    """The log's impressions with ``n`` and ``w``, written once in an application, dealt and sorted by session.
+
+    The table is bucketed by session, so that windows and groups by session need no exchange.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    name = _written.get(key)
+    if name is None or not spark.catalog.tableExists(name):
+        name = f"clicklog_impressions_{uuid.uuid4().hex}"
+        size = table(spark, sf_dir, "lineitem").count()  # from footers
+        parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 2_000_000), size // 50_000 + 1, 100_000)
+        rows = S.weighted(raw_impressions(spark, sf_dir), MOST).repartition(parts, "session_id")
+        rows.write.bucketBy(parts, "session_id").sortBy("session_id", "position").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+        _written[key] = name
+    return spark.table(name)
 
 
 def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +64,16 @@ def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Log:
-    """Train and test impressions, and smoothed parameter tables of the train part (without every seventh document)."""
+    """Train, validation and test impressions, and smoothed parameter tables of the train part (without every seventh document)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.rows = impressions(spark, sf_dir)
-        self.range = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("r")).first()["r"]
-        self.train = self.rows.where(F.col("session_id") < 0.5 * self.range)
-        self.test = self.rows.where(F.col("session_id") >= 0.75 * self.range)
+        self.range = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("r")).first()["r"]  # from footers
+        # whole numbers, so that the scan skips row groups
+        half, most = math.ceil(0.5 * self.range), math.ceil(0.75 * self.range)
+        self.train = self.rows.where(F.col("session_id") < half)
+        self.validation = self.rows.where((F.col("session_id") >= half) & (F.col("session_id") < most))
+        self.test = self.rows.where(F.col("session_id") >= most)
         self.known = self.train.where("query_doc_id % 7 <> 0")
         self.rho = self.train.agg(F.avg("click").alias("rho")).first()["rho"]
 

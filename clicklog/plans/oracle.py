@@ -33,6 +33,12 @@ ev AS (SELECT te.*, rho, coalesce(pa.alpha, rho) AS a, coalesce(pt.theta, rho) A
     LEFT JOIN ps ON te.query_doc_id = ps.query_doc_id LEFT JOIN pc ON te.position = pc.position)"""
 
 
+_TEST = "te AS (SELECT imp.* FROM imp, rng WHERE session_id >= 0.75 * r)"
+#: The same with all sessions, or those of the train part, in the place of the test part.
+LOG_ALL = LOG.replace(_TEST, "te AS (SELECT * FROM imp)")
+LOG_TRAIN = LOG.replace(_TEST, "te AS (SELECT * FROM tr)")
+
+
 def r(expression: str, name: str, digits: int = 6) -> str:
     return f"round(({expression})::DOUBLE, {digits}) + 0.0::DOUBLE AS {name}"
 

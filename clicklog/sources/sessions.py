@@ -11,23 +11,86 @@ FEATURE_SESSIONS = "query_doc_features array<array<float>>, positions array<int>
 ANNOTATIONS = "query_doc_features array<array<float>>, labels array<double>"
 
 
+def files(spark: SparkSession, pattern: str) -> list[str]:
+    """The Parquet files that a path, folder or glob names, in the order of their names; none is an error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(pattern).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: list[str] = []
+    for status in fs.globStatus(hadoop.Path(pattern)) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [str(f.getPath()) for f in inside if not f.isDirectory() and not f.getPath().getName().startswith(("_", "."))]
+    if not found:
+        raise FileNotFoundError(pattern)
+    return sorted(found)
+
+
 def scan(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """Read Parquet session files with an explicit schema; a missing path is an error."""
-    return spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
+    """Read Parquet session files (paths, folders or globs) with an explicit schema; nothing to read is an error."""
+    found = [f for p in ([paths] if isinstance(paths, str) else paths) for f in files(spark, p)]
+    return spark.read.schema(schema).parquet(*found)
+
+
+def read_query_sessions(spark: SparkSession, paths: str | list[str], max_positions: int | None = None) -> DataFrame:
+    """Sessions of a query: documents by id, ranks 1..n, clicks; cut to the first ranks."""
+    rows = scan(spark, paths, QUERY_SESSIONS)
+    rows = rows.withColumn("positions", F.sequence(F.lit(1), F.size("query_doc_ids")))
+    return first_positions(rows, ["query_doc_ids", "clicks", "positions"], max_positions)
+
+
+def read_id_sessions(spark: SparkSession, paths: str | list[str], max_positions: int | None = None, min_frequency: int | None = None) -> DataFrame:
+    """Sessions without a query; a filter by query frequency is an error, as there is no query."""
+    if min_frequency is not None:
+        raise ValueError("sessions of this layout have no query to filter by")
+    rows = scan(spark, paths, ID_SESSIONS)
+    rows = rows.withColumn("positions", F.sequence(F.lit(1), F.size("query_doc_ids")))
+    return first_positions(rows, ["query_doc_ids", "clicks", "positions"], max_positions)
+
+
+def read_feature_sessions(spark: SparkSession, paths: str | list[str], max_positions: int | None = None) -> DataFrame:
+    """Sessions with a feature vector for each document and explicit positions; cut by the positions' values."""
+    rows = scan(spark, paths, FEATURE_SESSIONS)
+    return truncate_by_value(rows, "positions", ["query_doc_features", "clicks"], max_positions) if max_positions else rows
+
+
+def read_annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lists of documents with a feature vector and a graded label each."""
+    return scan(spark, paths, ANNOTATIONS)
+
+
+def first_positions(sessions: DataFrame, arrays: list[str], most: int | None) -> DataFrame:
+    return sessions.withColumns({a: F.slice(a, 1, most) for a in arrays}) if most else sessions
+
+
+def file_starts(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """``(file, first ordinal, rows)`` in file order; rows are counted from the files' footers, by Spark tasks."""
+    counts = spark.read.parquet(*paths).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect()  # a row for each file
+    found, start = [], 0
+    for r in sorted(counts):
+        found.append((r["f"], start, r["n"]))
+        start += r["n"]
+    return found
+
 
+def session_range(spark: SparkSession, paths: str | list[str], begin: int, end: int) -> DataFrame:
+    """Sessions ``begin <= ordinal < end`` with their ``ordinal``: files sorted by name, then rows as stored.
 
-def with_ordinal(sessions: DataFrame) -> DataFrame:
-    """Add ``ordinal``: files sorted by name, then rows as stored. Only per-file counts are ordered globally."""
-    rows = sessions.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
-    counts = rows.groupBy("_file").agg(F.count("*").alias("_n"))  # one row a file
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return rows.join(starts, "_file").withColumn("ordinal", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+    Only files that hold some of the range are read; rows keep their file's start as a literal, without a join.
+    """
+    found = [f for p in ([paths] if isinstance(paths, str) else paths) for f in files(spark, p)]
+    need = [(f, start) for f, start, n in file_starts(spark, found) if start < end and start + n > begin]
+    if not need:
+        return spark.read.parquet(*found).withColumn("ordinal", F.lit(0).cast("long")).limit(0)
+    rows = spark.read.parquet(*(f for f, _ in need))
+    start = F.element_at(F.create_map(*(F.lit(x) for pair in need for x in pair)), F.col("_metadata.file_path"))
+    rows = rows.withColumn("ordinal", (start + F.col("_metadata.row_index")).cast("long"))
+    return rows.where((F.col("ordinal") >= begin) & (F.col("ordinal") < end))
 
 
-def session_range(sessions: DataFrame, begin: int, end: int, ordinal: str = "ordinal") -> DataFrame:
-    """The half-open slice of sessions by ordinal."""
-    return sessions.where((F.col(ordinal) >= begin) & (F.col(ordinal) < end))
+def session_count(spark: SparkSession, paths: str | list[str], begin: int = 0, end: int | None = None) -> int:
+    """How many sessions a slice has, from the files' row counts alone."""
+    found = [f for p in ([paths] if isinstance(paths, str) else paths) for f in files(spark, p)]
+    total = sum(n for _, _, n in file_starts(spark, found))
+    return max(0, min(total, total if end is None else end) - begin)
 
 
 def explode(sessions: DataFrame, arrays: dict[str, str], keep: list[str], max_positions: int | None = None) -> DataFrame:
