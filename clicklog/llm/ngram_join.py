@@ -263,10 +263,11 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = leads.groupBy("tok").agg(F.min(me).alias("first"))
     heads = leads.join(first, "tok").where(close_in_size(F.col("n"), F.col("first.n"))).where("doc <> first.doc").select(F.col("first.doc").alias("x"), F.col("doc").alias("y"))
     first = verified(led_pairs(posted, "l1").union(led_pairs(posted, "l2")).union(heads).distinct(), texts, orders)
-    equal = rows.where("n_shingles > 0 and doc_id != cls").select(F.col("doc_id").alias("u"), F.col("cls").alias("v"))
-    links = saved(first.select(F.col("x").alias("u"), F.col("y").alias("v")).union(equal), "links")
     # how much of a document's index is shared: near 1 for the text that a group's copies were made from
     typical = saved(posted.groupBy("doc", "n").agg(F.count("*").alias("k")).select("doc", (F.col("k") / (F.col("n") - F.ceil(NUM * F.col("n") / DEN) + 1)).alias("typical")), "typical")
+    # of equal sets only those in the index (one for each task) need a link to their class
+    equal = rows.where("n_shingles > 0 and doc_id != cls").join(typical, F.col("doc_id") == F.col("doc"), "left_semi").select(F.col("doc_id").alias("u"), F.col("cls").alias("v"))
+    links = saved(first.select(F.col("x").alias("u"), F.col("y").alias("v")).union(equal), "links")
     placed = posted.select("tok", "doc", "n")
     for round_ in range(ROUNDS + 1):
         near = saved(components(links), "near")
