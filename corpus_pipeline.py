@@ -28,7 +28,8 @@ from clicklog.llm.store import saved, scratch
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(language_id.learnable(docs))
-    return language_id.identify(docs, model).where("not rejected").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return language_id.identify(rows, model).where("not rejected").select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
