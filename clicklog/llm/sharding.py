@@ -83,7 +83,8 @@ def shards(docs: DataFrame, k: int = 16, cell: int = CELL, fan_in: int = FAN_IN)
         return pd.DataFrame(moves, columns=["up", "cell", "part", "to", "bytes"])
 
     with scratch() as kept:
-        rows = saved(rows, "rows")
+        # numbered where they are read, so that slots are given by parts of the input, not by groups of equal texts
+        rows = saved(rows.withColumn("nth", F.monotonically_increasing_id()), "rows")
         groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
         cells = max(1, -(-groups.count() // cell))
         groups = groups.withColumn("cell", F.pmod(F.xxhash64("digest"), F.lit(cells)))
@@ -98,7 +99,7 @@ def shards(docs: DataFrame, k: int = 16, cell: int = CELL, fan_in: int = FAN_IN)
             cells = -(-cells // fan_in)
         places = dealt.select(F.col("digest").alias("of"), F.col("part").alias("shard"))
         placed = rows.join(places, F.col("digest").eqNullSafe(F.col("of"))).drop("digest", "of")
-        placed = saved(placed.withColumn("nth", F.monotonically_increasing_id()), "placed")
+        placed = saved(placed, "placed")
         kept.append(placed)
     out = gapless(placed, "shard", "nth", "slot")
     return out.select(
