@@ -163,28 +163,42 @@ def train(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES)
     return fit(x, np.array([langs.index(r["lang"]) for r in got]), langs)
 
 
+def judged(text: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's language, score and whether it is rejected."""
+    n = len(text)
+    letters = np.zeros(n, bool)
+    if model is not None:
+        for i in range(0, n, 64):  # a few Python strings at a time
+            letters[i : i + 64] = [t is not None and (t[:1].isalpha() or any(map(str.isalpha, t))) for t in text.slice(i, 64).to_pylist()]
+    p = model.scores(text) if model else np.zeros((n, 1))
+    names = np.array(model.langs if model else ["und"], dtype=object)[p.argmax(1)]
+    names[~letters] = "und"
+    score = np.where(letters, p.max(1), 0.0)
+    return names, score, ~letters | (score < (model.reject if model else 1))
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``rejected``."""
     docs = docs.drop("lang_pred", "score", "rejected")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, text = batch.num_rows, batch.column("text")
-            letters = np.array([t is not None and (t[:1].isalpha() or any(map(str.isalpha, t))) for t in text.to_pylist()], dtype=bool)
-            if model is None:
-                best, top, letters = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
-            else:
-                p = model.scores(text)
-                best, top = p.argmax(1), p.max(1)
-            names = np.array(model.langs if model else ["und"], dtype=object)[best]
-            names[~letters] = "und"
-            score = np.where(letters, top, 0.0)
-            rejected = ~letters | (score < (model.reject if model else 1))
+            names, score, rejected = judged(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
     return docs.mapInArrow(predict, T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their columns; rows are dropped where they are read."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~judged(batch.column("text"), model)[2]))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """The rows that may be learned from: crc32 of doc_id as text, mod 4, is not 2."""
     return docs.where(~held_out())

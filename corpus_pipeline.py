@@ -28,8 +28,7 @@ from clicklog.llm.store import saved, scratch
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(language_id.learnable(docs))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return language_id.identify(rows, model).where("not rejected").select("row.*")
+    return language_id.accepted(docs, model)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
