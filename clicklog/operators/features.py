@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,17 @@ def _elu(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x, np.expm1(np.minimum(x, 0)))
 
 
+def _elu_slope(out: np.ndarray) -> np.ndarray:
+    """The slope of ELU by its value."""
+    return np.where(out > 0, 1, out + 1)
+
+
+def _by_logit(z: np.ndarray, click: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient of the weighted cross-entropy by each logit, and its sum."""
+    p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    return (p - click) * w, float((w * (np.logaddexp(0, z) - click * z)).sum())
+
+
 class Deep:
     """A feed-forward network: layer norm, hidden layers with ELU, one logit. ``layers`` holds (weights, bias) pairs."""
 
@@ -55,17 +67,21 @@ class Deep:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return self.forward(x)[-1][:, 0]
 
+    def parameters(self) -> list[np.ndarray]:
+        return [p for layer in self.layers for p in layer]
+
+    def rebuilt(self, params: list[np.ndarray]) -> Deep:
+        return Deep(list(zip(params[::2], params[1::2], strict=True)))
+
     def gradient(self, x: np.ndarray, click: np.ndarray, w: np.ndarray) -> tuple[list[np.ndarray], float]:
-        """Summed gradient of the weighted cross-entropy, flattened by layer, and the summed loss."""
+        """Summed gradient of the weighted cross-entropy, in the order of the parameters, and the summed loss."""
         out = self.forward(x)
-        z = out[-1][:, 0]
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        back, grads = ((p - click) * w)[:, None], []
+        by_logit, loss = _by_logit(out[-1][:, 0], click, w)
+        back, grads = by_logit[:, None], []
         for i in range(len(self.layers) - 1, -1, -1):
             grads += [back.sum(0), out[i].T @ back]
             if i:
-                back = back @ self.layers[i][0].T * np.where(out[i] > 0, 1, out[i] + 1)
-        loss = float((w * (np.logaddexp(0, z) - click * z)).sum())
+                back = back @ self.layers[i][0].T * _elu_slope(out[i])
         return grads[::-1], loss
 
 
@@ -80,19 +96,48 @@ class DeepCross:
         self.deep = [(rng.normal(0, (2 / a) ** 0.5, (a, b)), np.zeros(b)) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
         self.top = rng.normal(0, 0.1, sizes[-1] if stacked else sizes[-1] + width)
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        first = crossed = _norm(x)
+    def forward(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Values of the cross and of the deep layers, and what the last weights meet."""
+        crossed = [_norm(x)]
         for w, b in self.cross:
-            crossed = first * (crossed @ w + b) + crossed
-        deep = crossed if self.stacked else first
+            crossed.append(crossed[0] * (crossed[-1] @ w + b) + crossed[-1])
+        deep = [crossed[-1] if self.stacked else crossed[0]]
         for w, b in self.deep:
-            deep = _elu(deep @ w + b)
-        return (deep if self.stacked else np.concatenate([crossed, deep], axis=1)) @ self.top
+            deep.append(_elu(deep[-1] @ w + b))
+        return crossed, deep, deep[-1] if self.stacked else np.concatenate([crossed[-1], deep[-1]], axis=1)
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return self.forward(x)[-1] @ self.top
+
+    def parameters(self) -> list[np.ndarray]:
+        return [*(p for layer in (*self.cross, *self.deep) for p in layer), self.top]
+
+    def rebuilt(self, params: list[np.ndarray]) -> DeepCross:
+        out, layers = copy.copy(self), list(zip(params[:-1:2], params[1::2], strict=True))
+        out.cross, out.deep, out.top = layers[: len(self.cross)], layers[len(self.cross) :], params[-1]
+        return out
+
+    def gradient(self, x: np.ndarray, click: np.ndarray, w: np.ndarray) -> tuple[list[np.ndarray], float]:
+        """As :meth:`Deep.gradient`."""
+        crossed, deep, last = self.forward(x)
+        by_logit, loss = _by_logit(last @ self.top, click, w)
+        back, grads = by_logit[:, None] * self.top, [last.T @ by_logit]
+        back_cross, back = (None, back) if self.stacked else (back[:, : x.shape[1]], back[:, x.shape[1] :])
+        for i in range(len(self.deep) - 1, -1, -1):
+            back = back * _elu_slope(deep[i + 1])
+            grads += [back.sum(0), deep[i].T @ back]
+            back = back @ self.deep[i][0].T
+        back = back if self.stacked else back_cross
+        for i in range(len(self.cross) - 1, -1, -1):
+            inner = back * crossed[0]
+            grads += [inner.sum(0), crossed[i].T @ inner]
+            back = back + inner @ self.cross[i][0].T
+        return grads[::-1], loss
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array(rows, dtype=float) if rows else np.zeros((0, 1))
+    """The lists of a column (not empty) as rows, out of its Arrow buffer."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 def score(rows: DataFrame, network: Deep | DeepCross, features: str = "features", name: str = "logit") -> DataFrame:
@@ -107,14 +152,16 @@ def score(rows: DataFrame, network: Deep | DeepCross, features: str = "features"
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields]).add(name, "double"))
 
 
-def fit_deep(rows: DataFrame, network: Deep, epochs: int = 5, rate: float = 0.01, decay: float = 1e-4, features: str = "features") -> tuple[Deep, list[float]]:
+def fit_deep(
+    rows: DataFrame, network: Deep | DeepCross, epochs: int = 5, rate: float = 0.01, decay: float = 1e-4, features: str = "features"
+) -> tuple[Deep | DeepCross, list[float]]:
     """Data-parallel training: each task sums its gradient, the sums are added on the executors, the driver steps (AdamW)."""
-    shapes = [p.shape for layer in network.layers for p in layer]
-    params = [p.copy() for layer in network.layers for p in layer]
+    params = [p.copy() for p in network.parameters()]
+    shapes = [p.shape for p in params]
     m, v, losses = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes], []
     data = rows.select(features, "click", "w")
     for step in range(1, epochs + 1):
-        shared = rows.sparkSession.sparkContext.broadcast(Deep(list(zip(params[::2], params[1::2], strict=True))))
+        shared = rows.sparkSession.sparkContext.broadcast(network.rebuilt(params))
 
         def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total, loss, seen = [np.zeros(s) for s in shapes], 0.0, 0.0
@@ -139,7 +186,7 @@ def fit_deep(rows: DataFrame, network: Deep, epochs: int = 5, rate: float = 0.01
             at += int(np.prod(s))
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             params[i] = params[i] - rate * ((m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8) + decay * params[i])
-    return Deep(list(zip(params[::2], params[1::2], strict=True))), losses
+    return network.rebuilt(params), losses
 
 
 def fit_linear(rows: DataFrame, features: str = "features", penalty: float = 1e-3):

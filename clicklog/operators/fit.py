@@ -7,13 +7,15 @@ Iterations work on sufficient statistics where the model allows it, and cut line
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clicklog.functions import exprs
 from clicklog.operators import metrics, models
-from clicklog.operators.params import Param
+from clicklog.operators.params import Param, constant
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -235,21 +237,62 @@ def fit_chain(kind: str, rows: DataFrame, validation: DataFrame | None = None, e
     return built(best), log
 
 
-def mixture_step(model: models.Mixture, rows: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """One EM step of the prior: a model's mean responsibility over sessions."""
-    post = model.posterior(rows, temperature)
-    names = list(model.models)
+def rate_gradients(rows: DataFrame, model: models.RateModel) -> DataFrame:
+    """``g`` for each key of the rates' table: the gradient of the loss by its logit. Under the hash trick a key's sign
+    turns the logit that it shares, and so its part of the gradient."""
+    p = model.rate
+    rows = p.lookup(rows).withColumns(p.computed or {})
+    part = F.col("w") * (p.prob() - F.col("click"))
+    return rows.groupBy(*p.keys).agg(F.sum(part if p.sign is None else p.sign * part).alias("g"))
+
+
+def _responsibility(post: DataFrame, names: list[str]) -> DataFrame:
+    """``model, prior``: the mean posteriors."""
     means = post.agg(*(F.avg(F.exp(F.col(f"post_{m}"))).alias(m) for m in names))
     return means.select(F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("prior")) for m in names))).alias("x")).select("x.*")
 
 
-def fit_mixture(model: models.Mixture, rows: DataFrame, iterations: int = 3) -> tuple[models.Mixture, list[dict[str, float]]]:
-    """Prior weights by repeated steps; the models themselves stay as they are."""
+def mixture_step(model: models.Mixture, rows: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """One EM step of the prior: a model's mean responsibility over sessions."""
+    return _responsibility(model.posterior(rows, temperature), list(model.models))
+
+
+def refit_rates(model: models.RateModel, rows: DataFrame) -> models.RateModel:
+    """Smoothed rates of impressions as they weigh in ``w``."""
+    p = model.rate
+    found = rates(rows, list(p.keys), clicks=1.0, views=2.0)
+    if not p.keys:
+        return models.RateModel(constant(p.name, found.first()["rate"]))
+    return models.RateModel(replace(p, table=checkpointed(found.select(*p.keys, exprs.logit(F.col("rate")).alias("logit"))), column="logit"))
+
+
+def refit_position_based(model: models.PositionBased, rows: DataFrame) -> models.PositionBased:
+    """One EM step on cells from the model's own parameters."""
+    table = checkpointed(cells(rows, ["query_doc_id", "position"]))
+    a, t = model.attraction, model.examination
+    alpha = a.lookup(table.select("query_doc_id").distinct()).select("query_doc_id", a.prob().alias("alpha"))
+    theta = t.lookup(table.select("position").distinct()).select("position", t.prob().alias("theta"))
+    new_a, new_t = em_step(table, alpha, theta, ["position"])
+    new_a = checkpointed(new_a.select("query_doc_id", exprs.logit(F.col("alpha")).alias("logit")))
+    new_t = checkpointed(new_t.select("position", exprs.logit(F.col("theta")).alias("logit")))
+    return models.PositionBased(replace(a, table=new_a, column="logit"), replace(t, table=new_t, column="logit"))
+
+
+#: Fits a model of a mixture anew to impressions whose ``w`` holds its share of their sessions.
+Refit = Callable[[models.ClickModel, DataFrame], models.ClickModel]
+
+
+def fit_mixture(model: models.Mixture, rows: DataFrame, iterations: int = 3, refit: dict[str, Refit] | None = None) -> tuple[models.Mixture, list[dict[str, float]]]:
+    """EM of a mixture: the prior weights and, of the models named in ``refit``, the parameters; others stay as they are."""
     history = []
     for _ in range(iterations):
-        prior = {r["model"]: max(r["prior"], 1e-12) for r in mixture_step(model, rows, model.temperature).collect()}  # a row for each model
-        model = models.Mixture(model.models, prior, model.temperature)
+        post = model.posterior(rows, model.temperature)
+        post = checkpointed(post) if refit else post
+        prior = {r["model"]: max(r["prior"], 1e-12) for r in _responsibility(post, list(model.models)).collect()}  # a row for each model
+        inner = dict(model.models)
+        for name, fitted in (refit or {}).items():
+            share = post.select("session_id", F.exp(f"post_{name}").alias("_share"))
+            inner[name] = fitted(inner[name], rows.join(share, "session_id").withColumn("w", F.col("w") * F.col("_share")).drop("_share"))
+        model = models.Mixture(inner, prior, model.temperature)
         history.append(prior)
     return model, history
-
-

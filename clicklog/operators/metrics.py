@@ -47,18 +47,19 @@ def perplexity(rows: DataFrame, log_prob: str = "log_prob", name: str = "ppl") -
     return perplexity_per_rank(rows, log_prob, name).agg(F.avg(name).alias(name))
 
 
-def evaluate_clicks(rows: DataFrame, prefix: str = "test_", max_positions: int = 10) -> DataFrame:
-    """ll, ppl, cond_ppl and loss of scored impressions in one row.
+def evaluate_clicks(rows: DataFrame, prefix: str = "test_", max_positions: int = 10, more: dict[str, Column] | None = None) -> DataFrame:
+    """ll, ppl, cond_ppl and loss of scored impressions in one row, and the means over impressions of ``more`` columns.
 
     One pass: sums for each (session, position) cell are folded to positions, and the session means ride along as
     the weighted sum of losses.
     """
-    click = F.col("click")
-    seen = rows.select("position", "w", "session_id", observed(click, F.col("cond_log_prob")).alias("c"), observed(click, F.col("log_prob")).alias("u"))
-    by_rank = seen.groupBy("position").agg(F.sum("c").alias("c"), F.sum("u").alias("u"), F.count("*").alias("k"), F.sum(-F.col("c") * F.col("w")).alias("wl"), F.sum("w").alias("sessions"))
+    click, own = F.col("click"), more or {}
+    seen = rows.select("position", "w", "session_id", observed(click, F.col("cond_log_prob")).alias("c"), observed(click, F.col("log_prob")).alias("u"), *(c.alias(f"_{n}") for n, c in own.items()))
+    by_rank = seen.groupBy("position").agg(F.sum("c").alias("c"), F.sum("u").alias("u"), F.count("*").alias("k"), F.sum(-F.col("c") * F.col("w")).alias("wl"), F.sum("w").alias("sessions"), *(F.sum(f"_{n}").alias(f"_{n}") for n in own))
     return by_rank.agg(
         (F.sum("c") / F.sum("k")).alias(f"{prefix}ll"), F.avg(exprs.perplexity(F.col("u") / F.col("k"))).alias(f"{prefix}ppl"),
         F.avg(exprs.perplexity(F.col("c") / F.col("k"))).alias(f"{prefix}cond_ppl"), (F.sum("wl") / F.sum("sessions")).alias(f"{prefix}loss"),
+        *((F.sum(f"_{n}") / F.sum("k")).alias(f"{prefix}{n}") for n in own),
     )
 
 

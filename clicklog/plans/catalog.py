@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from clicklog.functions import exprs, keys
 from clicklog.operators import features, fit, keysets, metrics, models, reports
-from clicklog.plans import data
+from clicklog.operators.params import Param, from_rates, hashed
+from clicklog.plans import data, fit_sql
 from clicklog.plans.data import Log
 from clicklog.plans.oracle import BACK, IDS, LOG, LOG_ALL, LOG_TRAIN, RATE, P, bce, chain_cond, chain_uncond, r, u, ubm_uncond
 from clicklog.sources import sessions as S
@@ -229,8 +230,25 @@ def _network(network: object) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: features.score(data.table(s, d, "embeddings").select(lg("vec_id"), F.col("embedding").alias("features")), network).select("vec_id", rd("logit", "logit"))
 
 
-register("deep_attraction", _network(features.Deep.seeded(64)))
-register("deepcross_attraction", _network(features.DeepCross(64)))
+for _n, _net in (("deep", features.Deep.seeded(64)), ("deepcross", features.DeepCross(64)), ("deepcross_parallel", features.DeepCross(64, stacked=False))):
+    register(f"{_n}_attraction", _network(_net), fit_sql.network(_net, NORMED))
+
+
+def _pbm_by_features(s: SparkSession, d: str) -> DataFrame:
+    """The position-based model with attraction by features, on the annotated lists (their order is the rank)."""
+    rows = data.annotations(s, d).withColumn("position", F.col("doc_ord")).withColumn("w", F.lit(1.0))
+    t = from_rates("examination", fit.rates(rows, ["position"], clicks=1.0, views=2.0), ("position",), "rate", 0.5)
+    a = Param("attraction", fixed=features.linear_logit("embedding", W64, -0.5))
+    return models.PositionBased(a, t).score(rows, ("log_prob",)).select(lg("vec_id"), rd("log_prob", "log_prob", 5))
+
+
+LINEAR_SQL = "list_sum(list_transform(range(1, 65), lambda i: z[i] * ws[i])) - 0.5::DOUBLE"
+register(
+    "pbm_feature_attraction",
+    _pbm_by_features,
+    ANN + f""", {NORMED}, {WEIGHTS}, ex AS (SELECT doc_ord, (sum(click) + 1)::DOUBLE / (count(*) + 2) AS t FROM ann GROUP BY 1)
+SELECT ann.vec_id::BIGINT AS vec_id, {r(f'ln(t) - ln(1 + exp(-({LINEAR_SQL})))', 'log_prob', 5)} FROM ann JOIN ex USING (doc_ord) JOIN ln_ ON ann.vec_id = ln_.vec_id CROSS JOIN wt""",
+)
 
 
 def _bce(from_log: bool) -> Callable[[SparkSession, str], DataFrame]:
@@ -351,6 +369,11 @@ register(
     lambda s, d: metrics.evaluate_clicks(_pbm(s, d)).select(*(rd(f"test_{c}", f"test_{c}") for c in EVAL)),
     PBM + f", pr AS (SELECT pow(2, -avg(o) / ln(2)) AS p FROM ob GROUP BY position) SELECT {r('(SELECT avg(o) FROM ob)', 'test_ll')}, {r('(SELECT avg(p) FROM pr)', 'test_ppl')}, {r('(SELECT avg(p) FROM pr)', 'test_cond_ppl')}, {r('(SELECT avg(x) FROM (SELECT avg(-o) AS x FROM ob GROUP BY session_id))', 'test_loss')}",
 )
+register(
+    "evaluate_clicks_custom",
+    lambda s, d: metrics.evaluate_clicks(_pbm(s, d), more={"brier": F.pow(F.col("click") - F.exp("log_prob"), 2)}).select(rd("test_ll", "test_ll"), rd("test_brier", "test_brier")),
+    PBM + f" SELECT {r('avg(o)', 'test_ll')}, {r('avg((click - exp(lp)) * (click - exp(lp)))', 'test_brier')} FROM ob",
+)
 CUTS = (1, 3, 5, 10)
 GAINS = {n: f"sum(CASE WHEN rank <= {n} THEN (pow(2, label) - 1) / log2(rank + 1) ELSE 0 END)" for n in CUTS}
 BEST = {n: GAINS[n].replace("rank", "ideal_rank") for n in CUTS}
@@ -385,9 +408,11 @@ register("pbm_cells", lambda s, d: fit.cells(Log(s, d).train, ["query_doc_id", "
 register("ubm_cells", lambda s, d: fit.cells(fit.with_last_position(Log(s, d).train), ["query_doc_id", "position", "last_pos"]).select(lg("query_doc_id"), lg("position"), lg("last_pos"), rd("clicks", "clicks"), rd("views", "views")), LOG + f" SELECT query_doc_id::BIGINT AS query_doc_id, position::BIGINT AS position, last_pos::BIGINT AS last_pos, {CELL} FROM trl GROUP BY query_doc_id, position, last_pos")
 
 
-def _em(exam_keys: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+def _em(exam_keys: list[str], ratio: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:
         rows = Log(s, d).train
+        if ratio:
+            rows = rows.withColumn("query_doc_id", keys.hash_trick(F.col("query_doc_id"), n_docs(s, d), ratio)[0])
         table = fit.cells(fit.with_last_position(rows) if len(exam_keys) > 1 else rows, ["query_doc_id", *exam_keys])
         a = table.select("query_doc_id").distinct().withColumn("alpha", F.lit(0.4))
         t = table.select(*exam_keys).distinct().withColumn("theta", 1.0 / F.col("position"))
@@ -399,9 +424,9 @@ def _em(exam_keys: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _em_sql(second: str) -> str:
+def _em_sql(second: str, doc: str = "query_doc_id") -> str:
     two = second != "0"
-    return LOG + f""", cl AS (SELECT query_doc_id, position, {second} AS k2, sum(w * click) AS c, sum(w) AS v, 0.4::DOUBLE AS x, 1::DOUBLE / position AS y FROM trl GROUP BY 1, 2, 3),
+    return LOG + f""", cl AS (SELECT {doc} AS query_doc_id, position, {second} AS k2, sum(w * click) AS c, sum(w) AS v, 0.4::DOUBLE AS x, 1::DOUBLE / position AS y FROM trl GROUP BY 1, 2, 3),
 e AS (SELECT *, c + (v - c) * x * (1 - y) / (1 - x * y) AS ga, c + (v - c) * y * (1 - x) / (1 - x * y) AS gt FROM cl)
 SELECT 'attraction' AS kind, query_doc_id::BIGINT AS k1, 0::BIGINT AS k2, {r('least(greatest(sum(ga) / sum(v), 1e-6), 1 - 1e-6)', 'p')} FROM e GROUP BY query_doc_id
 UNION ALL SELECT 'examination', position::BIGINT, {'k2::BIGINT' if two else '0::BIGINT'}, {r('least(greatest(sum(gt) / sum(v), 1e-6), 1 - 1e-6)', 'p')} FROM e GROUP BY position{', k2' if two else ''}"""
@@ -409,6 +434,25 @@ UNION ALL SELECT 'examination', position::BIGINT, {'k2::BIGINT' if two else '0::
 
 register("pbm_em_step", _em(["position"]), _em_sql("0"))
 register("ubm_em_step", _em(["position", "last_pos"]), _em_sql("last_pos"))
+BUCKET = _h("query_doc_id", f"(({N} + 9) // 10)")
+register("pbm_em_step_hashed", _em(["position"], 10), _em_sql("0", BUCKET))
+
+
+def _signed_gradient(s: SparkSession, d: str) -> DataFrame:
+    """The document rates' gradient by the logits of signed buckets, which start from the buckets' smoothed rates."""
+    log, size = Log(s, d), n_docs(s, d)
+    bucket, _ = keys.hash_trick(F.col("query_doc_id"), size)
+    start = fit.rates(log.train.withColumn("bucket", bucket), ["bucket"], "impression", 1.0, 2.0).select("bucket", exprs.logit(F.col("rate")).alias("logit"))
+    model = models.RateModel(hashed("attraction", F.col("query_doc_id"), size, start))
+    return fit.rate_gradients(log.train, model).select(lg("bucket"), rd("g", "g"))
+
+
+register(
+    "dctr_grad_step_signed",
+    _signed_gradient,
+    LOG + f""", b AS (SELECT *, {BUCKET} AS bucket, 2 * {_h2('query_doc_id', '0', 2)} - 1 AS sign FROM tr), p0 AS (SELECT bucket, {RATE} AS p FROM b GROUP BY 1)
+SELECT bucket::BIGINT AS bucket, {r('sum(w * sign * (1 / (1 + exp(-sign * ln(p / (1 - p)))) - click))', 'g')} FROM b JOIN p0 USING (bucket) GROUP BY 1""",
+)
 
 
 def _fit_product(exam_keys: list[str]) -> Callable[[SparkSession, str], DataFrame]:
@@ -421,18 +465,14 @@ def _fit_product(exam_keys: list[str]) -> Callable[[SparkSession, str], DataFram
     return run
 
 
-register("fit_pbm", _fit_product(["position"]))
-register("fit_ubm", _fit_product(["position", "last_pos"]))
+register("fit_pbm", _fit_product(["position"]), fit_sql.product(False))
+register("fit_ubm", _fit_product(["position", "last_pos"]), fit_sql.product(True))
 register("fit_cm_textbook", lambda s, d: fit.textbook_cascade(Log(s, d).train).select(lg("query_doc_id"), rd("rate", "rate")), LOG + f", x AS (SELECT *, coalesce(sum(click) OVER ({BACK}), 0) AS k FROM tr) SELECT query_doc_id::BIGINT AS query_doc_id, {r(WRATE, 'rate')} FROM x WHERE k = 0 GROUP BY 1")
 
 
 def _chain_grad_sql(model: str) -> str:
     """CTEs ending in ``gr``: rows of the train part with gradients by the attraction probability and the click continuation."""
-    _, click = {"dcm": ("", "c"), "ccm": ("", "(a * 0.3::DOUBLE + (1 - a) * 0.6::DOUBLE)"), "dbn": ("", "(0.9::DOUBLE * (1 - s))")}[model]
-    return LOG_TRAIN + chain_cond(model) + f""", q AS (SELECT *, least(greatest(nn * a, 0), 1) AS qq, max(click) OVER (PARTITION BY session_id, run) AS ended FROM cond),
-q2 AS (SELECT *, 1 - sum(qq) OVER (PARTITION BY session_id, run) AS de, coalesce(sum(qq) OVER (PARTITION BY session_id, run ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later, row_number() OVER (PARTITION BY session_id, run ORDER BY position) AS i FROM q),
-q3 AS (SELECT *, CASE WHEN ended = 1 THEN CASE WHEN click = 1 THEN -1 / a ELSE 1 / (1 - a) END ELSE (nn - later / (1 - a)) / de END AS da, CASE WHEN i = 1 THEN CASE WHEN ended = 1 THEN -1::DOUBLE ELSE (1 - de) / de END END AS ds FROM q2),
-gr AS (SELECT *, CASE WHEN click = 1 THEN coalesce(lead(ds) OVER (PARTITION BY session_id ORDER BY position), 0) / {click} ELSE 0 END AS dc FROM q3)"""
+    return LOG_TRAIN + chain_cond(model) + fit_sql.gradients(model)
 
 
 GA = "sum(w * da * a * (1 - a))"
@@ -468,26 +508,41 @@ def _fit_chain(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 for _m in ("dbn", "sdbn", "dcm", "ccm"):
-    register(f"fit_{_m}", _fit_chain(_m))
+    register(f"fit_{_m}", _fit_chain(_m), fit_sql.chain(_m))
 
 
 def _training_log(s: SparkSession, d: str) -> DataFrame:
     log = Log(s, d)
     _, epochs = fit.fit_chain("ccm", log.train, log.validation, epochs=3)
-    return s.createDataFrame([(e["epoch"], float(e["val_loss"]), e["best"]) for e in epochs], "epoch long, val_loss double, best boolean")  # a row for each epoch
+    return s.createDataFrame([(e["epoch"], float(e["val_loss"]), e["best"]) for e in epochs], "epoch long, val_loss double, best boolean").select("epoch", rd("val_loss", "val_loss"), "best")  # a row for each epoch
 
 
-register("training_log", _training_log)
+register("training_log", _training_log, fit_sql.training_log())
 register("mixture_em_step", lambda s, d: fit.mixture_step((x := Log(s, d)).model("mixture"), x.train).select("model", rd("prior", "prior")), LOG_TRAIN + MIX + f" SELECT 'dctr' AS model, {r('avg(exp(p1))', 'prior')} FROM post UNION ALL SELECT 'pbm', {r('avg(exp(p2))', 'prior')} FROM post UNION ALL SELECT 'dbn', {r('avg(exp(p3))', 'prior')} FROM post")
 
 
 def _fit_mixture(s: SparkSession, d: str) -> DataFrame:
     log = Log(s, d)
     model, _ = fit.fit_mixture(log.model("mixture"), log.train, 2)
-    return s.createDataFrame(sorted(model.prior.items()), "model string, prior double")  # a row for each model
+    return s.createDataFrame(sorted(model.prior.items()), "model string, prior double").select("model", rd("prior", "prior"))  # a row for each model
 
 
-register("fit_mixture", _fit_mixture)
+register("fit_mixture", _fit_mixture, fit_sql.mixture(MIX))
+
+
+def _fit_mixture_refit(s: SparkSession, d: str) -> DataFrame:
+    """A mixture of document and rank rates whose models are fitted anew in each iteration."""
+    log = Log(s, d)
+    start = models.Mixture({m: log.model(m) for m in ("dctr", "rctr")}, {"dctr": 0.5, "rctr": 0.5})
+    model, _ = fit.fit_mixture(start, log.train, 2, {"dctr": fit.refit_rates, "rctr": fit.refit_rates})
+    out = s.createDataFrame([("prior", k, float(model.prior[m])) for k, m in ((1, "dctr"), (2, "rctr"))], "kind string, k long, p double")  # a row for each model
+    for name in ("dctr", "rctr"):
+        p = model.models[name].rate
+        out = out.union(p.table.select(F.lit(name).alias("kind"), lg(p.keys[0], "k"), exprs.sigmoid(F.col("logit")).alias("p")))
+    return out.select("kind", "k", rd("p", "p"))
+
+
+register("fit_mixture_refit", _fit_mixture_refit, fit_sql.mixture_refit())
 
 
 def _feature_clicks(s: SparkSession, d: str) -> DataFrame:
@@ -501,13 +556,17 @@ def _fit_linear(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(list(enumerate(values)), "feature long, weight double")  # a row for each feature
 
 
-def _fit_deep(s: SparkSession, d: str) -> DataFrame:
-    _, losses = features.fit_deep(_feature_clicks(s, d), features.Deep.seeded(64), epochs=3)
-    return s.createDataFrame([(i + 1, x) for i, x in enumerate(losses)], "epoch long, loss double")  # a row for each epoch
+def _fit_network(network: object) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        _, losses = features.fit_deep(_feature_clicks(s, d), network, epochs=3)
+        return s.createDataFrame([(i + 1, x) for i, x in enumerate(losses)], "epoch long, loss double")  # a row for each epoch
+
+    return run
 
 
 register("fit_linear_ctr", _fit_linear)
-register("fit_deep_ctr", _fit_deep)
+register("fit_deep_ctr", _fit_network(features.Deep.seeded(64)))
+register("fit_deepcross_ctr", _fit_network(features.DeepCross(64)))
 
 # ---- synthetic clicks -----------------------------------------------------------------------------------------
 
