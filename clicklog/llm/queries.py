@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clicklog.llm import decontaminate, embedding_dedup, html_extract, language_id, mixing, ngram_join, quality, sharding, toxicity, url_filter
+from clicklog.llm import decontaminate, embedding_dedup, html_extract, language_id, mixing, ngram_join, periodic_runs, quality, sharding, spelling, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,37 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_toxicity, op5_ngram_join, op6_mixing, op7_language_id, op8_quality, op9_html_extract, op10_embedding_dedup)}
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in one document of ten, by the crc32 of its doc_id, the words from one place on repeat a part of themselves."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    parted = docs.select("doc_id", "text", h.alias("h"), F.expr("h div 10").alias("g"), F.when(F.expr("h % 10 = 0"), words).alias("words"))
+    parted = parted.withColumn("n", F.size("words")).withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return parted.select("doc_id", F.when(F.expr("h % 10 = 0 and n > 0"), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as back, -r.period as down)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("longest", F.when(F.size("runs") > 0, longest))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.expr("-longest.back").alias("start"), "longest.length", F.expr("-longest.down").alias("period"),
+        F.expr("1000 * longest.length div -longest.down").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_decontamination, op4_toxicity, op5_ngram_join, op6_mixing, op7_language_id, op8_quality, op9_html_extract, op10_embedding_dedup, op11_periodic_runs, op12_spelling, op13_substring_dedup)}
 
 #: Labels spread along the links until none falls: the recursion keeps each (document, label) once.
 _SPREAD = """reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.y AS b FROM reach r JOIN links l ON l.x = r.b),

@@ -16,6 +16,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _VALUE = (LOWER.astype(np.uint64) + np.uint64(1)) * ~SPACE
+#: Values of bytes for hashes by which A-Z differ from a-z.
+EXACT = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * ~SPACE
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, dtype=np.uint64)
 
@@ -60,7 +62,7 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, value: np.ndarray = _VALUE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and the rows' first words as in :func:`word_starts`."""
     global _powers
     starts, rows = word_starts(data, offsets)
@@ -70,7 +72,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if len(_powers) < (longest := int(lengths.max())):
         _powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(2 * longest, _BASE, dtype=np.uint64))))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
-    return mix(np.add.reduceat(_VALUE[data[starts[0] :]] * _powers[place], starts - starts[0])), rows
+    return mix(np.add.reduceat(value[data[starts[0] :]] * _powers[place], starts - starts[0])), rows
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
