@@ -1,31 +1,41 @@
-"""Gradients and training of the feature networks, and mixtures whose models are fitted anew."""
+"""Gradients and training of feature networks, alone and inside click models, compressed parameters, and mixtures fitted anew."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clicklog.operators import features, fit, metrics, models
+from clicklog.functions import exprs
+from clicklog.operators import compressed, features, fit, joint, metrics, models
 from clicklog.operators.params import Param
 
 NETWORKS = [features.Deep.seeded(5, (4, 3), 1), features.DeepCross(5, 2, (4, 3), True, 2), features.DeepCross(5, 2, (4, 3), False, 3)]
 
 
-@pytest.mark.parametrize("network", NETWORKS, ids=["deep", "stacked", "parallel"])
+def by_differences(f, params, k, at, step=1e-5):
+    """The slope of ``f`` (of a list of arrays) by one number."""
+    ends = []
+    for d in (step, -step):
+        moved = [p.astype(float).copy() for p in params]
+        moved[k][at] += d
+        ends.append(f(moved))
+    return (ends[0] - ends[1]) / (2 * step)
+
+
+@pytest.mark.parametrize("network", [*NETWORKS, features.Linear(np.arange(5) / 5, 0.1), features.Attention.seeded(5, 3, 4)], ids=["deep", "stacked", "parallel", "linear", "attention"])
 def test_network_gradients_by_finite_differences(network):
     rng = np.random.default_rng(9)
-    x, click, w = rng.normal(size=(7, 5)), rng.integers(0, 2, 7), rng.random(7)
+    x, slope, bounds = rng.normal(size=(7, 5)), rng.normal(size=7), np.array([0, 3, 4, 7])
     params = [p + rng.normal(0, 0.1, p.shape) for p in network.parameters()]
-    grads, _ = network.rebuilt(params).gradient(x, click, w)
+    grads = network.rebuilt(params).back(x, lambda z: slope + 2 * z, bounds)
     assert [g.shape for g in grads] == [p.shape for p in params]
 
-    def loss(k, at, step):
-        moved = [p.copy() for p in params]
-        moved[k][at] += step
-        return network.rebuilt(moved).gradient(x, click, w)[1]
+    def value(moved):
+        z = network.rebuilt(moved).logits(x, bounds)
+        return float((slope * z + z * z).sum())
 
     for k, g in enumerate(grads):
         for at in [tuple(rng.integers(0, n) for n in g.shape) for _ in range(4)]:
-            assert (loss(k, at, 1e-5) - loss(k, at, -1e-5)) / 2e-5 == pytest.approx(g[at], abs=1e-6)
+            assert by_differences(value, params, k, at) == pytest.approx(g[at], abs=1e-6)
 
 
 @pytest.mark.parametrize("network", NETWORKS, ids=["deep", "stacked", "parallel"])
@@ -70,3 +80,122 @@ def test_signed_gradient_by_finite_differences(spark):
         step = [1e-4 if i == k else 0.0 for i in range(3)]
         diff = (loss([a + b for a, b in zip(logits, step, strict=True)]) - loss([a - b for a, b in zip(logits, step, strict=True)])) / 2e-4
         assert diff == pytest.approx(g, abs=1e-5)
+
+
+@pytest.fixture(scope="module")
+def feature_log(spark):
+    rng = np.random.default_rng(12)
+    rows = [(s, p, int(rng.random() < 0.35), 1.0 / n, rng.normal(size=5).tolist(), rng.normal(size=3).tolist()) for s in range(40) for n in (int(rng.integers(1, 7)),) for p in range(1, n + 1)]
+    log = spark.createDataFrame(rows, "session_id long, position int, click int, w double, features array<double>, bias_features array<double>")
+    return features.by_session(log.repartition(3)).persist()
+
+
+def whole_loss(scored):
+    return scored.agg(F.sum(F.col("w") * exprs.bce_log(F.col("click"), F.col("cond_log_prob"))).alias("l")).first()["l"]
+
+
+INSIDE = [features.Linear(np.arange(5) / 5, 0.1), features.Deep.seeded(5, (4,)), features.Attention.seeded(5, 3)]
+
+
+@pytest.mark.parametrize("network", INSIDE, ids=["linear", "deep", "attention"])
+def test_two_tower_gradients_are_those_of_the_scored_loss(feature_log, network):
+    params, n = [*network.parameters(), np.linspace(-0.4, 0.6, 6)], len(network.parameters())
+    model = joint.TwoTower(network, params[-1])
+    grads, by_rank, loss, seen = joint.two_tower_gradient(feature_log, model)
+    assert loss == pytest.approx(whole_loss(model.scored(feature_log))) and seen == pytest.approx(40)
+    f = lambda p: whole_loss(joint.TwoTower(network.rebuilt(p[:n]), p[-1]).scored(feature_log, ("cond_log_prob",)))
+    first = (0,) * params[0].ndim
+    assert by_differences(f, params, 0, first) == pytest.approx(grads[0][first], abs=1e-6)
+    assert by_differences(f, params, n, (2,)) == pytest.approx(by_rank[2], abs=1e-6)
+
+
+def test_two_towers_of_features_learn_together(feature_log):
+    model = joint.TwoTower(features.Deep.seeded(5, (4,)), bias=features.Linear(np.zeros(3)))
+    fitted, losses = joint.fit_two_tower(feature_log, model, epochs=6, rate=0.05)
+    assert losses[-1] < losses[0] - 0.03 and np.abs(fitted.bias.weights).max() > 0
+    assert joint.fit_two_tower(feature_log.where("1 = 0"), model, epochs=1)[1] == [0.0]
+
+
+@pytest.mark.parametrize(("kind", "other"), [("ccm", []), ("dbn", [0.2]), ("sdbn", [-0.2]), ("dcm", [-0.5, -0.3, -0.1, 0.1, 0.3, 0.5])])
+def test_chain_gradients_by_features_are_those_of_the_scored_loss(feature_log, kind, other):
+    for network in INSIDE[:2] if kind != "dbn" else INSIDE:
+        params, n = [*network.parameters(), np.array(other)], len(network.parameters())
+        grads, by_other = joint.chain_feature_gradient(feature_log, joint.FeatureChain(kind, network, params[-1]))
+        f = lambda p: whole_loss(joint.FeatureChain(kind, network.rebuilt(p[:n]), p[-1]).scored(feature_log, ("cond_log_prob",)))
+        first = (0,) * params[0].ndim
+        assert by_differences(f, params, 0, first) == pytest.approx(grads[0][first], abs=1e-5)
+        if other:
+            assert by_differences(f, params, n, (0,)) == pytest.approx(by_other[0], abs=1e-5)
+
+
+def test_chain_fit_by_features_lowers_the_loss(feature_log):
+    _, losses = joint.fit_feature_chain(feature_log, joint.FeatureChain("dbn", features.Deep.seeded(5, (4,)), np.array([0.2])), epochs=3, rate=0.05)
+    assert losses[-1] < losses[0] - 0.02
+
+
+def test_sessions_are_cut_at_their_borders_whatever_the_batches(spark, feature_log):
+    network = features.Attention.seeded(5, 3)
+    whole = {(r.session_id, r.position): r.logit for r in features.score(feature_log, network).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        small = {(r.session_id, r.position): r.logit for r in features.score(feature_log, network).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small.keys() == whole.keys() and all(small[k] == pytest.approx(whole[k], abs=1e-12) for k in whole)
+    plan = features.by_session(spark.range(5).selectExpr("id session_id", "1 position"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_vectors_of_many_tasks_are_added_in_a_tree(spark):
+    rows = spark.range(0, 6000, 1, 150).selectExpr("array(cast(id as double), 1.0) features", "0 click", "1.0 w")
+    grads, more = features.gradients(rows, features.Linear(np.zeros(2)), lambda batch, z: (np.ones(len(z)), np.array([len(z)])), 1)
+    assert grads[1][0] == 6000 and more[0] == 6000
+
+
+def compressed_params(spark, n=40):
+    def table(name, size, f, salt):
+        return compressed.stored(spark.range(size).select(F.col("id").alias("k"), F.col("id").alias(name)), name, F.transform(F.sequence(F.lit(0), F.lit(f - 1)), lambda i: F.sin(F.col(name) * 1.3 + i + salt)))
+
+    common = {"name": "attraction", "size": n, "baseline": -0.3}
+    two = common | {"ratio": 5, "features": 2, "weights": (0.7, -0.4), "quotients": table("quotient", 8, 2, 0), "remainders": table("remainder", 5, 2, 1)}
+    return {
+        "signed": compressed.Signed(**common, ratio=4, buckets=table("bucket", 10, 1, 2)),
+        "product": compressed.QuotientRemainder(**two, how="product"),
+        "sum": compressed.QuotientRemainder(**two, how="sum"),
+        "concat": compressed.QuotientRemainder(**two, how="concat", projection=[[0.5, -0.2, 0.3, 0.1], [-0.1, 0.4, 0.2, -0.3]]),
+        "array": compressed.SharedArray(**common, ratio=6, features=4, weights=(0.5, -0.5, 0.25, 1.0), block=8, blocks=table("block", 4, 8, 3)),
+    }
+
+
+STORED = {"signed": ["buckets"], "product": ["quotients", "remainders"], "sum": ["quotients"], "concat": ["quotients", "remainders"], "array": ["blocks"]}
+
+
+@pytest.mark.parametrize("kind", list(STORED))
+def test_compressed_gradients_by_finite_differences_and_fit(spark, kind):
+    from dataclasses import replace
+
+    rng = np.random.default_rng(13)
+    rows = [(d, p, float(c), float(c + rng.integers(1, 5))) for d in range(40) for p in (1, 2, 3) for c in (rng.integers(0, 3) + d % 2,)]
+    cells = spark.createDataFrame(rows, "query_doc_id long, position int, clicks double, views double").persist()
+    param, ranks = compressed_params(spark)[kind], np.array([0.3, 0.0, -0.4])
+    loss = lambda p: compressed.cell_gradients(cells, p, ranks).agg(F.sum("loss").alias("l")).first()["l"]
+    grads = param.gradients(compressed.cell_gradients(cells, param, ranks).select("query_doc_id", F.col("g_z").alias("g")))
+    for name in STORED[kind]:
+        table = getattr(param, name)
+        key = table.columns[0]
+        found = {r[0]: r["g"] for r in grads[name].collect()}
+        for code, i in ((1, 0), (3, len(found[1]) - 1)):
+            ends = []
+            for d in (1e-5, -1e-5):
+                moved = F.expr(f"transform(values, (x, j) -> if(j = {i}, x + {d}D, x))")
+                ends.append(loss(replace(param, **{name: table.withColumn("values", F.when(F.col(key) == code, moved).otherwise(F.col("values")))})))
+            assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(found[code][i], abs=1e-5)
+    _, fitted, losses = compressed.fit_compressed(cells, param, ranks, iterations=4, rate=0.1)
+    assert len(fitted) == 3 and losses[-1] < losses[0]
+
+
+def test_compressed_parameters_serve_any_model_slot(spark):
+    log = spark.createDataFrame([(s, p, s * 3 % 40 + p, int((s + p) % 3 == 0), 0.5) for s in range(30) for p in (1, 2)], "session_id long, position int, query_doc_id long, click int, w double")
+    for param in compressed_params(spark).values():
+        scored = models.PositionBased(param, Param("examination", fixed=joint.by_rank(np.array([0.3, 0.0])))).score(log)
+        assert scored.count() == 60 and scored.where("cond_log_prob < 0 and relevance < 0").count() == 60

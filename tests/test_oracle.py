@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from clicklog.plans import catalog
+from clicklog.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,9 +17,9 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows(spark, con, name):
-    got, want = catalog.QUERIES[name](spark, SF).toPandas(), con.execute(catalog.ORACLES[name]).df()
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), con.execute(registry.ORACLES[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     got, want = (x[cols].sort_values(cols, ignore_index=True) for x in (got, want))
@@ -31,6 +31,6 @@ def test_same_rows(spark, con, name):
         assert same.all(), c
 
 
-@pytest.mark.parametrize("name", ["deep_attraction", "deepcross_attraction", "fit_pbm", "fit_ccm", "fit_deep_ctr", "fit_mixture"])
+@pytest.mark.parametrize("name", ["deep_attraction", "deepcross_attraction", "fit_pbm", "fit_ccm", "fit_deep_ctr", "fit_mixture", "fit_pbm_deepcross", "fit_pbm_two_tower", "fit_pbm_attention", "fit_dbn_deep", "fit_dctr_robe"])
 def test_rows_only(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+    assert registry.QUERIES[name](spark, SF).count() > 0
