@@ -110,4 +110,30 @@ u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS z FROM v WHERE e IS NOT NULL
 pairs AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.id < b.id AND len(a.e) = len(b.e) AND a.z > 0 AND b.z > 0 AND list_dot_product(a.e, b.e) >= 0.9 * a.z * b.z),
 links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs), nodes AS (SELECT vec_id AS id FROM embeddings), k AS (SELECT x, count(*) AS c FROM links GROUP BY 1),
 """ + _SPREAD + """ SELECT vec_id, coalesce(c, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp ON comp.id = vec_id LEFT JOIN k ON k.x = vec_id""",
+    # crc32 bit by bit: a byte is folded into the state, then shifted out under the polynomial
+    "op12_spelling": r"""WITH RECURSIVE t AS (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM range(256) r(i)),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS c FROM t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+k AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY 1, 2),
+b AS (SELECT doc_id, run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM k),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, y: xor(c >> 8, tab.c[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM b, tab),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+cut AS MATERIALIZED (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM w, unnest(range(0, length(word))) u(i)),
+pairs AS (SELECT word AS a, less AS b FROM cut WHERE less IN (SELECT word FROM w) UNION SELECT less, word FROM cut WHERE less IN (SELECT word FROM w)
+UNION SELECT x.word, y.word FROM cut x JOIN cut y ON x.i = y.i AND x.less = y.less AND x.word <> y.word),
+p AS (SELECT a, w.word AS b, w.n FROM pairs JOIN w ON w.word = b),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS m FROM p GROUP BY 1),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * w.n THEN b END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM w LEFT JOIN best ON a = w.word),
+up AS (SELECT word, form AS r, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN f ON f.word = up.r WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(r, step) AS r FROM up GROUP BY 1)
+SELECT f.word, form, coalesce(r, f.word) AS root, n, n_near, form_n::BIGINT AS form_n FROM f LEFT JOIN root ON root.word = f.word""",
+    "op13_substring_dedup": r"""WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS k, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+v AS (SELECT k, doc_id, unnest(range(0, len(ws) - 12)) AS i, ws FROM d WHERE len(ws) >= 13),
+w AS MATERIALIZED (SELECT k, doc_id, i, md5(array_to_string(ws[i + 1 : i + 13], ' ')) AS x FROM v),
+first AS (SELECT x, min(doc_id) AS least FROM w GROUP BY 1),
+gone AS (SELECT DISTINCT k, i + o AS place FROM w JOIN first ON first.x = w.x AND least < doc_id, unnest(range(0, 13)) u(o)),
+g AS (SELECT k, list(place) AS places, count(*) AS c FROM gone GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed,
+sha256(array_to_string(CASE WHEN c IS NULL THEN ws ELSE list_transform(list_filter(range(0, len(ws)), lambda j: NOT list_contains(places, j)), lambda j: ws[j + 1]) END, ' ')) AS kept_sha256 FROM d LEFT JOIN g ON g.k = d.k""",
 }
