@@ -14,9 +14,10 @@ link angle of a centre (its core) are linked to one another by the triangle ineq
 compared. Other pairs are compared block by block within a bucket and only counts and connecting links leave a block.
 
 Nulls: vectors that are null, zero, empty, or hold a null or non-finite component link with nothing; vectors of different
-lengths do not link with each other. A null vec_id gets its row with a null component. Equal vectors link. Rows with
-equal vec_id count as one vector (the first by value). An empty table gives an empty result. Other columns, whatever
-their names, are ignored.
+lengths do not link with each other. Each row is a vector of its own, whatever its vec_id: rows are numbered where they are
+read, and names come back at the end. Equal vectors link, also under one vec_id or none. A component is named by its
+smallest vec_id, and has none if all its rows lack one; a row without vec_id is not kept. An empty table gives an empty
+result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from clicklog.llm import words
 from clicklog.llm.store import components, saved, scratch
 
 PROBES, LEAST_JOINED = 2, 3
+#: Vector lengths whose tables are planned on the driver.
+SHAPES = 16
 COSINE = 0.9
 #: Share of the pairs at the threshold that come together in a bucket. Fewer hashes are joined where more tables would be
 #: needed than MOST_TABLES (short vectors, which have many neighbours anyhow).
@@ -181,14 +184,14 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(n: int, shapes: dict[int, tuple[int, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bucket, left, right): count and connect the linked pairs of each bucket's pair of blocks."""
     held: pa.Table | None = None
 
     def ready(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, many, cores, sides = (table.column(c).to_numpy() for c in ("id", "m", "core", "block"))
         x = _vectors(table.column("v"))
-        tables, joined = shape(x.shape[1], n)
+        tables, joined = shapes.get(x.shape[1]) or shape(x.shape[1], n)
         bucket, left, right = (table.column(c).to_numpy() for c in ("bucket", "left", "right"))
         new = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
         first, second = [], []
@@ -270,18 +273,21 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``embeddings`` (vec_id, embedding)."""
     with scratch() as kept:
-        units = saved(embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_unit, "id long, v binary, d binary"), "units")
-        good = units.where("v is not null and id is not null").groupBy("id").agg(F.min(F.struct("v", "d")).alias("x")).select("id", "x.v", "x.d")
-        good = saved(good, "good")
+        units = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_unit, "id long, v binary, d binary")
+        units = saved(units.withColumnRenamed("id", "vec_id").withColumn("id", F.monotonically_increasing_id()), "units")
+        good = units.where("v is not null").select("id", "v", "d")
         alike = saved(good.groupBy("d").agg(F.min("id").alias("cls"), F.count("*").alias("m")), "alike")
         vectors = saved(good.join(alike.select(F.col("cls").alias("id"), "m"), "id").select("id", "v", "m"), "vectors")
         n = vectors.count()
+        # the shapes of the most frequent lengths are found once; others, where they occur
+        common = vectors.groupBy((F.octet_length("v") / 8).cast("int").alias("w")).count().orderBy(F.desc("count"), "w").limit(SHAPES).collect()
+        shapes = {r["w"]: shape(r["w"], n) for r in common}
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in _by_width(batch, "v"):
                     x = _vectors(part.column("v"))
-                    found = keys(x, *shape(x.shape[1], n))
+                    found = keys(x, *(shapes.get(x.shape[1]) or shape(x.shape[1], n)))
                     ids = np.repeat(part.column("id").to_numpy(), found.shape[1])
                     # a length has buckets of its own
                     yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(np.full(len(ids), x.shape[1], np.int32)), pa.array(ids)], ["bucket", "w", "id"])
@@ -315,7 +321,7 @@ def near_duplicates(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
         sides = tasks.select(*buckets, "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
         work = placed.select(*buckets, "block", "core", "id").join(sides, [*buckets, "block"]).join(vectors, "id").select("bucket", "left", "right", "block", "core", "id", "m", "v")
         work = work.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "id")
-        found = saved(work.mapInArrow(lambda rows: _compare(n, rows), "u long, v long, c long"), "found")
+        found = saved(work.mapInArrow(lambda rows: _compare(n, shapes, rows), "u long, v long, c long"), "found")
 
         other = found.where("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("c").alias("more"))
         inner = core.join(sizes, "core").select(F.col("id").alias("cls"), (F.col("size") - F.col("m")).alias("inner"), "head")
@@ -324,7 +330,10 @@ def near_duplicates(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
         of_class = alike.select("d", "cls", "m").join(other, "cls", "left").join(inner, "cls", "left").join(whole, "cls", "left")
         of_class = of_class.select("d", (F.coalesce("more", F.lit(0)) + F.coalesce("inner", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "cls").alias("component"))
         known = saved(good.select("id", "d").join(of_class, "d").select("id", "links", "component"), "known")
-        kept += [units, known]
-    out = units.select("id").join(known, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+        named = units.select("vec_id", "id").join(known, "id", "left")
+        named = saved(named.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("part")), "named")
+        kept.append(named)
+    least = named.where("n_links > 0").groupBy("part").agg(F.min("vec_id").alias("least"))
+    out = named.join(least, "part", "left")
+    component = F.when(F.col("n_links") > 0, F.col("least")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", "n_links", component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

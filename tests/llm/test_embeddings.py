@@ -44,5 +44,25 @@ def test_repeated_ids_ties_and_clashing_columns(spark):
     rows = [(1, [1.0, 0.0, 0.0], 7, "x"), (1, [0.0, 1.0, 0.0], 7, "x"), (2, [0.0, 1.0, 0.0], 7, "x"), (3, [9.0, 4.0, 1.0], 7, "x"), (None, [0.0, 1.0, 0.0], 7, "x"), (5, None, 7, "x")]
     out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id int, embedding array<float>, id long, bucket string"))
     assert out.columns == ["vec_id", "n_links", "component_id", "kept"]
-    # of two vectors of one id the first by value counts, here (0, 1, 0)
-    assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in out.collect()) == [(0, 0, None, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (5, 0, 5, True)]
+    # (1, 0, 0) links with (9, 4, 1); the three equal vectors with one another, under whatever id
+    want = [(0, 2, 1, False), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (5, 0, 5, True)]
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in out.collect()) == want
+
+
+def test_rows_of_one_id_or_none_link_like_any_others(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 16))
+    rows = [(None if i % 3 == 0 else i // 4, (base[i % 12] + rng.normal(0, 0.05, 16) * (i % 2)).tolist()) for i in range(90)]
+    rows += [(None, [5.0] * 16), (None, [5.0] * 16), (None, rng.normal(size=16).tolist())]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    part = np.arange(len(rows))
+    for _ in rows:
+        part = np.array([min(part[i], *part[near[i]]) if near[i].any() else part[i] for i in range(len(rows))])
+    want = []
+    for i, (vec_id, _) in enumerate(rows):
+        least = min((rows[k][0] for k in np.flatnonzero(part == part[i]) if rows[k][0] is not None), default=None)
+        want.append((vec_id, int(near[i].sum()), least, vec_id is not None and vec_id == least))
+    got = [tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(w[1] for w in want) > 200
