@@ -10,7 +10,8 @@ their three longest blocks, so that copies of a page count once. The ratio of te
 same tag path over all hosts, which itself leans on 1, each by the weight of PRIOR pages: a slot of many pages is judged
 by its own texts, one of few pages by the path's, and one that was hardly ever seen is content.
 
-Blocks in content slots are the text, in page order. Tags that say so (scripts, styles, navigation, footers, asides,
+Blocks in content slots are the text, in page order, with the template blocks inside the page's article: headings and
+lines that a host's articles have in common are text of each. Tags that say so (scripts, styles, navigation, footers, asides,
 buttons, headers outside an article) are never content. Names (class, id, role, label) are a prior against an element
 that the wrapper found to vary: they drop it outside the page's article; inside, only adverts, forms and reader
 comments go by name. A name does not hold for an element with most of the page's varying text, nor for one around
@@ -94,9 +95,8 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for template, parent, flags, node, slot, text in zip(*(batch.column(c).to_pylist() for c in ("template", "parent", "flags", "node", "slot", "text")), strict=True):
             if template != held[0]:
                 held = template, frozenset(template or ())
-            found = [(n, t) for n, s, t in zip(node, slot, text, strict=True) if s not in held[1]]
-            keep = html_tree.article(parent, flags, [n for n, _ in found], [len(t) for _, t in found])
-            texts.append("\n".join(t for (_, t), k in zip(found, keep, strict=True) if k))
+            keep = html_tree.article(parent, flags, node, [len(t) for t in text], [s in held[1] for s in slot])
+            texts.append("\n".join(t for t, k in zip(text, keep, strict=True) if k))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

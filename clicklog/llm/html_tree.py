@@ -357,8 +357,11 @@ def paths(page: Page) -> list[int]:
     return out
 
 
-def article(parent: list[int], flags: list[int], at: list[int], sizes: list[int]) -> list[bool]:
-    """Which blocks (of the nodes ``at``, with ``sizes`` characters, all in varying slots) are the article's.
+def article(parent: list[int], flags: list[int], at: list[int], sizes: list[int], fixed: list[bool]) -> list[bool]:
+    """Which blocks (of the nodes ``at``, with ``sizes`` characters) are the article's; ``fixed`` ones are in template slots.
+
+    What varies finds the article. A fixed block is the article's if it is inside it: headings and lines that a host's
+    articles have in common are text of each.
 
     Names speak against an element, but not if it has MOST of the page's varying text, nor if it is around the only
     article or main element with text. Inside the page's article, which is the last element in page order that is made
@@ -366,8 +369,8 @@ def article(parent: list[int], flags: list[int], at: list[int], sizes: list[int]
     """
     n = len(parent)
     own = [0] * n
-    for node, size in zip(at, sizes, strict=True):
-        own[node] += size
+    for node, size, same in zip(at, sizes, fixed, strict=True):
+        own[node] += 0 if same else size
     total, holds = own.copy(), [False] * n
     for x in range(n - 1, 0, -1):
         holds[x] = holds[x] or bool(flags[x] & ITSELF and total[x])
@@ -390,4 +393,4 @@ def article(parent: list[int], flags: list[int], at: list[int], sizes: list[int]
     for x in range(1, n):
         inside[x] = x == place or inside[parent[x]]
         out[x] = out[parent[x]] or against[x] and not (inside[x] and not flags[x] & FIRM)
-    return [not out[node] for node in at]
+    return [not out[node] and (inside[node] or not same) for node, same in zip(at, fixed, strict=True)]
