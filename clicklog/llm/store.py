@@ -22,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Setting of Spark for the bytes of an Arrow batch, its default, and what texts are sent in.
+BATCH_BYTES, UNSET, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python in batches of a few MB from now on, unless the session has a size of its own: a batch is held
+    several times over, by the JVM and by Python, for each task of an executor."""
+    now = spark.conf.get(BATCH_BYTES, None)
+    if now is not None and now.rstrip("b") == str(UNSET):
+        spark.conf.set(BATCH_BYTES, SMALL)
+
+
 def saved(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
