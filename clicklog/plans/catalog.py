@@ -302,33 +302,33 @@ register("compression_profile", lambda s, d: keysets.compression_profile(data.im
 def _score(model: str, *only: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:
         log = Log(s, d)
-        return log.model(model).score(log.test, only).select(*ids(), *(rd(c, c) for c in only))
+        return log.model(model).score(log.rows, only).select(*ids(), *(rd(c, c) for c in only))
 
     return run
 
 
 ALL = ("cond_log_prob", "log_prob", "relevance")
 for _m, _p in (("gctr", "ln(rho)"), ("rctr", "ln(t)"), ("dctr", "ln(a)"), ("drctr", "ln(d)")):
-    register(f"{_m}_score", _score(_m, *ALL), LOG + f" SELECT {IDS}, {', '.join(r(_p, c) for c in ALL)} FROM ev")
-register("pbm_score", _score("pbm", *ALL), LOG + f" SELECT {IDS}, {r('ln(t) + ln(a)', 'cond_log_prob')}, {r('ln(t) + ln(a)', 'log_prob')}, {r('ln(a)', 'relevance')} FROM ev")
-register("ubm_cond", _score("ubm", "cond_log_prob"), LOG + f" SELECT ev.session_id::BIGINT AS session_id, ev.position::BIGINT AS position, {r('ln(coalesce(pu.theta, rho)) + ln(a)', 'cond_log_prob')} FROM ev LEFT JOIN pu ON ev.position = pu.position AND ev.last_pos = pu.last_pos")
-register("ubm_uncond", _score("ubm", "log_prob"), LOG + ubm_uncond() + f" SELECT {IDS}, {r('ln(p)', 'log_prob')} FROM uncond")
+    register(f"{_m}_score", _score(_m, *ALL), LOG_ALL + f" SELECT {IDS}, {', '.join(r(_p, c) for c in ALL)} FROM ev")
+register("pbm_score", _score("pbm", *ALL), LOG_ALL + f" SELECT {IDS}, {r('ln(t) + ln(a)', 'cond_log_prob')}, {r('ln(t) + ln(a)', 'log_prob')}, {r('ln(a)', 'relevance')} FROM ev")
+register("ubm_cond", _score("ubm", "cond_log_prob"), LOG_ALL + f" SELECT ev.session_id::BIGINT AS session_id, ev.position::BIGINT AS position, {r('ln(coalesce(pu.theta, rho)) + ln(a)', 'cond_log_prob')} FROM ev LEFT JOIN pu ON ev.position = pu.position AND ev.last_pos = pu.last_pos")
+register("ubm_uncond", _score("ubm", "log_prob"), LOG_ALL + ubm_uncond() + f" SELECT {IDS}, {r('ln(p)', 'log_prob')} FROM uncond")
 CM_UN = f"ln(a) + coalesce(sum(ln(1 - a)) OVER ({BACK}), 0)"
-register("cm_uncond", _score("cm", "log_prob"), LOG + f" SELECT {IDS}, {r(CM_UN, 'log_prob')} FROM ev")
-register("cm_cond", _score("cm", "cond_log_prob"), LOG + f", x AS (SELECT *, coalesce(sum(click) OVER ({BACK}), 0) AS k, {CM_UN} AS lp FROM ev) SELECT {IDS}, {r('CASE WHEN k = 0 THEN lp ELSE ln(1e-8::DOUBLE) END', 'cond_log_prob')} FROM x")
+register("cm_uncond", _score("cm", "log_prob"), LOG_ALL + f" SELECT {IDS}, {r(CM_UN, 'log_prob')} FROM ev")
+register("cm_cond", _score("cm", "cond_log_prob"), LOG_ALL + f", x AS (SELECT *, coalesce(sum(click) OVER ({BACK}), 0) AS k, {CM_UN} AS lp FROM ev) SELECT {IDS}, {r('CASE WHEN k = 0 THEN lp ELSE ln(1e-8::DOUBLE) END', 'cond_log_prob')} FROM x")
 for _m in ("dcm", "ccm", "dbn", "sdbn"):
-    register(f"{_m}_cond", _score(_m, "cond_log_prob"), LOG + chain_cond(_m) + f" SELECT {IDS}, {r('lp', 'cond_log_prob')} FROM cond")
-    register(f"{_m}_uncond", _score(_m, "log_prob"), LOG + chain_uncond(_m) + f" SELECT {IDS}, {r('lp', 'log_prob')} FROM uncond")
-register("dbn_relevance", _score("dbn", "relevance"), LOG + f" SELECT {IDS}, {r('ln(a) + ln(s)', 'relevance')} FROM ev")
-register("dbn_global_satisfaction", _score("dbn_global", "cond_log_prob"), LOG + chain_cond("dbn_global") + f" SELECT {IDS}, {r('lp', 'cond_log_prob')} FROM cond")
+    register(f"{_m}_cond", _score(_m, "cond_log_prob"), LOG_ALL + chain_cond(_m) + f" SELECT {IDS}, {r('lp', 'cond_log_prob')} FROM cond")
+    register(f"{_m}_uncond", _score(_m, "log_prob"), LOG_ALL + chain_uncond(_m) + f" SELECT {IDS}, {r('lp', 'log_prob')} FROM uncond")
+register("dbn_relevance", _score("dbn", "relevance"), LOG_ALL + f" SELECT {IDS}, {r('ln(a) + ln(s)', 'relevance')} FROM ev")
+register("dbn_global_satisfaction", _score("dbn_global", "cond_log_prob"), LOG_ALL + chain_cond("dbn_global") + f" SELECT {IDS}, {r('lp', 'cond_log_prob')} FROM cond")
 
 MIX = chain_cond("dbn") + f""", mx AS (SELECT *, ln(a) AS l1, ln(t) + ln(a) AS l2, lp AS l3 FROM cond),
 nll AS (SELECT session_id, sum({bce('l1')}) AS n1, sum({bce('l2')}) AS n2, sum({bce('l3')}) AS n3 FROM mx GROUP BY 1),
 lo AS (SELECT *, least(n1, n2, n3) AS b FROM nll), po AS (SELECT *, exp(b - n1) + exp(b - n2) + exp(b - n3) AS z FROM lo),
 post AS (SELECT session_id, b - n1 - ln(z) AS p1, b - n2 - ln(z) AS p2, b - n3 - ln(z) AS p3 FROM po)"""
-register("mixture_cond", _score("mixture", "cond_log_prob"), LOG + MIX + f" SELECT mx.session_id::BIGINT AS session_id, position::BIGINT AS position, {r('ln(exp(l1 + p1) + exp(l2 + p2) + exp(l3 + p3))', 'cond_log_prob')} FROM mx JOIN post USING (session_id)")
-register("mixture_uncond", _score("mixture", "log_prob"), LOG + chain_uncond("dbn") + f" SELECT {IDS}, {r('ln((a + t * a + exp(lp)) / 3)', 'log_prob')} FROM uncond")
-register("mixture_posterior", lambda s, d: (x := Log(s, d)).model("mixture").posterior(x.test).select(lg("session_id"), *(rd(f"post_{m}", f"post_{m}") for m in ("dctr", "pbm", "dbn"))), LOG + MIX + f" SELECT session_id::BIGINT AS session_id, {r('p1', 'post_dctr')}, {r('p2', 'post_pbm')}, {r('p3', 'post_dbn')} FROM post")
+register("mixture_cond", _score("mixture", "cond_log_prob"), LOG_ALL + MIX + f" SELECT mx.session_id::BIGINT AS session_id, position::BIGINT AS position, {r('ln(exp(l1 + p1) + exp(l2 + p2) + exp(l3 + p3))', 'cond_log_prob')} FROM mx JOIN post USING (session_id)")
+register("mixture_uncond", _score("mixture", "log_prob"), LOG_ALL + chain_uncond("dbn") + f" SELECT {IDS}, {r('ln((a + t * a + exp(lp)) / 3)', 'log_prob')} FROM uncond")
+register("mixture_posterior", lambda s, d: (x := Log(s, d)).model("mixture").posterior(x.rows).select(lg("session_id"), *(rd(f"post_{m}", f"post_{m}") for m in ("dctr", "pbm", "dbn"))), LOG_ALL + MIX + f" SELECT session_id::BIGINT AS session_id, {r('p1', 'post_dctr')}, {r('p2', 'post_pbm')}, {r('p3', 'post_dbn')} FROM post")
 register("mixture_session_nll", lambda s, d: (x := Log(s, d)).model("mixture").session_nll(x.rows).select(lg("session_id"), *(rd(f"nll_{m}", f"nll_{m}") for m in ("dctr", "pbm", "dbn"))), LOG_ALL + MIX + f" SELECT session_id::BIGINT AS session_id, {r('n1', 'nll_dctr')}, {r('n2', 'nll_pbm')}, {r('n3', 'nll_dbn')} FROM nll")
 
 # ---- metrics --------------------------------------------------------------------------------------------------
@@ -374,6 +374,23 @@ register(
     lambda s, d: metrics.evaluate_clicks(_pbm(s, d), more={"brier": F.pow(F.col("click") - F.exp("log_prob"), 2)}).select(rd("test_ll", "test_ll"), rd("test_brier", "test_brier")),
     PBM + f" SELECT {r('avg(o)', 'test_ll')}, {r('avg((click - exp(lp)) * (click - exp(lp)))', 'test_brier')} FROM ob",
 )
+register(
+    "evaluate_clicks_binned",
+    lambda s, d: metrics.evaluate_clicks(_pbm(s, d), states={"auc": metrics.auc(F.exp("log_prob"), 997), "calibration": metrics.calibration_error(F.exp("log_prob"), 19)}).select(*(rd(f"test_{c}", f"test_{c}") for c in ("ll", "loss", "auc", "calibration"))),
+    PBM + f""", b AS (SELECT click, exp(lp) AS p, floor(exp(lp) * 997) AS fine, floor(exp(lp) * 19) AS rough FROM ob), h AS (SELECT fine, sum(click) AS hit, count(*) - sum(click) AS miss FROM b GROUP BY 1),
+c AS (SELECT *, coalesce(sum(miss) OVER (ORDER BY fine ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h), e AS (SELECT rough, abs(sum(p) - sum(click)) AS gap FROM b GROUP BY 1)
+SELECT {r('(SELECT avg(o) FROM ob)', 'test_ll')}, {r('(SELECT avg(x) FROM (SELECT avg(-o) AS x FROM ob GROUP BY session_id))', 'test_loss')}, {r('(SELECT sum(hit * (below + miss / 2.0)) / (sum(hit) * sum(miss)) FROM c)', 'test_auc')}, {r('(SELECT sum(gap) FROM e) / (SELECT count(*) FROM b)', 'test_calibration')}""",
+)
+
+
+def _merged_states(s: SparkSession, d: str) -> DataFrame:
+    """A metric of three parts of the log that were looked at apart, from their states."""
+    rows, metric = _pbm(s, d), metrics.auc(F.exp("log_prob"), 997)
+    parts = [metrics.state(rows.where(F.col("session_id") % 3 == k), metric) for k in range(3)]
+    return metrics.finished(metrics.merged(parts), metric, "auc").select(rd("auc", "auc"))
+
+
+register("merged_metric_states", _merged_states, ORACLES["evaluate_clicks_binned"].split("\nSELECT")[0] + f" SELECT {r('sum(hit * (below + miss / 2.0)) / (sum(hit) * sum(miss))', 'auc')} FROM c")
 CUTS = (1, 3, 5, 10)
 GAINS = {n: f"sum(CASE WHEN rank <= {n} THEN (pow(2, label) - 1) / log2(rank + 1) ELSE 0 END)" for n in CUTS}
 BEST = {n: GAINS[n].replace("rank", "ideal_rank") for n in CUTS}

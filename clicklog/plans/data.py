@@ -34,24 +34,47 @@ def raw_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Tables of the log that an application has written, by application and folder of the inputs.
-_written: dict[tuple[str, str], str] = {}
+#: Tables of the log that an application has written, with the versions of their inputs, by application and folder.
+_written: dict[tuple[str, str], tuple[str, frozenset]] = {}
+
+
+def versions(spark: SparkSession, sf_dir: str, *names: str) -> frozenset:
+    """Path, bytes and time of each file of the tables, as their store lists them."""
+    out = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return frozenset(out)
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    """Drop a table of the log that its inputs have outlived, and its folder."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log's impressions with ``n`` and ``w``, written once in an application, dealt and sorted by session.
 
-    The table is bucketed by session, so that windows and groups by session need no exchange.
+    The table is bucketed by session, so that windows and groups by session need no exchange. It is written anew, and the
+    one before dropped, when a file of its inputs has changed.
     """
-    key = spark.sparkContext.applicationId, sf_dir
-    name = _written.get(key)
+    key, now = (spark.sparkContext.applicationId, sf_dir), versions(spark, sf_dir, "lineitem", "orders")
+    name, then = _written.get(key, (None, None))
+    if name is not None and then != now:
+        _forget(spark, name)
+        name = None
     if name is None or not spark.catalog.tableExists(name):
         name = f"clicklog_impressions_{uuid.uuid4().hex}"
         size = table(spark, sf_dir, "lineitem").count()  # from footers
         parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 2_000_000), size // 50_000 + 1, 100_000)
         rows = S.weighted(raw_impressions(spark, sf_dir), MOST).repartition(parts, "session_id")
         rows.write.bucketBy(parts, "session_id").sortBy("session_id", "position").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
-        _written[key] = name
+        _written[key] = name, now
     return spark.table(name)
 
 

@@ -11,6 +11,10 @@ FEATURE_SESSIONS = "query_doc_features array<array<float>>, positions array<int>
 ANNOTATIONS = "query_doc_features array<array<float>>, labels array<double>"
 
 
+#: So many files' starts are broadcast.
+FILES_BROADCAST = 500_000
+
+
 def files(spark: SparkSession, pattern: str) -> list[str]:
     """The Parquet files that a path, folder or glob names, in the order of their names; none is an error."""
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -74,15 +78,19 @@ def file_starts(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, i
 def session_range(spark: SparkSession, paths: str | list[str], begin: int, end: int) -> DataFrame:
     """Sessions ``begin <= ordinal < end`` with their ``ordinal``: files sorted by name, then rows as stored.
 
-    Only files that hold some of the range are read; rows keep their file's start as a literal, without a join.
+    Only files that hold some of the range are read. Files' starts are a small table (a row for each file), broadcast up to
+    FILES_BROADCAST files, so that the plan is as small for many files as for one and rows stay where they are read.
     """
     found = [f for p in ([paths] if isinstance(paths, str) else paths) for f in files(spark, p)]
     need = [(f, start) for f, start, n in file_starts(spark, found) if start < end and start + n > begin]
     if not need:
         return spark.read.parquet(*found).withColumn("ordinal", F.lit(0).cast("long")).limit(0)
     rows = spark.read.parquet(*(f for f, _ in need))
-    start = F.element_at(F.create_map(*(F.lit(x) for pair in need for x in pair)), F.col("_metadata.file_path"))
-    rows = rows.withColumn("ordinal", (start + F.col("_metadata.row_index")).cast("long"))
+    own = rows.columns
+    starts = spark.createDataFrame(need, "_file string, _start long")
+    starts = F.broadcast(starts) if len(need) <= FILES_BROADCAST else starts
+    rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}).join(starts, "_file")
+    rows = rows.withColumn("ordinal", F.col("_start") + F.col("_row")).select(*own, "ordinal")
     return rows.where((F.col("ordinal") >= begin) & (F.col("ordinal") < end))
 
 
@@ -132,11 +140,8 @@ def weighted(impressions: DataFrame, max_positions: int = 10) -> DataFrame:
 
 
 def rolling_splits(rows: DataFrame, ordinal: Column, size: int, folds: int = 3, train: float = 0.5, part: float = 0.125) -> DataFrame:
-    """A row for each (row, fold) with its ``split``; each fold starts one part later than the one before."""
-    out = None
-    for fold in range(folds):
-        at = ordinal - int(size * part * fold)
-        split = F.when(at < 0, None).when(at < int(size * train), "train").when(at < int(size * (train + part)), "val").when(at < int(size * (train + 2 * part)), "test")
-        some = rows.withColumn("fold", F.lit(fold)).withColumn("split", split).where("split is not null")
-        out = some if out is None else out.union(some)
-    return out
+    """A row for each (row, fold) with its ``split``; each fold starts one part later than the one before. Rows are read once."""
+    at = ordinal - F.array(*(F.lit(int(size * part * fold)) for fold in range(folds)))[F.col("fold")]
+    split = F.when(at < 0, None).when(at < int(size * train), "train").when(at < int(size * (train + part)), "val").when(at < int(size * (train + 2 * part)), "test")
+    each = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    return each.withColumn("split", split).where("split is not null")

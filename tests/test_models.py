@@ -192,3 +192,21 @@ def test_unseen_keys_take_the_baseline(spark):
     p = Param("attraction", ("query_doc_id",), spark.createDataFrame([(1, 0.0)], "query_doc_id long, logit double"), baseline=logit(0.25))
     assert math.exp(models.RateModel(p).score(rows.withColumn("click", F.lit(0))).first().log_prob) == pytest.approx(0.25)
     assert math.exp(models.RateModel(constant("g", 0.3)).score(rows.withColumn("click", F.lit(0))).first().log_prob) == pytest.approx(0.3)
+
+
+def test_binned_metrics_merge_and_come_near_their_exact_values(spark):
+    rng = np.random.default_rng(5)
+    p = rng.random(3000)
+    rows = [(i, 1, int(rng.random() < q), 1.0, float(np.log(q)), float(np.log(q))) for i, q in enumerate(p)]
+    scored = spark.createDataFrame(rows, "session_id long, position int, click int, w double, cond_log_prob double, log_prob double")
+    click = np.array([r[2] for r in rows])
+    exact = (p[click == 1][:, None] > p[click == 0][None, :]).mean()
+    prob = F.exp("log_prob")
+    auc, error = metrics.auc(prob), metrics.calibration_error(prob)
+    out = metrics.evaluate_clicks(scored, states={"auc": auc, "error": error}).first()
+    assert out.test_auc == pytest.approx(exact, abs=1e-3) and out.test_error < 0.05
+    for metric, value in ((auc, out.test_auc), (error, out.test_error)):
+        parts = [metrics.state(scored.where(F.col("session_id") % 4 == k), metric) for k in range(4)]
+        assert metrics.finished(metrics.merged(parts), metric, "x").first().x == pytest.approx(value, abs=1e-12)
+    one = scored.where("click = 1").limit(5)
+    assert metrics.finished(metrics.state(one, auc), auc, "x").first().x is None  # no skip to compare with

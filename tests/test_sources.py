@@ -1,7 +1,11 @@
 """Readers of the session layouts, slices by footers, result files, and parameters with compressed keys."""
 
 import math
+import shutil
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +47,30 @@ def test_slices_read_only_the_files_they_need(spark, tmp_path):
     assert S.session_range(spark, path, 50, 60).count() == 0
 
 
+def test_slices_of_thousands_of_files_have_a_small_plan(spark, tmp_path):
+    for i in range(2000):
+        pq.write_table(pa.table({"session": [3 * i, 3 * i + 1, 3 * i + 2]}), tmp_path / f"{i:05d}.parquet")
+    part = S.session_range(spark, f"file://{tmp_path}/*.parquet", 1, 5999)
+    assert [r.session for r in part.select("session").orderBy("ordinal").collect()] == list(range(1, 5999))
+    assert part.where("session <> ordinal").count() == 0
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 5000 and "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_log_follows_its_files(spark, tmp_path):
+    from clicklog.plans import data
+
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "in")
+    read = lambda: data.impressions(spark, f"file://{tmp_path}/in")
+    before, first = read().count(), read().inputFiles()
+    assert read().inputFiles() == first and before > 1000
+    lines = pq.read_table(tmp_path / "in/lineitem.parquet")
+    (tmp_path / "in/lineitem.parquet").chmod(0o644)
+    pq.write_table(lines.slice(0, 1000), tmp_path / "in/lineitem.parquet")
+    assert read().count() == 1000 and set(read().inputFiles()).isdisjoint(first)
+    assert not any(Path(f.removeprefix("file://").removeprefix("file:")).exists() for f in first)  # the old table is gone
+
+
 def test_result_files_come_back_with_their_tags(spark, tmp_path):
     rows = [("base_method=hash_ratio=10_seed=3", "pbm", 1.5), ("plain", "dbn", 2.5)]
     reports.write_results(spark.createDataFrame(rows, "experiment string, model string, ppl double"), f"file://{tmp_path}/results")
