@@ -7,7 +7,8 @@ and where it reaches ``width`` the state of the last ``width`` words names the w
 
 All documents are reference, so a shard cannot go to every task: it is sent what it can meet. Each window is known
 by its least hash of ``gram`` consecutive words; hashes that one document alone has are dropped, and of the other windows
-neighbours with the same hash make a passage. Equal passages are one, with their first document. A shard holds all
+neighbours with the same hash make a passage. Equal texts are one, with their first document: all windows of the others start there.
+Equal passages are one, too. A shard holds all
 passages of its hashes, about SHARD words, builds its automaton over them and streams them through it. A hash with more
 than HOT passages is parted by window instead. What the shard found goes back to the documents by passage.
 
@@ -36,6 +37,8 @@ WIDTH, GRAM = 13, 5
 SHARD = 100_000
 #: Passages of one hash that a shard takes whole.
 HOT = 2_000
+#: Keys of up to so many rows or groups of equal texts are broadcast, so that other texts are not shuffled.
+BROADCAST_MOST = 1_000_000
 
 
 class Automaton:
@@ -210,15 +213,32 @@ def first_documents(passages: DataFrame, width: int = WIDTH, shard: int = SHARD,
     return found.join(many, "h", "left_anti").select("h", F.col("p").alias("x"), "firsts").union(again.select("h", "x", F.flatten("all.firsts")))
 
 
+def few(keys: DataFrame) -> DataFrame | None:
+    """Keys (a few numbers each) as a broadcast, if they are BROADCAST_MOST at most."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_MOST else None
+
+
+def with_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc, t, text) with ``copy``: does a document with a smaller doc have the same text? And the table that it reads."""
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    named = docs.where("doc is not null and text is not null").select("doc", digest)
+    first = saved(named.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first"), "copies")
+    small = few(first)
+    told = docs.withColumn("digest", digest).join(first if small is None else small, "digest", "left")
+    return told.select("doc", "t", "text", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).alias("copy")), first
+
+
 def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """``doc, t, starts`` for the rows of ``docs`` (doc, t, text) with windows that an earlier document has: their first words."""
     with scratch() as kept:
         rows = docs.where("doc is not null and text is not null")
         hashed = saved(_hashed(rows, width, gram), "hashes")
         shared = hashed.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h")
-        of_doc = hashed.join(shared, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("hs"))  # of one document
-        passages = saved(_passages(rows.join(of_doc, "doc"), width, gram).withColumn("x", F.xxhash64("words")), "passages")
+        of_doc = saved(hashed.join(shared, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("hs")), "of_doc")  # of one document
         dropped(hashed)
+        ids = few(of_doc.select("doc"))
+        wanted = rows if ids is None else rows.join(ids, "doc", "left_semi")
+        passages = saved(_passages(wanted.join(of_doc, "doc"), width, gram).withColumn("x", F.xxhash64("words")), "passages")
         distinct = passages.groupBy("h", "x").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("words").alias("words"))
         found = first_documents(saved(distinct, "distinct"), width, shard, hot)
         met = passages.select("h", "x", "doc", "t", "start").join(found, ["h", "x"])
@@ -232,24 +252,36 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard: int =
 def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every row of ``docs`` (doc_id, text); ``kept`` holds the words that stay, joined
     by one space."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"), "text")
-    found = repeats(rows, width, gram, shard, hot)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some, out = batch.slice(lo, 256), []
-                for k in range(some.num_rows):
-                    words, starts = WORD.findall(some.column("text")[k].as_py() or ""), some.column("starts")[k].values
+                for text, copy, starts in zip(some.column("text").to_pylist(), some.column("copy").to_pylist(), some.column("starts"), strict=True):
+                    words = WORD.findall(text or "")
                     n = len(words)
-                    if starts is not None:
+                    if copy and n >= width:
+                        words = []
+                    elif starts.is_valid:
                         edge = np.zeros(n + 1, np.int64)
-                        starts = np.unique(starts.to_numpy(zero_copy_only=False))
-                        edge[starts] += 1
-                        edge[starts + width] -= 1
+                        places = np.unique(starts.values.to_numpy(zero_copy_only=False))
+                        edge[places] += 1
+                        edge[places + width] -= 1
                         words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                     out.append((n, n - len(words), " ".join(words)))
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column("doc"), *columns], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.join(found, ["doc", "t"], "left").select("doc", "text", "starts").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    with scratch() as kept:
+        rows, copies = with_copies(docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"), "text"))
+        kept.append(copies)
+        found = repeats(rows.where("not copy").select("doc", "t", "text"), width, gram, shard, hot)
+        kept.append(found)
+        key = ["doc", "t"]
+        ids = few(found.select(*key))
+        if ids is None:
+            whole = rows.join(found, key, "left")
+        else:
+            untouched = rows.join(ids, key, "left_anti").withColumn("starts", F.lit(None).cast("array<int>"))
+            whole = rows.join(ids, key, "left_semi").join(found, key).unionByName(untouched)
+    return whole.select("doc", "text", "copy", "starts").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
