@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -296,3 +297,67 @@ def fit_mixture(model: models.Mixture, rows: DataFrame, iterations: int = 3, ref
         model = models.Mixture(inner, prior, model.temperature)
         history.append(prior)
     return model, history
+
+
+def impression_gradients(model: models.ClickModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``g_<name>``: the gradient of the session-mean loss by the logit of each parameter of a rate, position-based
+    or chain model."""
+    if isinstance(model, models.RateModel):
+        p = model.rate
+        return p.lookup(rows).withColumn(f"g_{p.name}", F.col("w") * (p.prob() - F.col("click")))
+    if isinstance(model, models.PositionBased):
+        rows = model.prepare(rows)
+        a, t = model.attraction.prob(), model.examination.prob()
+        odds = a * t / (1 - F.least(a * t, F.lit(1 - exprs.EPS)))
+        by = lambda x: F.col("w") * F.when(F.col("click") == 1, x - 1).otherwise(odds * (1 - x))
+        return rows.withColumns({f"g_{model.attraction.name}": by(a), f"g_{model.examination.name}": by(t)})
+    g = chain_gradient(rows, model)
+    a, by_a = model.attraction.prob(), F.col("g_alpha")
+    if isinstance(model, models.ClickChain):
+        return g.withColumn(f"g_{model.attraction.name}", (by_a + F.col("g_click") * (model.tau3 - model.tau2)) * a * (1 - a))
+    g = g.withColumn(f"g_{model.attraction.name}", by_a * a * (1 - a))
+    if isinstance(model, models.DependentClick):
+        c = model.continuation.prob()
+        return g.withColumn(f"g_{model.continuation.name}", F.col("g_click") * c * (1 - c))
+    if isinstance(model, models.DynamicBayesian):
+        s = model.satisfaction.prob()
+        return g.withColumn(f"g_{model.satisfaction.name}", -F.col("g_click") * model.going * s * (1 - s))
+    raise TypeError(f"no gradients for {type(model).__name__}")
+
+
+#: Builds a mixture's models from the parameters by name; models that use one name share its table.
+Build = Callable[[dict[str, Param]], dict[str, models.ClickModel]]
+
+
+def fit_tied_mixture(
+    build: Build, tables: dict[str, tuple[tuple[str, ...], DataFrame]], prior: dict[str, float], rows: DataFrame, iterations: int = 3, rate: float = 0.05, temperature: float = 1.0
+) -> tuple[models.Mixture, dict[str, DataFrame], list[dict[str, float]]]:
+    """Generalised EM of a mixture whose models may share parameters.
+
+    ``tables`` has keys and a table (keys, logit, m, v) for each parameter, as :func:`start` gives it. In each iteration the
+    prior becomes the mean posterior; then every model's gradients, with its sessions weighing as much as its posterior, are
+    added up by parameter and key, whichever models they come from, and each table takes one step of Adam.
+    """
+    sessions = rows.agg(F.sum("w").alias("s")).first()["s"] or 1.0
+    tables, history = dict(tables), []
+
+    def built() -> models.Mixture:
+        return models.Mixture(build({name: Param(name, tuple(key), table) for name, (key, table) in tables.items()}), prior, temperature)
+
+    for step in range(1, iterations + 1):
+        model = built()
+        post = checkpointed(model.posterior(rows, temperature))
+        parts: dict[str, list[DataFrame]] = {}
+        for name, inner in model.models.items():
+            share = post.select("session_id", F.exp(f"post_{name}").alias("_share"))
+            g = impression_gradients(inner, rows.join(share, "session_id").withColumn("w", F.col("w") * F.col("_share")).drop("_share"))
+            for p in inner.params:
+                if p.name in tables:
+                    parts.setdefault(p.name, []).append(g.groupBy(*tables[p.name][0]).agg(F.sum(f"g_{p.name}").alias("g")))
+        for name, found in parts.items():
+            key, table = tables[name]
+            whole = found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.sum("g").alias("g"))
+            tables[name] = key, checkpointed(adam(table, whole.withColumn("g", F.col("g") / sessions), list(key), step, rate))
+        prior = {r["model"]: max(r["prior"], 1e-12) for r in _responsibility(post, list(model.models)).collect()}  # a row for each model
+        history.append(prior)
+    return built(), {name: table for name, (_, table) in tables.items()}, history

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clicklog.operators import compressed, features, fit, joint, models
+from clicklog.functions import exprs, keys
+from clicklog.operators import compressed, features, fit, joint, keysets, models, reports
+from clicklog.operators.params import Param
 from clicklog.plans import data, fit_sql
-from clicklog.plans.catalog import BUCKET, NORMED, WEIGHTS, N, W64, _h, _h2, ids, lg, n_docs, rd
+from clicklog.plans.catalog import ANN, BUCKET, FSUM, NORMED, W64, WEIGHTS, N, _feature_sessions, _h, _h2, _lists, ids, lg, n_docs, rd
+from clicklog.plans.catalog import ORACLES as ORACLES_OF
 from clicklog.plans.data import Log
-from clicklog.plans.oracle import LOG, chain_cond, r
+from clicklog.plans.oracle import LOG, bce, chain_cond, r
+from clicklog.sources import sessions as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,3 +281,175 @@ def _fit_robe(s: SparkSession, d: str) -> DataFrame:
 
 
 register("fit_dctr_robe", _fit_robe)
+
+# ---- mixtures with shared parameters --------------------------------------------------------------------------
+
+
+def _tied(names: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
+    """Prior, attraction and rank logits of a mixture whose models share the documents' attraction."""
+
+    def build(p: dict[str, Param]) -> dict[str, models.ClickModel]:
+        made = {
+            "dctr": lambda: models.RateModel(p["attraction"]), "pbm": lambda: models.PositionBased(p["attraction"], p["examination"]),
+            "dbn": lambda: models.DynamicBayesian(p["attraction"], Param("satisfaction", baseline=float(_SATISFIED[0])), data.GOING),
+        }
+        return {n: made[n]() for n in names}
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = Log(s, d).train
+        smooth = (F.sum("click") + 1.0) / (F.count("*") + 2.0)
+        tables = {n: ((k,), fit.start(rows, [k], smooth)) for n, k in (("attraction", "query_doc_id"), ("examination", "position"))}
+        model, tables, _ = fit.fit_tied_mixture(build, tables, {n: 1 / len(names) for n in names}, rows, iterations=2)
+        out = s.createDataFrame([("prior", i + 1, float(model.prior[n])) for i, n in enumerate(names)], "kind string, k long, value double")  # a row for each model
+        for name, key in (("attraction", "query_doc_id"), ("examination", "position")):
+            out = out.union(tables[name].select(F.lit(name).alias("kind"), lg(key, "k"), F.col("logit").alias("value")))
+        return out.select("kind", "k", rd("value", "value"))
+
+    return run
+
+
+def _tied_sql(with_dbn: bool, iterations: int = 2) -> str:
+    zero = "0::DOUBLE AS m, 0::DOUBLE AS s"
+    rate = "(sum(click) + 1)::DOUBLE / (count(*) + 2)"
+    k, names = (3, ("dctr", "pbm", "dbn")) if with_dbn else (2, ("dctr", "pbm"))
+    out = LOG + f""", tot AS (SELECT sum(w) AS total FROM tr), a0 AS (SELECT query_doc_id, ln({rate} / (1 - {rate})) AS x, {zero} FROM tr GROUP BY 1), e0 AS (SELECT position, ln({rate} / (1 - {rate})) AS x, {zero} FROM tr GROUP BY 1),
+w0 AS (SELECT {', '.join(f'{1 / k!r}::DOUBLE AS w{i}' for i in range(1, k + 1))})"""
+    for i in range(1, iterations + 1):
+        j = i - 1
+        out += f", v{i} AS MATERIALIZED (SELECT tr.*, 1 / (1 + exp(-a{j}.x)) AS a, 1 / (1 + exp(-e{j}.x)) AS t, 0.4::DOUBLE AS s, 0.5::DOUBLE AS c FROM tr JOIN a{j} USING (query_doc_id) JOIN e{j} ON e{j}.position = tr.position)"
+        if with_dbn:
+            out += chain_cond("dbn", f"v{i}", f"d{i}") + fit_sql.gradients("dbn", f"d{i}")
+        rows, lps = (f"grd{i}", ("ln(a)", "ln(t) + ln(a)", "lp")) if with_dbn else (f"v{i}", ("ln(a)", "ln(t) + ln(a)"))
+        losses = [f"sum({bce(lp)})" for lp in lps]
+        out += f""", n{i} AS (SELECT session_id, {', '.join(f'ln(w{q + 1}) - ll{q + 1} AS z{q + 1}' for q in range(k))} FROM (SELECT session_id, {', '.join(f'{x} AS ll{q + 1}' for q, x in enumerate(losses))} FROM {rows} GROUP BY 1), w{j}),
+p{i} AS MATERIALIZED (SELECT session_id, {', '.join(f"1 / ({' + '.join(f'exp(z{o} - z{q})' for o in range(1, k + 1))}) AS p{q}" for q in range(1, k + 1))} FROM n{i}),
+w{i} AS (SELECT {', '.join(f'avg(p{q}) AS w{q}' for q in range(1, k + 1))} FROM p{i}),
+g{i} AS MATERIALIZED (SELECT r.query_doc_id, r.position, (p1 * w * (a - click) + p2 * w * CASE WHEN click = 1 THEN a - 1 ELSE a * t / (1 - a * t) * (1 - a) END{' + p3 * (' + fit_sql.BY_ATTRACTION['dbn'] + ')' if with_dbn else ''}) / total AS ga,
+  p2 * w * CASE WHEN click = 1 THEN t - 1 ELSE a * t / (1 - a * t) * (1 - t) END / total AS ge FROM {rows} r JOIN p{i} USING (session_id), tot)"""
+        for name, key, g in (("a", "query_doc_id", "ga"), ("e", "position", "ge")):
+            out += f", {name}{i} AS MATERIALIZED (SELECT o.{key}, {fit_sql._adam('o', 'coalesce(g, 0)', i, 0.05, ('x', 'm', 's'))} FROM {name}{j} o LEFT JOIN (SELECT {key}, sum({g}) AS g FROM g{i} GROUP BY 1) z USING ({key}))"
+    n = iterations
+    priors = " UNION ALL ".join(f"SELECT 'prior' AS kind, {q}::BIGINT AS k, {r(f'w{q}', 'value')} FROM w{n}" for q in range(1, k + 1))
+    return out + f" {priors} UNION ALL SELECT 'attraction', query_doc_id::BIGINT, {r('x', 'value')} FROM a{n} UNION ALL SELECT 'examination', position::BIGINT, {r('x', 'value')} FROM e{n}"
+
+
+register("fit_mixture_tied", _tied(("dctr", "pbm")), _tied_sql(False))
+register("fit_mixture_tied_chain", _tied(("dctr", "pbm", "dbn")), _tied_sql(True))
+
+# ---- key sketches, readers and result files -------------------------------------------------------------------
+
+FINE, FACTORS = 100, [1, 2, 5, 10, 50]
+
+
+def _sweep(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each bucket at each setting, and whether the estimated ids are within a twentieth of the exact ones."""
+    ids_ = data.impressions(s, d).select("query_doc_id", keys.universal_hash(FINE, F.col("query_doc_id")).alias("fine"))
+    found = keysets.compression_sweep(keysets.key_sketches(ids_, "query_doc_id", F.col("fine")), FACTORS)
+    each = ids_.distinct().select("fine", F.explode(F.array(*map(F.lit, FACTORS))).alias("factor"))
+    exact = each.groupBy("factor", F.expr("fine div factor").alias("bucket")).agg(F.count("*").alias("exact"))
+    near = F.abs(F.col("ids") - F.col("exact")) <= 0.05 * F.col("exact")
+    return found.join(exact, ["factor", "bucket"]).select(lg("factor"), lg("bucket"), lg("rows"), near.alias("near"))
+
+
+register(
+    "compression_sweep",
+    _sweep,
+    LOG + f", f AS (SELECT {_h('query_doc_id', FINE)} AS fine FROM imp) SELECT factor::BIGINT AS factor, (fine // factor)::BIGINT AS bucket, count(*)::BIGINT AS rows, true AS near FROM f, unnest({FACTORS}) u(factor) GROUP BY 1, 2",
+)
+
+
+def _written(rows: DataFrame, columns: list[str]) -> str:
+    """A folder of the shared place with the rows as session files of a layout."""
+    path = f"{fit.shared_dir(rows.sparkSession)}/layout-{uuid.uuid4().hex}"
+    rows.select(*columns).write.parquet(path)
+    return f"{path}/*.parquet"
+
+
+def _read_queries(s: SparkSession, d: str) -> DataFrame:
+    x = S.read_query_sessions(s, _written(data.session_rows(s, d), ["query_id", "query_doc_ids", "clicks"]), 5)
+    return x.select(lg("query_id"), *_lists(x, "query_doc_ids", "positions", "clicks"))
+
+
+def _read_ids(s: SparkSession, d: str) -> DataFrame:
+    x = S.read_id_sessions(s, _written(data.session_rows(s, d), ["query_doc_ids", "clicks"]))
+    return x.select(*_lists(x, "query_doc_ids", "positions", "clicks"))
+
+
+def _feature_files(s: SparkSession, d: str) -> DataFrame:
+    x = _feature_sessions(s, d)
+    return x.withColumn("labels", F.col("labels").cast("array<double>")).withColumn("positions", F.col("positions").cast("array<int>"))
+
+
+def _feature_sum(c: str):
+    return rd(exprs.total(F.transform(c, lambda x: x.cast("double"))), "feature_sum", 5)
+
+
+def _read_features(s: SparkSession, d: str) -> DataFrame:
+    x = S.read_feature_sessions(s, _written(_feature_files(s, d), ["query_doc_features", "positions", "clicks"]), 6)
+    return S.explode(x, {"query_doc_features": "f", "positions": "p", "clicks": "click"}, []).select(lg("p", "position"), lg("click"), _feature_sum("f"))
+
+
+def _read_annotations(s: SparkSession, d: str) -> DataFrame:
+    x = S.read_annotations(s, _written(_feature_files(s, d), ["query_doc_features", "labels"]))
+    return S.explode(x, {"query_doc_features": "f", "labels": "label"}, []).select(lg("position"), lg("label"), _feature_sum("f"))
+
+
+_CUT = "list_transform(range(1, least(len(docs), 5) + 1), lambda i: {})"
+register("read_query_sessions", _read_queries, LOG + f" SELECT query_id::BIGINT AS query_id, array_to_string({_CUT.format('docs[i]')}, ',') AS query_doc_ids, array_to_string({_CUT.format('i')}, ',') AS positions, array_to_string({_CUT.format('clicks[i]')}, ',') AS clicks FROM ses")
+register("read_id_sessions", _read_ids, ORACLES_OF["layout_id_sessions"])
+register("read_feature_sessions", _read_features, ANN + f" SELECT doc_ord::BIGINT AS position, click::BIGINT AS click, {r(FSUM, 'feature_sum', 5)} FROM ann WHERE doc_ord <= 6")
+register("read_annotations", _read_annotations, ANN + f" SELECT doc_ord::BIGINT AS position, label::BIGINT AS label, {r(FSUM, 'feature_sum', 5)} FROM ann")
+
+
+def _result_files(s: SparkSession, d: str) -> DataFrame:
+    """Mean loss of two models on each split of the log by session, written as result files and read back with their tags."""
+    log, path = Log(s, d), f"{fit.shared_dir(s)}/results-{uuid.uuid4().hex}"
+    for name in ("dctr", "rctr"):
+        scored = log.model(name).score(log.test, ("cond_log_prob",))
+        for seed in (0, 1):
+            loss = exprs.bce_log(F.col("click"), F.col("cond_log_prob"))
+            part = scored.where(F.col("session_id") % 2 == seed).agg(F.round(F.avg(loss), 9).alias("loss"))
+            reports.write_results(part.select("loss", F.lit(f"splits_method=rate_ratio=1_seed={seed}").alias("experiment"), F.lit(name).alias("model")), path)
+    found = reports.read_results(s, f"{path}/*/*", "loss double")
+    return found.select("experiment", "model", "method", lg("ratio"), lg("seed"), rd("loss", "loss"))
+
+
+register(
+    "result_files",
+    _result_files,
+    LOG + f", x AS (SELECT session_id % 2 AS seed, {bce('ln(a)')} AS dctr, {bce('ln(t)')} AS rctr FROM ev) "
+    + " UNION ALL ".join(f"SELECT 'splits_method=rate_ratio=1_seed=' || seed AS experiment, '{m}' AS model, 'rate' AS method, 1::BIGINT AS ratio, seed::BIGINT AS seed, {r(f'avg({m})', 'loss')} FROM x GROUP BY seed" for m in ("dctr", "rctr")),
+)
+
+# ---- one gradient of the networks' own fits -------------------------------------------------------------------
+
+
+def _linear_step(s: SparkSession, d: str) -> DataFrame:
+    """The gradient of a linear click-through rate by its weights."""
+    grads, _ = features.gradients(feature_log(s, d).select("features", "click", "w"), LINEAR, features.cross_entropy, 2)
+    return _rows(s, grads, np.zeros(0), "")
+
+
+register("linear_ctr_grad_step", _linear_step, FL + f", g AS (SELECT *, w * (a - click) AS gz FROM fl) {BY_WEIGHT}")
+#: A network of one hidden layer with few units, whose gradient SQL writes out.
+SMALL = features.Deep.seeded(64, (3,), 7)
+
+
+def _deep_step(s: SparkSession, d: str) -> DataFrame:
+    """The gradient by the weights of both layers, each as a row."""
+    grads, _ = features.gradients(feature_log(s, d).select("features", "click", "w"), SMALL, features.cross_entropy, 2)
+    found = [("hidden", i * 3 + j, float(grads[0][i, j])) for i in range(64) for j in range(3)] + [("hidden_bias", j, float(g)) for j, g in enumerate(grads[1])]
+    found += [("top", j, float(g)) for j, g in enumerate(grads[2][:, 0])] + [("top_bias", 0, float(grads[3][0]))]
+    return s.createDataFrame(found, "kind string, k long, g double").select("kind", "k", rd("g", "g", 5))
+
+
+_top = fit_sql._numbers(SMALL.layers[1][0][:, 0])
+register(
+    "deep_ctr_grad_step",
+    _deep_step,
+    FL + f""", h AS (SELECT *, list_transform({fit_sql._product('x', SMALL.layers[0][0])}, lambda v: CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END) AS h FROM fl),
+g AS (SELECT *, w * (1 / (1 + exp(-list_inner_product(h, {_top}))) - click) AS gz FROM h),
+b AS (SELECT *, list_transform(range(1, 4), lambda j: gz * {_top}[j] * CASE WHEN h[j] > 0 THEN 1 ELSE h[j] + 1 END) AS back FROM g)
+SELECT 'hidden' AS kind, ((o - 1) * 3 + q - 1)::BIGINT AS k, {r('sum(x[o] * back[q])', 'g', 5)} FROM b, unnest(range(1, 65)) u(o), unnest(range(1, 4)) y(q) GROUP BY o, q
+UNION ALL SELECT 'hidden_bias', (q - 1)::BIGINT, {r('sum(back[q])', 'g', 5)} FROM b, unnest(range(1, 4)) y(q) GROUP BY q UNION ALL SELECT 'top', (q - 1)::BIGINT, {r('sum(gz * h[q])', 'g', 5)} FROM b, unnest(range(1, 4)) y(q) GROUP BY q UNION ALL SELECT 'top_bias', 0::BIGINT, {r('sum(gz)', 'g', 5)} FROM b""",
+)

@@ -199,3 +199,57 @@ def test_compressed_parameters_serve_any_model_slot(spark):
     for param in compressed_params(spark).values():
         scored = models.PositionBased(param, Param("examination", fixed=joint.by_rank(np.array([0.3, 0.0])))).score(log)
         assert scored.count() == 60 and scored.where("cond_log_prob < 0 and relevance < 0").count() == 60
+
+
+def test_tied_mixture_raises_the_likelihood_and_shares_one_table(spark):
+    rng = np.random.default_rng(21)
+    # half of the sessions click by document, half by document and rank
+    rows = [(s, k, int(d), int(rng.random() < (0.8 if d % 2 else 0.2) * (1 if s % 2 else 1 / k)), 0.25) for s in range(300) for k, d in enumerate(rng.integers(0, 10, 4), 1)]
+    log = spark.createDataFrame(rows, "session_id long, position int, query_doc_id long, click int, w double").persist()
+    tables = {n: ((k,), fit.start(log, [k], F.lit(0.5) + 0 * F.sum("click"))) for n, k in (("attraction", "query_doc_id"), ("examination", "position"))}
+    build = lambda p: {"d": models.RateModel(p["attraction"]), "p": models.PositionBased(p["attraction"], p["examination"])}
+    ll = lambda m: metrics.log_likelihood(m.score(log, ("cond_log_prob",))).first()["ll"]
+    first, _, _ = fit.fit_tied_mixture(build, tables, {"d": 0.5, "p": 0.5}, log, 1, 0.3)
+    last, found, history = fit.fit_tied_mixture(build, tables, {"d": 0.5, "p": 0.5}, log, 6, 0.3)
+    assert ll(last) > ll(first) + 0.01 and len(history) == 6 and sum(last.prior.values()) == pytest.approx(1)
+    assert set(found) == {"attraction", "examination"} and last.models["d"].rate.table is last.models["p"].attraction.table
+
+
+@pytest.mark.parametrize("kind", ["rate", "pbm", "ccm", "dcm", "dbn"])
+def test_impression_gradients_are_those_of_the_scored_loss(spark, kind):
+    log = spark.createDataFrame([(s, k, (s * 3 + k) % 4, int((s * k) % 3 == 1), 1 / 3) for s in range(20) for k in (1, 2, 3)], "session_id long, position int, query_doc_id long, click int, w double")
+
+    def model(logits):
+        table = lambda name, key, values: Param(name, (key,), spark.createDataFrame([(i + (key == "position"), float(v)) for i, v in enumerate(values)], f"{key} long, logit double"))
+        a, b = table("attraction", "query_doc_id", logits[:4]), logits[4:]
+        return {
+            "rate": lambda: models.RateModel(a), "pbm": lambda: models.PositionBased(a, table("other", "position", b)), "ccm": lambda: models.ClickChain(a),
+            "dcm": lambda: models.DependentClick(a, table("other", "position", b)), "dbn": lambda: models.DynamicBayesian(a, table("other", "query_doc_id", [*b, 0.1]), going=0.9),
+        }[kind]()
+
+    logits = [0.3, -0.4, 0.2, 0.6, 0.5, -0.2, 0.1]
+    g = fit.impression_gradients(model(logits), log)
+    got = {("attraction", r[0]): r[1] for r in g.groupBy("query_doc_id").agg(F.sum("g_attraction")).collect()}
+    at = {("attraction", k): k for k in range(4)}
+    if kind in ("pbm", "dcm", "dbn"):
+        key = "query_doc_id" if kind == "dbn" else "position"
+        got |= {("other", r[0]): r[1] for r in g.groupBy(key).agg(F.sum("g_other")).collect()}
+        at |= {("other", k + (key == "position")): 4 + k for k in range(3)}
+    for name in [("attraction", 1), ("other", 1)]:
+        if name in at:
+            f = lambda moved: whole_loss(model(list(moved[0])).score(log, ("cond_log_prob",)))
+            assert by_differences(f, [np.array(logits)], 0, (at[name],)) == pytest.approx(got[name], abs=1e-5)
+
+
+def test_merged_sketches_estimate_what_exact_profiles_count(spark):
+    from clicklog.functions import keys
+    from clicklog.operators import keysets
+
+    ids = spark.range(40_000).select((F.col("id") % 30_000).alias("id")).withColumn("fine", keys.universal_hash(50, F.col("id")))
+    sketches = keysets.key_sketches(ids, "id", F.col("fine"))
+    found = {(r.factor, r.bucket): (r.rows, r.ids) for r in keysets.compression_sweep(sketches, [1, 5, 50]).collect()}
+    assert len(found) == 50 + 10 + 1
+    for factor in (1, 5, 50):
+        for r in keysets.compression_profile(ids, "id", F.expr(f"fine div {factor}")).collect():
+            rows, estimate = found[factor, r.bucket]
+            assert rows == r.rows and abs(estimate - r.ids) <= 0.05 * r.ids
