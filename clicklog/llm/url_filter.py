@@ -23,16 +23,18 @@ BUCKETS = 1 << 15
 LENGTHS = (3, 4, 5)
 
 # fixed values: the small labelled URL table, as (invented) names of unwanted and of ordinary sites
-UNWANTED = """casino-royal best-casino-win online-casino24 win-big-jackpot poker-bonus bet-win-odds slots-palace free-spins-now roulette-cash
-gambling-slots vegas-casino-club lucky-jackpot777 betting-tips-vip free-bets-today sports-bets-online bingo-bonus-win adult-cams adult-x-videos
-xxx-adult-pics porn-tube-hd sex-cams-live hot-adult-dating nude-pics-xxx webcam-girls-xxx escort-sex-club free-porn-movies cheap-pills-shop
-buy-viagra-cheap cialis-pills pharma-pills-online weight-loss-pills cheap-meds-rx no-prescription-pills spam-farm link-farm-seo seo-spam-links
-buy-backlinks-cheap spam-offers email-spam-list mass-mailer-spam click-bait-offers ads-tracker track-ads-pixel popup-ads-server adserver-click
-banner-ads-track adclick-tracking pixel-track-stats malware-download warez-crack keygen-serials cracked-apps-free phish-login-bank
+UNWANTED = """casino-royal casino-best-odds online-casino24 win-big-jackpot poker-bonus bet-win-odds slots-palace free-spins-now roulette-cash
+gambling-slots vegas-casino-club lucky-jackpot777 betting-tips-vip bets-of-the-day sports-bets-online bingo-bonus-win adult-cams adult-videos-hot
+xxx-adult-pics porn-tube-hd sex-cams-live hot-adult-dating nude-pics-xxx webcam-girls-xxx escort-sex-club free-porn-movies pills-discount-shop
+buy-viagra-cheap cialis-pills pharma-pills-online weight-loss-pills cheap-meds-rx no-prescription-pills spam-blaster link-farm-seo seo-spam-links
+buy-backlinks-cheap spam-offers email-spam-list mass-mailer-spam click-bait-offers ads-delivery-server track-ads-pixel popup-ads-server adserver-click
+banner-ads-count adclick-tracking pixel-track-stats malware-download warez-crack keygen-serials cracked-apps-free phish-login-bank
 verify-account-login secure-bank-verify free-robux-hack quick-payday-loan instant-cash-loans get-rich-quick crypto-double-win
 bitcoin-giveaway-win forex-profit-signals earn-cash-fast replica-watches-cheap fake-designer-bags torrent-warez-free win-free-iphone
 claim-your-prize lottery-winner-claim miracle-weight-loss miracle-cure-pills fake-diploma-buy betwin88 casinoking pornhouse sexdate pillsmart
-viagrastore spambot adsnet xxxtube clickads warezhub trackpixel cheapmeds""".split()
+viagrastore spambot adsnet xxxtube clickads warezhub trackpixel cheapmeds megaslots bet-mega-bonus superbet99 betting365 xxx-films-rated xrated-clips
+rich-fast-money fast-cash-rich phishing-kit phishing-mail-login paypal-phish bank-phishing account-verify-now farm-of-spam-links track-my-ads
+discount-pills-online win-at-casino bets-without-limit""".split()
 ORDINARY = """garden river weather city-news university museum health recipes travel school history sports science parliament coding bikes
 northern anthem motion earth other the-times free-library winter-school online-courses city-library freedom freelance-writers open-university
 public-health national-park music-academy daily-herald evening-post mountain-club sailing-club book-club film-archive photo-archive
@@ -42,7 +44,10 @@ cycling football-league cricket winners-circle window-repair wind-energy solar-p
 language-school dictionary translation poetry theatre orchestra jazz childrens-books family-advice pension insurance-guide bank-of-town
 credit-union property plumbing open-source developer-docs data-portal maps web-archive forum community charity volunteer events-calendar
 tickets-office radio magazine racetrack track-cycling cheap-flights-guide betty-crafts essex-county sussex-news adult-education clicking-beetles
-spinning-wool slotcar-racing pixel-art farm-life adventure adverbs advisory-board middle-school twins loans-of-art pillar-and-stone bookmakers-guild""".split()
+spinning-wool slotcar-racing pixel-art farm-life adventure adverbs advisory-board middle-school twins loans-of-art pillar-and-stone bookmakers-guild maths-online.edu online-lectures.edu online-campus
+freeholder-rights law-for-tenants free-legal-advice freehold-houses housing-law richmond-park paper-trail mailing-guild banking-history
+accounting-course phishing-awareness alphabet-books better-health betony-nursery casinoto-village farm-shop spa-town megalith-walks that-old-house thatched-roofs
+hatters-guild thoughts-and-letters there-and-back whatever-weather""".split()
 _STARTS = ["http://www.", "https://", "http://", "https://m.", "https://blog.", "https://www."]
 _ENDS = [".example", ".example.com", ".example.org", "", ".example.net"]
 _PATHS = ["/en/12", "/fr/8?page=2", "/de/77/", "/es/340.html", "/2019/05/a-long-title-of-a-post", "/", "", "/about", "/en/news/3", "/item?id=5518", "/p/91#top"]
