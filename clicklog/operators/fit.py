@@ -186,11 +186,13 @@ def start(rows: DataFrame, key: list[str], rate: Column) -> DataFrame:
     return rows.groupBy(*key).agg(exprs.logit(rate).alias("logit")).withColumn("m", F.lit(0.0)).withColumn("v", F.lit(0.0))
 
 
-def fit_chain(kind: str, rows: DataFrame, validation: DataFrame | None = None, epochs: int = 5, rate: float = 0.05, patience: int = 0, min_delta: float = 1e-5, going: float = 0.9) -> tuple[models.ChainModel, list[dict]]:
-    """Fit ``dbn``, ``sdbn``, ``dcm`` or ``ccm`` by Adam on whole-data gradients, with early stopping on the validation loss."""
+def fit_chain(kind: str, rows: DataFrame, validation: DataFrame | None = None, epochs: int = 5, rate: float = 0.05, patience: int = 0, min_delta: float = 1e-5, going: float = 0.9, bucketed: bool = False) -> tuple[models.ChainModel, list[dict]]:
+    """Fit ``dbn``, ``sdbn``, ``dcm`` or ``ccm`` by Adam on whole-data gradients, with early stopping on the validation loss.
+
+    A log that is ``bucketed`` by session is read as it is in each epoch; other rows are dealt by session and kept once."""
     sessions = rows.agg(F.sum("w").alias("s")).first()["s"] or 1.0
-    # Spark keeps the rows once, dealt by session for the windows of all epochs
-    rows = rows.repartition("session_id").persist()
+    if not bucketed:
+        rows = rows.repartition("session_id").persist()
     doc = ["query_doc_id"]
     smooth = (F.sum("click") + 1.0) / (F.count("*") + 2.0)
     states = {"attraction": (doc, checkpointed(start(rows, doc, smooth)))}
@@ -234,7 +236,8 @@ def fit_chain(kind: str, rows: DataFrame, validation: DataFrame | None = None, e
                 if waited > patience:
                     break
     finally:
-        rows.unpersist()
+        if not bucketed:
+            rows.unpersist()
     return built(best), log
 
 

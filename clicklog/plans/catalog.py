@@ -517,7 +517,7 @@ SELECT query_doc_id::BIGINT AS query_doc_id, {r('sum(w * (bb * (1 - a) - later *
 def _fit_chain(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:
         log = Log(s, d)
-        model, _ = fit.fit_chain(kind, log.train, epochs=2)
+        model, _ = fit.fit_chain(kind, log.train, epochs=2, bucketed=True)
         p = model.attraction
         return p.table.select(lg("query_doc_id"), rd(exprs.sigmoid(F.col("logit")), "alpha"))
 
@@ -530,7 +530,7 @@ for _m in ("dbn", "sdbn", "dcm", "ccm"):
 
 def _training_log(s: SparkSession, d: str) -> DataFrame:
     log = Log(s, d)
-    _, epochs = fit.fit_chain("ccm", log.train, log.validation, epochs=3)
+    _, epochs = fit.fit_chain("ccm", log.train, log.validation, epochs=3, bucketed=True)
     return s.createDataFrame([(e["epoch"], float(e["val_loss"]), e["best"]) for e in epochs], "epoch long, val_loss double, best boolean").select("epoch", rd("val_loss", "val_loss"), "best")  # a row for each epoch
 
 
