@@ -12,7 +12,8 @@ the most typical document of those tokens; only documents that are not connected
 other, if they share enough index tokens for their sizes.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with nothing. A text of one to
-four words has one shingle, the whole sequence. A null doc_id gets its row, without links, and a null component.
+four words has one shingle, the whole sequence. A row without doc_id links like any other, equal texts as one document; a
+component is named by its smallest doc_id, and has none if all its rows lack one. Beside such rows doc_ids are below 2 ** 62.
 Rows with equal doc_id are one document in several rows: each row has its own text's set size, and the component is what
 the links of all its texts reach. Very long texts are read whole; an empty table gives
 an empty result; other columns are ignored.
@@ -303,8 +304,19 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second.select(F.col("x").alias("u"), F.col("y").alias("v"))), large
 
 
+#: Rows without doc_id have numbers from here on, by their text, while they are joined.
+NAMELESS = 1 << 62
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every document: the least doc_id that links reach."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    seen = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named"), F.max("doc_id").alias("most")).first()
+    nameless = seen["named"] < seen["rows"]
+    if nameless:
+        if (seen["most"] or 0) >= NAMELESS:
+            raise ValueError("doc_ids beside rows that lack one must be below 2 ** 62")
+        docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS // 2))))
     with scratch() as kept:
         rows, links, large = link_classes(docs)
         found = saved(components(links).withColumnRenamed("node", "cls"), "found")
@@ -312,4 +324,5 @@ def join_components(docs: DataFrame) -> DataFrame:
         out = by_class(rows, found, ["cls"], "component", of_large)
         out = saved(out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id")), "joined")
         kept.append(out)
-    return out
+    name = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c) if nameless else F.col(c)
+    return out.select(name("doc_id"), "n_shingles", name("component_id"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clicklog.llm import decontaminate, language_id, mixing, quality, sharding, toxicity, url_filter
+from clicklog.llm import decontaminate, language_id, mixing, ngram_join, quality, sharding, toxicity, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -195,3 +195,17 @@ def test_url_model_on_names_that_it_was_not_taught(spark):
     assert wrong <= 0.01 * sum(r["count"] for r in out)
     # the table has no name of the pages
     assert not {"casino-win", "ads-track", "free-bets", "spam-farm", "cheap-pills", "adult-x"} & set("-".join(n.split("-")[k : k + 2]) for n in url_filter.UNWANTED for k in range(3))
+
+
+def test_ngram_join_links_rows_without_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:199], "other"]
+    rows = [(None, " ".join(words), "x"), (None, " ".join(words), "x"), (9, " ".join(near), "x"), (None, "some other text of a few words", "x"), (4, None, "x"), (None, "", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tok string").withColumn("cls", F.lit(1))
+    out = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.join_components(docs).collect())
+    assert out == [(0, 0, 0), (0, 0, 0), (0, 3, 0), (0, 196, 9), (0, 196, 9), (4, 0, 4), (9, 196, 9)]
+    # keys of any size are fine where every row has one
+    keys = spark.createDataFrame([(1 << 62, " ".join(words)), ((1 << 62) + 5, " ".join(near))], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.join_components(keys).collect()} == {1 << 62}
+    with pytest.raises(ValueError, match="below"):
+        ngram_join.join_components(keys.union(docs.select("doc_id", "text")))
