@@ -23,15 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicklog.llm import decontaminate, language_id, mixing, ngram_join, sharding
-from clicklog.llm.store import saved, scratch
+from clicklog.llm.store import saved, scratch, small_batches
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = language_id.train(language_id.learnable(docs))
     return language_id.accepted(docs, model)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     # rows are told apart by id and text, so that different texts under one id (or none) are compared like any others
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
     found = ngram_join.join_components(keyed.select(F.col("key").alias("doc_id"), "row.text"))
@@ -43,10 +45,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     key = F.xxhash64("doc_id", "text", "source").alias("key")
     taken = mixing.mix(docs.select("doc_id", "text", "source", key)).where("size > 0")
     times = taken.groupBy("key").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
