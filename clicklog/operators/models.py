@@ -167,29 +167,27 @@ class UserBrowsing(ClickModel):
         table = self.examination.table.groupBy("position").agg(F.map_from_entries(F.collect_list(F.struct("last_pos", exprs.sigmoid(F.col(self.examination.column)).alias("theta")))).alias("_theta"))
         return rows.join(F.broadcast(table), "position", "left")  # a row for each rank
 
-    def _session(self, rows: DataFrame) -> DataFrame:
-        item = F.struct("position", self.attraction.prob().alias("a"), F.col("_theta").alias("t"))
-        return self._by_rank(rows).groupBy("session_id").agg(F.array_sort(F.collect_list(item), lambda x, y: x["position"] - y["position"]).alias("_items"))
-
     def _theta(self, item: Column, last: Column) -> Column:
         unseen = 1 / (1 + math.exp(-self.examination.baseline))
         return F.coalesce(F.element_at(item["t"], last), F.lit(unseen))
 
     def unconditional(self, rows: DataFrame) -> DataFrame:
-        """One fold over a session's ranks. The state holds P(the last click so far is at i) for i = none, 1, 2, ..."""
-        items = rows.withColumn("position", F.col("position").cast("int"))
+        """One fold over a session's ranks, which carry their rows along. The state holds P(the last click so far is at i) for i
+        = none, 1, 2, ..."""
+        item = F.struct(F.col("position").cast("int").alias("position"), self.attraction.prob().alias("a"), F.col("_theta").alias("t"), F.struct(*rows.columns).alias("row"))
+        whole = self._by_rank(rows).groupBy("session_id").agg(F.array_sort(F.collect_list(item), lambda x, y: x["position"] - y["position"]).alias("_items"))
         kind = "array<struct<at:int,s:double>>"
 
         def step(state: Column, item: Column) -> Column:
             hit = lambda x: x["s"] * self._theta(item, x["at"]) * item["a"]
             p = exprs.total(F.transform(state["s"], hit))
             kept = F.transform(state["s"], lambda x: F.struct(x["at"].alias("at"), (x["s"] - hit(x)).alias("s")))
-            return F.struct(F.concat(kept, F.array(F.struct(item["position"].alias("at"), p.alias("s")))).alias("s"), F.concat(state["p"], F.array(F.struct(item["position"].alias("position"), p.alias("p")))).alias("p"))
+            return F.struct(F.concat(kept, F.array(F.struct(item["position"].alias("at"), p.alias("s")))).alias("s"), F.concat(state["p"], F.array(p)).alias("p"))
 
-        zero = F.struct(F.array(F.struct(F.lit(0).alias("at"), F.lit(1.0).alias("s"))).cast(kind).alias("s"), F.array().cast("array<struct<position:int,p:double>>").alias("p"))
-        found = self._session(items).select("session_id", F.explode(F.aggregate("_items", zero, step, lambda s: s["p"])).alias("_p"))
-        found = found.select("session_id", F.col("_p.position").alias("position"), exprs.clipped_log(F.col("_p.p")).alias("log_prob"))
-        return rows.join(found, ["session_id", "position"])
+        zero = F.struct(F.array(F.struct(F.lit(0).alias("at"), F.lit(1.0).alias("s"))).cast(kind).alias("s"), F.array().cast("array<double>").alias("p"))
+        found = whole.select("_items", F.aggregate("_items", zero, step, lambda s: s["p"]).alias("_p"))
+        found = found.select(F.explode(F.zip_with("_items", "_p", lambda x, p: F.struct(x["row"].alias("row"), p.alias("p")))).alias("_z"))
+        return found.select("_z.row.*", exprs.clipped_log(F.col("_z.p")).alias("log_prob"))
 
     def relevance(self) -> Column:
         return self.attraction.log_prob()
