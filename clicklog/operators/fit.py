@@ -6,6 +6,7 @@ Iterations work on sufficient statistics where the model allows it, and cut line
 
 from __future__ import annotations
 
+import sys
 import tempfile
 from collections.abc import Callable
 from dataclasses import replace
@@ -102,51 +103,59 @@ def chain_gradient(rows: DataFrame, model: models.ChainModel) -> DataFrame:
     A session's loss falls apart by runs (stretches that end with a click). With N the weight of "examined, nothing
     clicked yet" and D what is left of 1: a clicked run costs -log(N a) at its click, the tail costs -log(D) after
     its last rank. Gradients are window sums over a run.
+
+    D is added up from what leaves a run without a click: 1 - start before it, N (1 - a) (1 - go) after each skip, and all of
+    N (1 - a) after the last one. 1 - sum(N a) is the same, but loses all digits where a session is long or its documents are
+    attractive. Parts are kept over the run's largest one, so that none of them is too small for a double.
     """
     rows = model.prepare(rows)
-    a = model.attraction.prob()
-    rows = models.examination_after_history(rows, model.attraction.log_complement(), model.go_after_skip(), model.go_after_click(), a)
-    run = Window.partitionBy("session_id", "_run")
-    rows = rows.withColumn("_q", F.col("_n") * F.col("_a"))
-    rows = rows.withColumn("_ended", F.max("click").over(run)).withColumn("_len", F.count("*").over(run)).withColumn("_i", F.row_number().over(run.orderBy("position")) - 1)
-    rows = rows.withColumn("_end_d", F.greatest(1 - F.sum("_q").over(run), F.lit(exprs.EPS)))
-    after = run.orderBy("position").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("_later", F.coalesce(F.sum("_q").over(after), F.lit(0.0)))
-    ended = F.col("_ended") == 1
-    d_alpha = F.when(ended, F.when(F.col("click") == 1, -1 / F.col("_a")).otherwise(1 / (1 - F.col("_a")))).otherwise((F.col("_n") - F.col("_later") / (1 - F.col("_a"))) / F.col("_end_d"))
+    a, skip, go_on = model.attraction.prob(), exprs.sigmoid(-model.attraction.logit()), model.go_after_skip()
+    rows = models.examination_after_history(rows, model.attraction.log_complement(), go_on, model.go_after_click(), a)
+    # sums over a run are taken in its order too, so that they share a pass with those from a rank on
+    run = Window.partitionBy("session_id", "_run").orderBy("position")
+    whole, onwards = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), run.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumns({"_ended": F.max("click").over(whole), "_len": F.count("*").over(whole), "_i": F.row_number().over(run) - 1})
+    rows = rows.withColumn("_leaves", F.when(F.col("_i") == F.col("_len") - 1, 1.0).otherwise(1 - F.exp(go_on)))
+    rows = rows.withColumn("_log_left", F.when(F.col("_leaves") > 0, F.col("_passed") + model.attraction.log_complement())).withColumn("_top", F.max("_log_left").over(whole))
+    rows = rows.withColumn("_left", F.when(F.col("_leaves") > 0, F.col("_leaves") * F.exp(F.col("_log_left") - F.col("_top"))).otherwise(0.0))
+    moment = F.sum(F.col("_i") * F.col("_n") * F.col("_a")).over(whole)
+    rows = rows.withColumns({"_all": F.sum("_left").over(whole), "_later": F.sum("_left").over(onwards), "_moment": moment})
+    start, left, ended = F.col("_start"), F.col("_all"), F.col("_ended") == 1
+    over_top = F.when(start < 1, (1 - start) * F.exp(-F.col("_top"))).otherwise(0.0) + start * left
+    by_logit = F.when(ended, F.when(F.col("click") == 1, -skip).otherwise(a)).otherwise(a * start * F.col("_later") / over_top)
     # by the logarithm of the run's start value and of going on after a skip, told once for each run
+    rows = rows.withColumn("_end_d", F.greatest(1 - start + start * F.exp("_top") * left, F.lit(sys.float_info.min)))
     d_start = F.when(ended, F.lit(-1.0)).otherwise((1 - F.col("_end_d")) / F.col("_end_d"))
-    moment = F.sum(F.col("_i") * F.col("_q")).over(run)
-    d_skip = F.when(ended, -(F.col("_len") - 1.0)).otherwise(moment / F.col("_end_d"))
+    d_skip = F.when(ended, -(F.col("_len") - 1.0)).otherwise(F.col("_moment") / F.col("_end_d"))
     first = F.col("_i") == 0
     # a run that follows a click starts with the value of the clicked rank, the row before it
     rows = rows.withColumn("_ds", F.when(first, d_start)).withColumn("_dk", F.when(first, d_skip).otherwise(0.0))
     rows = rows.withColumn("_dclick", F.when(F.col("click") == 1, F.lead("_ds").over(models.session())))
     go = model.go_after_click()
-    return rows.withColumn("_da", d_alpha).withColumn("g_click", F.coalesce(F.col("_dclick") / F.greatest(go, F.lit(exprs.EPS)), F.lit(0.0)) * F.col("w")).withColumn("g_skip", F.col("_dk") * F.col("w")).withColumn("g_alpha", F.col("_da") * F.col("w"))
+    return rows.withColumn("g_attraction", by_logit * F.col("w")).withColumn("g_click", F.coalesce(F.col("_dclick") / F.greatest(go, F.lit(exprs.EPS)), F.lit(0.0)) * F.col("w")).withColumn("g_skip", F.col("_dk") * F.col("w"))
 
 
 def dbn_gradients(rows: DataFrame, model: models.DynamicBayesian) -> DataFrame:
     """For each document the gradient by its attraction and satisfaction logits (sums over impressions)."""
     g = chain_gradient(rows, model)
-    a, s = model.attraction.prob(), model.satisfaction.prob()
-    g = g.withColumn("_ga", F.col("g_alpha") * a * (1 - a)).withColumn("_gs", -F.col("g_click") * model.going * s * (1 - s))
-    return g.groupBy("query_doc_id").agg(F.sum("_ga").alias("g_attraction"), F.sum("_gs").alias("g_satisfaction"))
+    s = model.satisfaction.prob()
+    g = g.withColumn("_gs", -F.col("g_click") * model.going * s * (1 - s))
+    return g.groupBy("query_doc_id").agg(F.sum("g_attraction").alias("g_attraction"), F.sum("_gs").alias("g_satisfaction"))
 
 
 def dcm_gradients(rows: DataFrame, model: models.DependentClick) -> tuple[DataFrame, DataFrame]:
     """Gradients by document (attraction logit) and by position (continuation logit)."""
     g = chain_gradient(rows, model)
-    a, c = model.attraction.prob(), model.continuation.prob()
-    g = g.withColumn("_ga", F.col("g_alpha") * a * (1 - a)).withColumn("_gc", F.col("g_click") * c * (1 - c))
-    return g.groupBy("query_doc_id").agg(F.sum("_ga").alias("g_attraction")), g.groupBy("position").agg(F.sum("_gc").alias("g_continuation"))
+    c = model.continuation.prob()
+    g = g.withColumn("_gc", F.col("g_click") * c * (1 - c))
+    return g.groupBy("query_doc_id").agg(F.sum("g_attraction").alias("g_attraction")), g.groupBy("position").agg(F.sum("_gc").alias("g_continuation"))
 
 
 def ccm_gradients(rows: DataFrame, model: models.ClickChain) -> DataFrame:
     """Gradient by the attraction logit, which also drives going on after a click."""
     g = chain_gradient(rows, model)
     a = model.attraction.prob()
-    g = g.withColumn("_ga", (F.col("g_alpha") + F.col("g_click") * (model.tau3 - model.tau2)) * a * (1 - a))
+    g = g.withColumn("_ga", F.col("g_attraction") + F.col("g_click") * (model.tau3 - model.tau2) * a * (1 - a))
     return g.groupBy("query_doc_id").agg(F.sum("_ga").alias("g_attraction"))
 
 
@@ -315,10 +324,10 @@ def impression_gradients(model: models.ClickModel, rows: DataFrame) -> DataFrame
         by = lambda x: F.col("w") * F.when(F.col("click") == 1, x - 1).otherwise(odds * (1 - x))
         return rows.withColumns({f"g_{model.attraction.name}": by(a), f"g_{model.examination.name}": by(t)})
     g = chain_gradient(rows, model)
-    a, by_a = model.attraction.prob(), F.col("g_alpha")
+    a, by_a = model.attraction.prob(), F.col("g_attraction")
     if isinstance(model, models.ClickChain):
-        return g.withColumn(f"g_{model.attraction.name}", (by_a + F.col("g_click") * (model.tau3 - model.tau2)) * a * (1 - a))
-    g = g.withColumn(f"g_{model.attraction.name}", by_a * a * (1 - a))
+        return g.withColumn(f"g_{model.attraction.name}", by_a + F.col("g_click") * (model.tau3 - model.tau2) * a * (1 - a))
+    g = g.withColumn(f"g_{model.attraction.name}", by_a)
     if isinstance(model, models.DependentClick):
         c = model.continuation.prob()
         return g.withColumn(f"g_{model.continuation.name}", F.col("g_click") * c * (1 - c))

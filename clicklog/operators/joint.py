@@ -141,16 +141,16 @@ def chain_rows(rows: DataFrame, chain: FeatureChain) -> DataFrame:
     """Impressions with ``g_z`` and ``g_k``: the gradient of the session-mean loss by the attraction logit, and by the other one."""
     model = chain.model()
     g = fit.chain_gradient(chain.with_logits(rows), model)
-    a, by_a, by_k = model.attraction.prob(), F.col("g_alpha"), F.lit(0.0)
+    a, by_z, by_k = model.attraction.prob(), F.col("g_attraction"), F.lit(0.0)
     if chain.kind == "ccm":
-        by_a = by_a + F.col("g_click") * (model.tau3 - model.tau2)
+        by_z = by_z + F.col("g_click") * (model.tau3 - model.tau2) * a * (1 - a)
     elif chain.kind == "dcm":
         c = model.continuation.prob()
         by_k = F.col("g_click") * c * (1 - c)
     else:
         s = model.satisfaction.prob()
         by_k = -F.col("g_click") * model.going * s * (1 - s)
-    return g.select("session_id", "position", "w", chain.features, (by_a * a * (1 - a)).alias("g_z"), by_k.alias("g_k"))
+    return g.select("session_id", "position", "w", chain.features, by_z.alias("g_z"), by_k.alias("g_k"))
 
 
 def chain_feature_gradient(rows: DataFrame, chain: FeatureChain) -> tuple[list[np.ndarray], np.ndarray]:

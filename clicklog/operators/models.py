@@ -56,7 +56,7 @@ def examination_after_history(rows: DataFrame, log_skip: Column, log_go: Column,
     run = Window.partitionBy("session_id", "_run").orderBy("position")
     earlier = run.rowsBetween(Window.unboundedPreceding, -1)
     start = F.when(F.col("_run") == 0, F.lit(1.0)).otherwise(F.first("_from").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_n", start * F.exp(F.coalesce(F.sum("_step").over(earlier), F.lit(0.0))))
+    rows = rows.withColumn("_start", start).withColumn("_passed", F.coalesce(F.sum("_step").over(earlier), F.lit(0.0))).withColumn("_n", F.col("_start") * F.exp("_passed"))
     rows = rows.withColumn("_d", 1 - F.coalesce(F.sum(F.col("_n") * F.col("_a")).over(earlier), F.lit(0.0)))
     exam = F.col("_n") / F.greatest(F.col("_d"), F.lit(exprs.EPS))
     return rows.withColumn("_exam", F.least(F.greatest(exam, F.lit(exprs.EPS)), F.lit(1.0)))

@@ -1,5 +1,9 @@
 """Gradients and training of feature networks, alone and inside click models, compressed parameters, and mixtures fitted anew."""
 
+from decimal import Decimal, localcontext
+from functools import cache
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 from clicklog.functions import exprs
 from clicklog.operators import compressed, features, fit, joint, metrics, models
 from clicklog.operators.params import Param
+from clicklog.plans import parameter_queries
 
 NETWORKS = [features.Deep.seeded(5, (4, 3), 1), features.DeepCross(5, 2, (4, 3), True, 2), features.DeepCross(5, 2, (4, 3), False, 3)]
 
@@ -241,6 +246,70 @@ def test_impression_gradients_are_those_of_the_scored_loss(spark, kind):
             assert by_differences(f, [np.array(logits)], 0, (at[name],)) == pytest.approx(got[name], abs=1e-5)
 
 
+@cache
+def exact_sigmoid(z):
+    return 1 / (1 + (-z).exp())
+
+
+def exact_loss(kind, logits, clicks, other):
+    """A session's loss, rank by rank, in decimals of the context's digits."""
+    loss, seen, c = Decimal(0), Decimal(1), exact_sigmoid(other)
+    go = {"dcm": Decimal(1), "sdbn": Decimal(1), "dbn": Decimal(0.9), "ccm": Decimal(0.8)}[kind]
+    for z, click in zip(logits, clicks, strict=True):
+        a = exact_sigmoid(z)
+        if click:
+            loss -= (seen * a).ln()
+            seen = {"dcm": c, "sdbn": 1 - c, "dbn": go * (1 - c), "ccm": a * Decimal(0.3) + (1 - a) * Decimal(0.6)}[kind]
+        else:
+            loss -= (1 - seen * a).ln()
+            seen = seen * (1 - a) * go / (1 - seen * a)
+    return loss
+
+
+@pytest.mark.parametrize("kind", ["dcm", "sdbn", "dbn", "ccm"])
+def test_chain_gradients_where_a_run_leaves_next_to_nothing(spark, kind):
+    # 1e-15 left, then less than a double holds, then a start after a click
+    sessions = [([3.5] * 10, [0] * 10), ([60.0] * 13, [0] * 13), ([40.0, -1.0, 3.0, 45.0, 30.0, 2.0], [0, 1, 0, 0, 0, 0])]
+    rows = [(s, i, c, 1.0, z) for s, (logits, clicks) in enumerate(sessions) for i, (z, c) in enumerate(zip(logits, clicks, strict=True), 1)]
+    log = spark.createDataFrame(rows, "session_id long, position int, click int, w double, z double")
+    a, other = Param("attraction", fixed=F.col("z")), Param("other", fixed=F.lit(0.2))
+    model = {"dcm": lambda: models.DependentClick(a, other), "ccm": lambda: models.ClickChain(a)}.get(kind, lambda: models.DynamicBayesian(a, other, going=1.0 if kind == "sdbn" else 0.9))()
+    got = fit.impression_gradients(model, log).toPandas().set_index(["session_id", "position"]).sort_index()
+    with localcontext(prec=100):
+        step = Decimal("1e-40")
+        slope = lambda f: float((f(step) - f(-step)) / (2 * step))
+        for s, (logits, clicks) in enumerate(sessions):
+            z, c = [Decimal(x) for x in logits], Decimal(0.2)
+            for i in range(len(z)):
+                want = slope(lambda d, i=i, z=z, clicks=clicks, c=c: exact_loss(kind, [*z[:i], z[i] + d, *z[i + 1 :]], clicks, c))
+                assert got.loc[(s, i + 1), "g_attraction"] == pytest.approx(want, abs=1e-9), (s, i)
+            if kind != "ccm":
+                assert got.loc[s, "g_other"].sum() == pytest.approx(slope(lambda d, z=z, clicks=clicks, c=c: exact_loss(kind, z, clicks, c + d)), abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["dcm"])
+def test_feature_gradient_steps_are_those_of_sql_where_a_run_leaves_little(spark, tmp_path, kind):
+    # sessions without a click that leave about 1e-11, of which SQL keeps five digits; others with clicks
+    rng = np.random.default_rng(14)
+    weights = np.array(parameter_queries.W64)
+    weights -= weights.mean()
+    aim = weights / np.linalg.norm(weights)
+    rows = []
+    for i in range(60):
+        logit, click = (rng.uniform(2.1, 2.8), 0) if i < 30 else (rng.normal(), int(rng.random() < 0.4))
+        side = rng.normal(size=64)
+        side -= side.mean() + aim * (side @ aim)
+        along = (logit + 0.5) / (8 * np.linalg.norm(weights))
+        rows.append((i, (along * aim + np.sqrt(1 - along**2) * side / np.linalg.norm(side)).tolist(), 9 if click else 0))
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    name = f"{kind}_feature_grad_step"
+    want = con.execute(parameter_queries.ORACLES[name]).df().set_index(["kind", "k"])["g"]
+    got = parameter_queries.QUERIES[name](spark, str(tmp_path)).toPandas().set_index(["kind", "k"])["g"]
+    assert len(got) == len(want) and (got - want).abs().max() < 1e-4
+
+
 def test_merged_sketches_estimate_what_exact_profiles_count(spark):
     from clicklog.functions import keys
     from clicklog.operators import keysets
