@@ -287,7 +287,7 @@ def test_chain_gradients_where_a_run_leaves_next_to_nothing(spark, kind):
                 assert got.loc[s, "g_other"].sum() == pytest.approx(slope(lambda d, z=z, clicks=clicks, c=c: exact_loss(kind, z, clicks, c + d)), abs=1e-9)
 
 
-@pytest.mark.parametrize("kind", ["dcm"])
+@pytest.mark.parametrize("kind", ["dcm", "sdbn"])
 def test_feature_gradient_steps_are_those_of_sql_where_a_run_leaves_little(spark, tmp_path, kind):
     # sessions without a click that leave about 1e-11, of which SQL keeps five digits; others with clicks
     rng = np.random.default_rng(14)
